@@ -210,8 +210,7 @@ def evaluate_model(df: DataFrame, target: str, features: Sequence[str] | None =
         model = _fit(prepared, algorithm)
         scored = model.transform(prepared.test())
         measure = classification_metrics if prepared.is_classification else regression_metrics
-        metrics = measure(scored)
-        row = metrics.first()
+        metrics = _settled(measure(scored))
         cells = None
         if prepared.is_classification:
             # Bounded by the number of classes squared.
@@ -222,7 +221,7 @@ def evaluate_model(df: DataFrame, target: str, features: Sequence[str] | None =
                 "label string, prediction string, count long",
             )
         importance = _importance_table(df, model, prepared, None)
-    return Evaluation(spark.createDataFrame([row], metrics.schema), importance, cells)
+    return Evaluation(metrics, importance, cells)
 
 
 def feature_importance(df: DataFrame, target: str, features: Sequence[str] | None = None,
@@ -265,7 +264,13 @@ def class_scores(prepared: Prepared, algorithm: str) -> DataFrame:
 def roc_pr(df: DataFrame, target: str, features: Sequence[str] | None = None, algorithm: str = "RandomForest",
            row_id: str | None = None) -> DataFrame:
     """M8/M9: ROC AUC, average precision and base rate per class."""
-    return roc_pr_summary(class_scores(prepare(df, target, features, row_id), algorithm), by=["class"])
+    with kept(prepare(df, target, features, row_id)) as prepared:
+        return _settled(roc_pr_summary(class_scores(prepared, algorithm), by=["class"]))
+
+
+def _settled(table: DataFrame) -> DataFrame:
+    """A table of a handful of rows, computed now while the model table is held."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
 
 
 def roc_pr_curves(df: DataFrame, target: str, features: Sequence[str] | None = None,
@@ -280,7 +285,8 @@ def calibration_curve(df: DataFrame, target: str, features: Sequence[str] | None
     prepared = prepare(df, target, features, row_id)
     if prepared.classes is not None and len(prepared.classes) != 2:
         raise ValueError(f"Calibration curves need a binary target (got {len(prepared.classes)} classes).")
-    return calibration(class_scores(prepared, algorithm), bins=bins)
+    with kept(prepared):
+        return _settled(calibration(class_scores(prepared, algorithm), bins=bins))
 
 
 @dataclass(frozen=True)
