@@ -18,7 +18,7 @@ from ..schema import (
     string_columns,
 )
 from .grouped import column_levels
-from .ordering import Order, carry_forward, look_up, quantiles, running_sums
+from .ordering import Order, carry_forward, column_quantiles, look_up, running_sums
 
 NUMERIC_STRATEGIES = ("mean", "median", "mode", "ffill", "drop")
 TEXT_STRATEGIES = ("mode", "ffill", "drop")
@@ -38,12 +38,6 @@ def modes(df: DataFrame, columns: Sequence[str]) -> list:
     return out
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list]:
-    """Exact quantiles per column; a column without values is absent."""
-    rows = quantiles(df, columns, probabilities).collect()
-    return {r["column"]: [r[f"q{j}"] for j in range(len(probabilities))] for r in rows}
-
-
 def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """The columns that miss a value somewhere: one aggregate, one flag per column."""
     if not columns:
@@ -73,8 +67,7 @@ def impute(df: DataFrame, numeric: str = "mean", text: str = "mode", row_id: str
     if numeric == "mean" and numbers:
         fills |= dict(zip(numbers, df.agg(*[F.avg(as_double(df, c)) for c in numbers]).first()))
     elif numeric == "median" and numbers:
-        found = column_quantiles(df, numbers, [0.5])
-        fills |= {c: found[c][0] for c in numbers if c in found}
+        fills |= {c: values[0] for c, (_, values) in column_quantiles(df, numbers, [0.5]).items()}
     elif numeric == "mode":
         fills |= {c: 0 if m is None else m for c, m in zip(numbers, modes(df, numbers))}
     if text == "mode":
@@ -110,8 +103,8 @@ def outlier_bounds(df: DataFrame, column: str, method: str = "iqr") -> tuple[flo
         found = column_quantiles(df, [column], [0.25, 0.75]).get(column)
         if found is None:
             return None, None
-        spread = found[1] - found[0]
-        return found[0] - 1.5 * spread, found[1] + 1.5 * spread
+        (q1, q3) = found[1]
+        return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     if method == "zscore":
         x = as_double(df, column)
         mean, deviation = df.agg(F.avg(x), F.stddev_samp(x)).first()
@@ -161,8 +154,9 @@ def remove_outliers(df: DataFrame, column: str, method: str = "iqr") -> DataFram
 def label_classes(df: DataFrame, column: str) -> DataFrame:
     """The classes of a column in text order with their code and row count."""
     require_columns(df, column)
-    levels = df.groupBy(as_label(column).alias("level")).agg(F.count(F.lit(1)).alias("rows"))
-    coded = running_sums(levels, Order(("level",)), {"code": F.lit(1).cast("long")})
+    labels = df.select(as_label(column).alias("level"))
+    levels = labels.groupBy("level").agg(F.count(F.lit(1)).alias("rows"))
+    coded = running_sums(levels, Order(("level",)), {"code": F.lit(1).cast("long")}, source=labels)
     return coded.withColumn("code", F.col("code") - 1)
 
 

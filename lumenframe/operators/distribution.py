@@ -198,7 +198,9 @@ def ecdf(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
     if group:
         rows = fold_rare(rows, group)
     counts = value_counts(rows, "x", keys, name="__times")
-    upto = running_sums(counts, Order(("x",)), {"__upto": F.col("__times")}, keys, totals={"__upto": "__all"})
+    upto = running_sums(
+        counts, Order(("x",)), {"__upto": F.col("__times")}, keys, totals={"__upto": "__all"}, source=rows
+    )
     return upto.select(*map(quoted, keys), F.col("x").alias("value"), (F.col("__upto") / F.col("__all")).alias("share"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -71,32 +71,56 @@ class Order:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Cut points for the first order key, and for the second inside hot values."""
+    """Cut points for the first order key, and for the second inside hot values.
+
+    ``rows`` estimates the distinct keys, which is the size of a table that has
+    one row per key.
+    """
 
     edges: tuple[float, ...]
+    rows: int
     tie_edges: tuple[float, ...] = ()
-    hot: tuple[float, ...] = field(default=())
+    hot: tuple[float, ...] = ()
+
+    @property
+    def small(self) -> bool:
+        """Few enough rows for one task."""
+        return self.rows <= BROADCAST_ROWS
+
 
+# Size of the quantile sketches: a rank error well below a thousandth.
+_SKETCH = 4000
+_RANK_MARGIN = 0.003
 
-def _sketch(number: Column, ranges: int) -> Column:
+
+def _sketch(number: Column) -> Column:
     finite = F.when(F.abs(number) < F.lit(float("inf")), number)
-    return F.percentile_approx(finite, [i / ranges for i in range(1, ranges)], max(10000, 10 * ranges))
+    return F.kll_sketch_agg_double(finite, F.lit(_SKETCH))
+
 
+def _sketch_points(name: str, ranks: Sequence[float]) -> Column:
+    """Sketch quantiles as an array; null for a sketch without values."""
+    wanted = F.array(*[F.lit(float(r)) for r in ranks])
+    return F.when(F.kll_sketch_get_n_double(name) > 0, F.kll_sketch_get_quantile_double(name, wanted))
 
-def find_cuts(df: DataFrame, order: Order, ranges: int | None = None) -> Cuts:
+
+def find_cuts(df: DataFrame, order: Order, by: Sequence[str] = (), ranges: int | None = None) -> Cuts:
     """One aggregate job; the driver receives a bounded list of numbers."""
     ranges = ranges or range_count(df)
     numbers = order.numbers(df)
-    row = df.agg(*[_sketch(n, ranges).alias(f"q{i}") for i, n in enumerate(numbers)]).first()
-    points = list(row[0] or [])
+    keys = F.approx_count_distinct(F.xxhash64(*map(quoted, [*by, *order.columns])))
+    sketches = df.agg(keys.alias("rows"), *[_sketch(n).alias(f"s{i}") for i, n in enumerate(numbers)])
+    steps = [i / ranges for i in range(1, ranges)]
+    row = sketches.select("rows", *[_sketch_points(f"s{i}", steps) for i in range(len(numbers))]).first()
+    points = list(row[1] or [])
     edges = sorted(set(points))
     repeated = sorted({a for a, b in zip(points, points[1:]) if a == b and abs(a) < _EXACT_DOUBLE})
     if len(numbers) == 1 or not repeated:
-        return Cuts(tuple(edges))
+        return Cuts(tuple(edges), row["rows"])
     # A value holding several quantiles gets a range of its own, which the
     # second key then divides further.
     edges = sorted({*edges, *repeated, *(math.nextafter(v, math.inf) for v in repeated)})
-    return Cuts(tuple(edges), tuple(sorted(set(row[1] or []))), tuple(repeated))
+    return Cuts(tuple(edges), row["rows"], tuple(sorted(set(row[2] or []))), tuple(repeated))
 
 
 def _range_of(df: DataFrame, number: Column, edges: Sequence[float], name: str) -> DataFrame:
@@ -112,13 +136,15 @@ def assign_range(df: DataFrame, order: Order, cuts: Cuts) -> DataFrame:
     """Add the range number; equal order keys always share a range."""
     numbers = order.numbers(df)
     out = _range_of(df, numbers[0], cuts.edges, BUCKET)
+    # Never null, so that joining on it adds no filter to one side only and both
+    # sides share one shuffle.
     if not cuts.tie_edges:
-        return out.withColumn(BUCKET, F.col(BUCKET).cast("long"))
+        return out.withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("long"), F.lit(0)))
     out = _range_of(out, numbers[1], cuts.tie_edges, "__tie")
     hot = numbers[0].isin([float(v) for v in cuts.hot])
     width = len(cuts.tie_edges) + 2
     number = F.col(BUCKET).cast("long") * width + F.when(hot, F.col("__tie").cast("long")).otherwise(0)
-    return out.withColumn(BUCKET, number).drop("__tie")
+    return out.withColumn(BUCKET, F.coalesce(number, F.lit(0))).drop("__tie")
 
 
 def running_sums(
@@ -127,21 +153,30 @@ def running_sums(
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     totals: Mapping[str, str] | None = None,
-    cuts: Cuts | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Running sums up to and including each row, along ``order`` within ``by``.
 
-    ``totals`` names, per running sum, an extra column holding the whole sum of
-    the group. Group keys must not be null.
+    The table has one row per ``by`` and order key. ``totals`` names, per running
+    sum, an extra column holding the whole sum of the group. ``source`` is a
+    cheaper table with the same keys to take the cut points from. Group keys
+    must not be null. A table that is found to be small is summed by one window.
     """
     totals = dict(totals or {})
-    cuts = cuts or find_cuts(df, order)
+    cuts = find_cuts(df if source is None else source, order, by)
+    group = Window.partitionBy(*map(quoted, by))
+    if cuts.small:
+        so_far = group.orderBy(*order.keys()).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(
+            "*",
+            *[F.sum(c).over(so_far).alias(k) for k, c in sums.items()],
+            *[F.sum(sums[k]).over(group).alias(name) for k, name in totals.items()],
+        )
     ranged = assign_range(df, order, cuts)
     keys = [*by, BUCKET]
     per_range = ranged.groupBy(*map(quoted, keys)).agg(
         *[F.sum(c).alias(f"__part_{k}") for k, c in sums.items()]
     )
-    group = Window.partitionBy(*map(quoted, by))
     earlier = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         *map(quoted, keys),
@@ -172,7 +207,8 @@ def row_positions(df: DataFrame, order: Order, name: str = "position", total: st
 def carry_forward(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
     """Fill nulls with the last non-null value before them in ``row_id`` order."""
     order = Order((row_id,))
-    ranged = assign_range(df, order, find_cuts(df, order))
+    cuts = find_cuts(df, order)
+    ranged = assign_range(df, order, cuts)
     present = {c: ~_absent(df, c) for c in columns}
     ends = ranged.groupBy(BUCKET).agg(
         *[F.max_by(F.when(present[c], col(c)), F.when(present[c], col(row_id))).alias(f"__end_{i}")
@@ -200,6 +236,164 @@ def _absent(df: DataFrame, column: str) -> Column:
     return col(column).isNull()
 
 
+# A bracket is refined until it holds at most this many distinct values.
+BRACKET_VALUES = 1_000_000
+_BATCH = 24
+
+
+@dataclass
+class _Bracket:
+    """Where the two ranks around one quantile of one column lie."""
+
+    column: int
+    low_rank: int
+    high_rank: int
+    low: float
+    high: float
+    before: int = 0
+    inside: int = 0
+
+    def holds(self, x: Column) -> Column:
+        return (x >= F.lit(self.low)) & (x <= F.lit(self.high))
+
+    def shares(self, size: int) -> list[float]:
+        """Relative ranks of both ends inside the bracket, with a safety margin."""
+        margin = max(_RANK_MARGIN, 2.0 / size)
+        first = (self.low_rank - self.before) / size - margin
+        last = (self.high_rank - self.before + 1) / size + margin
+        return [min(max(first, 0.0), 1.0), min(max(last, 0.0), 1.0)]
+
+
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+) -> dict[str, tuple[int, list[float]]]:
+    """Exact quantiles of whole columns: ``{column: (n, values)}``.
+
+    A sketch brackets every wanted rank; one counting pass proves that the rank
+    lies in its bracket (and otherwise moves the bracket); only the values in
+    the brackets, well under a hundredth of the rows, are then counted and
+    ranked. Brackets with too many distinct values are narrowed again first.
+    The driver receives a few numbers per column. A column without values is absent.
+    """
+    out: dict[str, tuple[int, list[float]]] = {}
+    for start in range(0, len(columns), _BATCH):
+        out |= _column_quantiles(df, columns[start:start + _BATCH], probabilities)
+    return out
+
+
+def _column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict:
+    values = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    inputs = [F.col(f"x{i}") for i in range(len(columns))]
+    sketches = values.agg(
+        *[F.kll_sketch_agg_double(x, F.lit(_SKETCH)).alias(f"s{i}") for i, x in enumerate(inputs)]
+    )
+    ranks = [min(max(p + side * _RANK_MARGIN, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
+    guesses = sketches.select(
+        *[F.kll_sketch_get_n_double(f"s{i}").alias(f"n{i}") for i in range(len(columns))],
+        *[_sketch_points(f"s{i}", ranks).alias(f"q{i}") for i in range(len(columns))],
+    ).first()
+    brackets: dict[tuple[int, int], _Bracket] = {}
+    for i in range(len(columns)):
+        n, points = guesses[f"n{i}"], guesses[f"q{i}"]
+        for j, p in enumerate(probabilities if n else ()):
+            place = p * (n - 1)
+            # The margin means less than two rows in a small table: take them all.
+            few = n * _RANK_MARGIN < 2
+            low, high = (float("-inf"), float("inf")) if few else points[2 * j:2 * j + 2]
+            brackets[i, j] = _Bracket(i, math.floor(place), math.ceil(place), low, high)
+
+    found: dict[tuple[int, int], tuple[float, float]] = {}
+    ready: dict[tuple[int, int], _Bracket] = {}
+    while brackets:
+        settled, narrow = _prove(values, brackets)
+        found |= {k: (b.low, b.low) for k, b in settled.items() if b.low == b.high}
+        ready |= {k: b for k, b in settled.items() if b.low < b.high}
+        brackets = _narrow(values, narrow) if narrow else {}
+    if ready:
+        found |= _pick(values, ready)
+    out = {}
+    for i, c in enumerate(columns):
+        n = guesses[f"n{i}"]
+        if n:
+            pairs = [(found[i, j], p * (n - 1)) for j, p in enumerate(probabilities)]
+            out[c] = (n, [low + (high - low) * (place - math.floor(place)) for (low, high), place in pairs])
+    return out
+
+
+def _prove(values: DataFrame, brackets: Mapping) -> tuple[dict, dict]:
+    """Count around each bracket; split them into proven ones and ones to narrow."""
+    counts = []
+    for k, b in enumerate(brackets.values()):
+        x = F.col(f"x{b.column}")
+        counts += [F.count_if(x < F.lit(b.low)).alias(f"before{k}"), F.count_if(b.holds(x)).alias(f"inside{k}")]
+    row = values.agg(*counts).first()
+    settled, narrow = {}, {}
+    for k, (key, b) in enumerate(brackets.items()):
+        before, inside = row[f"before{k}"], row[f"inside{k}"]
+        if b.low_rank < before:
+            # The sketch was off: the rank lies further down.
+            narrow[key] = _Bracket(b.column, b.low_rank, b.high_rank, float("-inf"), b.high, 0, before + inside)
+        elif b.high_rank >= before + inside:
+            narrow[key] = _Bracket(b.column, b.low_rank, b.high_rank, b.low, float("inf"), before, -1)
+        else:
+            settled[key] = _Bracket(b.column, b.low_rank, b.high_rank, b.low, b.high, before, inside)
+    wide = {k: b for k, b in settled.items() if b.inside > BRACKET_VALUES and b.low < b.high}
+    if wide:
+        # Many rows may still be few values.
+        x = {k: F.col(f"x{b.column}") for k, b in wide.items()}
+        distinct = values.agg(*[F.approx_count_distinct(F.when(b.holds(x[k]), x[k])) for k, b in wide.items()]).first()
+        for (k, b), many in zip(wide.items(), distinct):
+            if many > BRACKET_VALUES:
+                narrow[k] = settled.pop(k)
+    return settled, narrow
+
+
+def _narrow(values: DataFrame, brackets: Mapping) -> dict:
+    """Sketch the values inside each bracket to draw it tighter."""
+    inside = [F.when(b.holds(F.col(f"x{b.column}")), F.col(f"x{b.column}")) for b in brackets.values()]
+    sketches = values.agg(*[F.kll_sketch_agg_double(x, F.lit(_SKETCH)).alias(f"s{k}") for k, x in enumerate(inside)])
+    # An open bracket learns its size here.
+    sizes = sketches.select(*[F.kll_sketch_get_n_double(f"s{k}") for k in range(len(brackets))])
+    known = sizes.first() if any(b.inside < 0 for b in brackets.values()) else None
+    points = []
+    for k, b in enumerate(brackets.values()):
+        size = known[k] if b.inside < 0 else b.inside
+        points.append(_sketch_points(f"s{k}", b.shares(size)))
+    row = sketches.select(*points).first()
+    return {
+        key: _Bracket(b.column, b.low_rank, b.high_rank, *row[k])
+        for k, (key, b) in enumerate(brackets.items())
+    }
+
+
+def _pick(values: DataFrame, brackets: Mapping) -> dict:
+    """The values at the wanted ranks: the brackets' rows are counted, ranked and matched."""
+    keys, items = list(brackets), list(brackets.values())
+    # One row per value first: a computed column is then evaluated once, not once
+    # per bracket.
+    columns = sorted({b.column for b in items})
+    melted = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in columns])))
+    hits = [(F.col("i") == b.column) & b.holds(F.col("x")) for b in items]
+    touched = F.lit(False)
+    for hit in hits:
+        touched |= hit
+    owners = F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in enumerate(hits)]))
+    rows = melted.where(touched).select(F.explode(owners).alias("k"), "x")
+    counted = rows.groupBy("k", "x").agg(F.count(F.lit(1)).alias("times"))
+    upto = F.sum("times").over(Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+
+    def of(name: str) -> Column:
+        return F.get(F.array(*[F.lit(getattr(b, name)).cast("long") for b in items]), F.col("k"))
+
+    ranked = counted.withColumn("upto", upto + of("before")).withColumn("from", F.col("upto") - F.col("times"))
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("from") <= of(rank)) & (of(rank) < F.col("upto")), F.col("x")))
+
+    picked = ranked.groupBy("k").agg(at("low_rank").alias("low"), at("high_rank").alias("high")).collect()
+    return {keys[r["k"]]: (r["low"], r["high"]) for r in picked}
+
+
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -212,12 +406,20 @@ def quantiles(
     """Linearly interpolated quantiles per ``by`` group and column, in long form.
 
     Output: ``by`` keys, ``column``, ``n`` (non-null values) and one column per
-    probability. The exact form counts the values per range, finds the few
-    ranges that hold the wanted ranks, and shuffles only the rows in them;
+    probability. With groups, the values are counted per range, the few ranges
+    holding the wanted ranks are found, and only the rows in them are shuffled;
     equal values are counted together, so a hot value stays one row.
     Group keys must not be null.
     """
     names = list(names or [f"q{i}" for i in range(len(probabilities))])
+    if exact and not by:
+        found = column_quantiles(df, columns, probabilities)
+        rows = [(c, n, *qs) for c, (n, qs) in found.items()]
+        schema = T.StructType(
+            [T.StructField("column", T.StringType()), T.StructField("n", T.LongType())]
+            + [T.StructField(name, T.DoubleType()) for name in names]
+        )
+        return df.sparkSession.createDataFrame(rows, schema)
     values = df.select(*map(quoted, by), *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(columns)])
     inputs = [f"__x{i}" for i in range(len(columns))]
     keys = [*by, "column"]
@@ -229,8 +431,12 @@ def quantiles(
             *[F.percentile_approx("x", p, 10000).alias(n) for p, n in zip(probabilities, names)],
         )
 
-    groups = F.approx_count_distinct(F.xxhash64(*map(quoted, by))) if by else F.max(F.lit(1))
-    cuts = values.agg(*[_sketch(F.col(x), ranges).alias(x) for x in inputs], groups.alias("groups")).first()
+    sketches = values.agg(
+        *[_sketch(F.col(x)).alias(x) for x in inputs],
+        F.approx_count_distinct(F.xxhash64(*map(quoted, by))).alias("groups"),
+    )
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = sketches.select(*[_sketch_points(x, steps).alias(x) for x in inputs], "groups").first()
     splits = [[float("-inf"), *sorted(set(cuts[x] or [0.0])), float("inf")] for x in inputs]
     outputs = [f"__b{i}" for i in range(len(columns))]
     cutter = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs, handleInvalid="keep")
@@ -323,34 +529,33 @@ def look_up(df: DataFrame, table: DataFrame, key: str, count: str, distinct: int
     """Join a table that holds one row per value of ``key`` and the value's count.
 
     ``distinct`` is the (estimated) size of the table. A small table is
-    broadcast. Beyond that the values holding at least 1/256 of the rows, at
-    most 256 of them, are broadcast, and the rows already served that way are
-    spread over the shuffle by a salt, so no value, however frequent, meets in
-    one task.
+    broadcast. Beyond that the values holding at least 1/256 of the rows are
+    read first, at most 256 rows, and broadcast; the rows they serve are spread
+    over the shuffle by a hash of their own, so no value, however frequent,
+    meets in one task.
     """
     payload = [c for c in table.columns if c not in (key, count)]
     if distinct <= BROADCAST_ROWS:
         renamed = table.select(col(key).alias("__key"), *map(quoted, payload))
         return df.join(F.broadcast(renamed), col(key) == F.col("__key"), "left").drop("__key")
-    size = F.broadcast(table.agg(F.sum(count).alias("__all")))
-    sized = table.crossJoin(size)
-    is_hot = F.col(count) * _HOT_LEVELS >= F.col("__all")
-    hot = sized.where(is_hot).select(
-        col(key).alias("__hot_key"), *[col(c).alias(f"__hot_{c}") for c in payload], F.lit(True).alias("__served")
-    )
-    cold = sized.where(~is_hot).select(
-        col(key).alias("__cold_key"), *[col(c).alias(f"__cold_{c}") for c in payload]
-    ).withColumn("__cold_salt", F.lit(0).cast("long"))
-    first = df.join(F.broadcast(hot), col(key) == F.col("__hot_key"), "left")
-    spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(_HOT_LEVELS)) + 1
-    salted = first.withColumn("__salt", F.when(F.col("__served"), spread).otherwise(F.lit(0).cast("long")))
-    joined = salted.join(
-        cold, (col(key) == F.col("__cold_key")) & (F.col("__salt") == F.col("__cold_salt")), "left"
+    rows = df.agg(F.count(F.lit(1))).first()[0]
+    frequent = F.col(count) * _HOT_LEVELS >= rows
+    hot_rows = table.where(frequent).select(quoted(key), *map(quoted, payload)).collect()
+    cold = table.where(~frequent).select(
+        col(key).alias("__key"), F.xxhash64(col(key)).alias("__lane_of"), *map(quoted, payload)
     )
-    return joined.select(
-        *map(quoted, df.columns),
-        *[F.coalesce(col(f"__hot_{c}"), col(f"__cold_{c}")).alias(c) for c in payload],
+    lane = F.xxhash64(col(key))
+    out = df
+    if hot_rows:
+        named = table.select(col(key).alias("__hot_key"), *[col(c).alias(f"__hot_{c}") for c in payload])
+        hot = df.sparkSession.createDataFrame(hot_rows, named.schema).withColumn("__served", F.lit(True))
+        out = df.join(F.broadcast(hot), col(key) == F.col("__hot_key"), "left")
+        lane = F.when(F.col("__served"), F.xxhash64(*[col(c) for c in df.columns], F.lit(1))).otherwise(lane)
+    joined = out.withColumn("__lane", lane).join(
+        cold, (col(key) == F.col("__key")) & (F.col("__lane") == F.col("__lane_of")), "left"
     )
+    found = {c: F.coalesce(col(f"__hot_{c}"), col(c)) if hot_rows else col(c) for c in payload}
+    return joined.select(*map(quoted, df.columns), *[found[c].alias(c) for c in payload])
 
 
 def spread_range(first: Column, last: Column, block: int = 65536) -> tuple[Column, Column]:

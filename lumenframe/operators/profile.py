@@ -99,9 +99,12 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     entries = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("v")) for c in columns]
     counts = df.select(F.inline(F.array(*entries))).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("minus"), F.col("v").alias("v"))))
-    return counts.groupBy("column").agg(F.count("v").alias("unique_count"), best.alias("__best")).select(
+    found = counts.groupBy("column").agg(F.count("v").alias("unique_count"), best.alias("__best"))
+    # A row for every column, also when the table is empty.
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(found, "column", "left").select(
         "column",
-        "unique_count",
+        F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
         F.col("__best.v").alias("most_frequent"),
         F.coalesce(-F.col("__best.minus"), F.lit(0)).alias("frequency"),
     )

@@ -57,13 +57,16 @@ def threshold_curve(scored: DataFrame, positive: str = "label", score: str = "sc
                     by: Sequence[str] = ()) -> DataFrame:
     """M8: ROC and precision-recall points, one per distinct score, highest score first."""
     require_columns(scored, positive, score, *by)
-    hit = col(positive).cast("long")
-    counts = scored.groupBy(*map(quoted, by), col(score).cast("double").alias("threshold")).agg(
-        F.sum(hit).alias("__pos"), F.sum(1 - hit).alias("__neg")
+    rows = scored.select(
+        *map(quoted, by), col(score).cast("double").alias("threshold"), col(positive).cast("long").alias("__hit")
+    )
+    counts = rows.groupBy(*map(quoted, by), "threshold").agg(
+        F.sum("__hit").alias("__pos"), F.sum(1 - F.col("__hit")).alias("__neg")
     )
     order = Order(("threshold",), descending=("threshold",))
     curve = running_sums(
-        counts, order, {"tp": F.col("__pos"), "fp": F.col("__neg")}, by, totals={"tp": "__p", "fp": "__n"}
+        counts, order, {"tp": F.col("__pos"), "fp": F.col("__neg")}, by, totals={"tp": "__p", "fp": "__n"},
+        source=rows,
     )
     return curve.select(
         *map(quoted, by), "threshold", "tp", "fp",

@@ -85,7 +85,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
 def average_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values with their count and average rank."""
     counts = df.groupBy(*map(quoted, [*by, column])).agg(F.count(F.lit(1)).alias("__times"))
-    upto = running_sums(counts, Order((column,)), {"__upto": F.col("__times")}, by)
+    upto = running_sums(counts, Order((column,)), {"__upto": F.col("__times")}, by, source=df)
     return upto.withColumn("rank", F.col("__upto") - (F.col("__times") - 1) / 2.0).drop("__upto")
 
 
@@ -180,7 +180,9 @@ def _surplus(points: DataFrame, by: list[str], levels: int) -> DataFrame:
     blocked = points
     for side, block in (("u", f"bu{levels}"), ("v", f"bv{levels}")):
         counts = blocked.groupBy(*by, side).agg(F.count(one).alias("__m"))
-        placed = running_sums(counts, Order((side,)), {"__upto": F.col("__m")}, by, totals={"__upto": "__all"})
+        placed = running_sums(
+            counts, Order((side,)), {"__upto": F.col("__m")}, by, totals={"__upto": "__all"}, source=blocked
+        )
         # A value holding a whole block's share gets an odd block of its own. All
         # its points tie on this side, so nothing is left to count inside it.
         lone = (F.col("__m") * GRID >= F.col("__all")).cast("int")
@@ -263,10 +265,9 @@ def normal_scores(df: DataFrame, column: str) -> DataFrame:
     is produced by many tasks.
     """
     x = as_double(df, column)
-    counts = df.select(x.alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(
-        F.count(F.lit(1)).alias("__times")
-    )
-    placed = running_sums(counts, Order(("x",)), {"__upto": F.col("__times")}, totals={"__upto": "n"})
+    rows = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("__times"))
+    placed = running_sums(counts, Order(("x",)), {"__upto": F.col("__times")}, totals={"__upto": "n"}, source=rows)
     starts, numbers = spread_range(F.col("__upto") - F.col("__times") + 1, F.col("__upto"))
     blocks = placed.withColumn("__start", F.explode(starts))
     return blocks.repartition(F.xxhash64("x", "__start")).select("x", "n", F.explode(numbers).alias("i"))

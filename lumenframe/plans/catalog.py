@@ -23,7 +23,7 @@ QUERIES: dict[str, Query] = {}
 
 
 class Tables:
-    """The given Parquet tables by attribute, NaN read as missing."""
+    """The given Parquet tables by attribute."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = apply_defaults(spark), folder
@@ -566,7 +566,8 @@ def _(t: Tables) -> DataFrame:
 
 def _rolled(t: Tables, agg: str) -> DataFrame:
     table = timeseries.rolling(t.orders, "o_orderdate", "o_totalprice", 7, agg)
-    return rounded(table.withColumn("o_orderdate", day("o_orderdate")), 8)
+    shown = rounded(table.withColumn("o_orderdate", day("o_orderdate")), 8)
+    return shown.withColumn("rolled", F.round("rolled", 5)) if agg == "std" else shown
 
 
 for _name in ("mean", "median", "std"):

@@ -532,11 +532,13 @@ WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS ts, event_type, SUM(value) AS v FR
 SELECT x.ts, y.event_type, ROUND(COALESCE(v, 0) / SUM(COALESCE(v, 0)) OVER (PARTITION BY x.ts) * 100, 4) AS value
 FROM (SELECT DISTINCT ts FROM c) x CROSS JOIN (SELECT DISTINCT event_type FROM c) y
 LEFT JOIN c ON c.ts = x.ts AND c.event_type = y.event_type"""
-for _name, _text in (("mean", "AVG(raw)"), ("median", "quantile_cont(raw, 0.5)"), ("std", "STDDEV_SAMP(raw)")):
+for _name, _text, _digits in (
+    ("mean", "AVG(raw)", 8), ("median", "quantile_cont(raw, 0.5)", 8), ("std", "STDDEV_SAMP(raw)", 5),
+):
     SQL[f"T7_rolling_{_name}"] = f"""
 WITH s AS (SELECT o_orderdate AS d, AVG(o_totalprice) AS raw FROM orders GROUP BY 1)
 SELECT strftime(d, '%Y-%m-%d') AS o_orderdate, ROUND(raw, 8) AS raw,
-       ROUND(CASE WHEN COUNT(*) OVER w >= 3 THEN {_text} OVER w END, 8) AS rolled
+       ROUND(CASE WHEN COUNT(*) OVER w >= 3 THEN {_text} OVER w END, {_digits}) AS rolled
 FROM s WINDOW w AS (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""
 SQL["T7_rolling_events"] = f"""WITH {GAPPY}
 SELECT event_id, ROUND(value, 4) AS raw, ROUND(CASE WHEN COUNT(*) OVER w >= 25 THEN SUM(value) OVER w END, 4) AS rolled

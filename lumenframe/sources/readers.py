@@ -30,9 +30,14 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.select(*[clean(f) for f in df.schema.fields])
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; missing paths raise ``FileNotFoundError``."""
-    return missing_as_null(_load(spark.read, path, "parquet"))
+def read_parquet(spark: SparkSession, path: str, clean: bool = False) -> DataFrame:
+    """A Parquet table; missing paths raise ``FileNotFoundError``.
+
+    Every operator takes NaN for missing by itself, so the scan is left bare and
+    filters reach the files; ``clean`` turns NaN into null at once.
+    """
+    table = _load(spark.read, path, "parquet")
+    return missing_as_null(table) if clean else table
 
 
 def _load(reader, path: str, kind: str) -> DataFrame:
