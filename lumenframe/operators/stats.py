@@ -7,11 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
 from ..functions.normal import polynomial, with_normal_quantile
 from ..schema import as_double, col, is_missing, numeric_columns, quoted, require_columns, require_numeric
+from ..session import settle
 from .grouped import crosstab
 from .ordering import Order, look_up, running_sums, spread_range
 
@@ -30,13 +33,14 @@ def _numbers(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return chosen
 
 
-def _pair_rows(df: DataFrame, columns: Sequence[str], values: Sequence[Column]) -> tuple[DataFrame, Column]:
+def _pair_rows(df: DataFrame, columns: Sequence[str], values: Sequence[Column],
+               pairs: Sequence[tuple[int, int]] | None = None) -> tuple[DataFrame, Column]:
     """Rows ``(i, j, u, v)`` per column pair where neither side is missing, and the name array."""
     packed = df.select(F.array(*values).alias("__v"))
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                      for i, j in combinations(range(len(columns)), 2)])
+    wanted = pairs if pairs is not None else combinations(range(len(columns)), 2)
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in wanted])
     names = F.array(*map(F.lit, columns))
-    rows = packed.select("__v", F.inline(pairs)).select(
+    rows = packed.select("__v", F.inline(listed)).select(
         "i", "j", F.get("__v", F.col("i")).alias("u"), F.get("__v", F.col("j")).alias("v")
     )
     return rows.where(F.col("u").isNotNull() & F.col("v").isNotNull()), names
@@ -57,11 +61,51 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
     return _pearson(df, columns, [as_double(df, c) for c in columns])
 
 
+# Up to this many columns without gaps, all cross products fit one generated aggregate.
+_PRODUCT_COLUMNS = 24
+
+
 def _pearson(df: DataFrame, columns: Sequence[str], values: Sequence[Column]) -> DataFrame:
-    rows, names = _pair_rows(df, columns, values)
-    return rows.groupBy("i", "j").agg(_product_moment("u", "v").alias("r"), F.count(F.lit(1)).alias("n")).select(
-        F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), "r", "n"
-    )
+    """Columns without gaps share one pass over centred products; a pair with a
+    gap drops its own rows and is summed row by row."""
+    table = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)])
+    seen = table.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(c).alias(f"{name}_{c}") for c in table.columns
+          for name, f in (("count", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))],
+    ).first()
+    n = seen["n"]
+    whole = [i for i in range(len(columns)) if n and seen[f"count_c{i}"] == n]
+    varied = [i for i in whole if seen[f"min_c{i}"] < seen[f"max_c{i}"]]
+    r = _centred_products(table, varied, [seen[f"mean_c{i}"] for i in varied])
+    rows = [(columns[i], columns[j], r.get((i, j)), n) for i, j in combinations(whole, 2)]
+    done = df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long")
+    gappy = [(i, j) for i, j in combinations(range(len(columns)), 2) if not (i in whole and j in whole)]
+    if not gappy:
+        return done
+    pairs, names = _pair_rows(df, columns, values, gappy)
+    summed = pairs.groupBy("i", "j").agg(_product_moment("u", "v").alias("r"), F.count(F.lit(1)).alias("n"))
+    named = summed.select(F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), "r", "n")
+    return done.unionByName(named) if rows else named
+
+
+def _centred_products(table: DataFrame, columns: Sequence[int], means: Sequence[float]) -> dict:
+    """Pearson's r per pair of gap-free columns; the driver receives one matrix of sums."""
+    if len(columns) < 2:
+        return {}
+    if len(columns) > _PRODUCT_COLUMNS:
+        inputs = [f"c{i}" for i in columns]
+        vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(table).select("features")
+        matrix = Correlation.corr(vectors, "features").first()[0].toArray()
+        pairs = {(i, j): float(matrix[a, b]) for (a, i), (b, j) in combinations(enumerate(columns), 2)}
+        return {k: r for k, r in pairs.items() if r == r}
+    centred = table.select(*[(F.col(f"c{i}") - F.lit(m)).alias(f"c{i}") for i, m in zip(columns, means)])
+    keys = [*combinations(columns, 2), *((i, i) for i in columns)]
+    sums = dict(zip(keys, centred.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in keys]).first()))
+    return {
+        (i, j): sums[i, j] / (sums[i, i] ** 0.5 * sums[j, j] ** 0.5)
+        for i, j in combinations(columns, 2) if sums[i, i] and sums[j, j]
+    }
 
 
 def _product_moment(u: str, v: str) -> Column:
@@ -94,6 +138,7 @@ def _spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing, and per pair of columns otherwise, since a pair drops its own rows."""
     values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     seen = values.agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.bool_or(F.col(c).isNull()).alias(f"gap_{c}") for c in values.columns],
         *[F.approx_count_distinct(c).alias(f"distinct_{c}") for c in values.columns],
     ).first()
@@ -105,7 +150,11 @@ def _spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i in whole:
             table = average_ranks(values, f"c{i}").withColumnRenamed("rank", f"r{i}")
             ranked = look_up(ranked, table, f"c{i}", "__times", distinct[i])
-        parts.append(_pearson(ranked, [columns[i] for i in whole], [F.col(f"r{i}") for i in whole]))
+        n = seen["n"]
+        table = ranked.select(*[F.col(f"r{i}").alias(f"c{i}") for i in whole])
+        r = _centred_products(table, whole, [(n + 1) / 2] * len(whole))
+        rows = [(columns[i], columns[j], r.get((i, j)), n) for i, j in combinations(whole, 2)]
+        parts.append(df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long"))
     for i, j in combinations(range(len(columns)), 2):
         if i in whole and j in whole:
             continue
@@ -145,6 +194,8 @@ def _kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     levels, reach = 0, BLOCK_POINTS
     while reach < largest:
         levels, reach = levels + 1, reach * GRID
+    if levels:
+        points = settle(points)
     surplus = _surplus(points, ["pair"], levels).groupBy("pair").agg(F.sum("s").alias("s"))
 
     def ties(side: str) -> DataFrame:
@@ -190,6 +241,8 @@ def _surplus(points: DataFrame, by: list[str], levels: int) -> DataFrame:
         number = start * 2 + lone
         lookup = placed.select(*by, side, number.alias(block))
         blocked = blocked.join(lookup, [*by, side])
+    # Used four times below.
+    blocked = settle(blocked)
     bu, bv = f"bu{levels}", f"bv{levels}"
     cells = blocked.groupBy(*by, bu, bv).agg(F.sum("w").cast("double").alias("n"))
     mixed_u, mixed_v = F.col(bu) % 2 == 0, F.col(bv) % 2 == 0

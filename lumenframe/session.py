@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every operator relies on. Results must not depend on the
 # machine's time zone, and adaptive execution does the run-time re-planning
@@ -59,3 +59,13 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster.")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-", dir=os.environ.get("TMPDIR")))
     return spark.sparkContext.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write the table to the shared checkpoint folder and go on from there.
+
+    For tables that several later steps read: the work is done once, the plan
+    stays short, and a lost executor does not bring the work back.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
