@@ -440,9 +440,8 @@ def quantiles(
     splits = [[float("-inf"), *sorted(set(cuts[x] or [0.0])), float("inf")] for x in inputs]
     outputs = [f"__b{i}" for i in range(len(columns))]
     cutter = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs, handleInvalid="keep")
-    long = _melt(
-        cutter.transform(values), by, columns, [[x, b] for x, b in zip(inputs, outputs)], ["x", BUCKET]
-    )
+    cut = cutter.transform(values).withColumns({b: F.col(b).cast("int") for b in outputs})
+    long = _melt(cut, by, columns, [[x, b] for x, b in zip(inputs, outputs)], ["x", BUCKET])
 
     group = Window.partitionBy(*map(quoted, keys))
     counts = (
@@ -558,6 +557,13 @@ def look_up(df: DataFrame, table: DataFrame, key: str, count: str, distinct: int
     return joined.select(*map(quoted, df.columns), *[found[c].alias(c) for c in payload])
 
 
+def scatter(df: DataFrame, *keys: Column) -> DataFrame:
+    """Spread rows that each stand for much work; the fixed number of partitions
+    keeps adaptive execution from merging them again for their small size."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(partitions, *keys)
+
+
 def spread_range(first: Column, last: Column, block: int = 65536) -> tuple[Column, Column]:
     """Two explode steps for a long run of integers: blocks, then numbers in a block.
 

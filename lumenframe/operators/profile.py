@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -130,6 +131,29 @@ def high_correlations(df: DataFrame, threshold: float = HIGH_CORRELATION) -> Dat
     )
 
 
+@dataclass(frozen=True)
+class Profile:
+    """The parts of a table profile, each a lazy table; parts without columns are ``None``."""
+
+    info: DataFrame
+    size: DataFrame
+    missing: DataFrame
+    numeric: DataFrame | None
+    text: DataFrame | None
+    high_correlations: DataFrame | None
+
+
+def profile(df: DataFrame, exact: bool = True) -> Profile:
+    """P2–P5 and P12 together."""
+    numbers, texts = numeric_columns(df), string_columns(df)
+    return Profile(
+        dataset_info(df), data_size(df), missing_summary(df),
+        describe(df, numbers, exact) if numbers else None,
+        describe_text(df, texts) if texts else None,
+        high_correlations(df) if len(numbers) > 1 else None,
+    )
+
+
 def column_roles(df: DataFrame, exact: bool = True) -> DataFrame:
     """Role, distinct count and missing percentage of every column.
 

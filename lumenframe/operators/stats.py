@@ -16,7 +16,7 @@ from ..functions.normal import polynomial, with_normal_quantile
 from ..schema import as_double, col, is_missing, numeric_columns, quoted, require_columns, require_numeric
 from ..session import settle
 from .grouped import crosstab
-from .ordering import Order, look_up, running_sums, spread_range
+from .ordering import Order, look_up, running_sums, scatter, spread_range
 
 ALPHA = 0.05
 METHODS = ("pearson", "spearman", "kendall")
@@ -323,7 +323,7 @@ def normal_scores(df: DataFrame, column: str) -> DataFrame:
     placed = running_sums(counts, Order(("x",)), {"__upto": F.col("__times")}, totals={"__upto": "n"}, source=rows)
     starts, numbers = spread_range(F.col("__upto") - F.col("__times") + 1, F.col("__upto"))
     blocks = placed.withColumn("__start", F.explode(starts))
-    return blocks.repartition(F.xxhash64("x", "__start")).select("x", "n", F.explode(numbers).alias("i"))
+    return scatter(blocks, F.xxhash64("x", "__start")).select("x", "n", F.explode(numbers).alias("i"))
 
 
 # Royston's published polynomials (AS R94, 1995), constant term first.

@@ -8,7 +8,7 @@ from ..functions.aggregates import grouped_aggregate
 from ..functions.temporal import as_time_axis, bucket_index, bucket_label, frequency, is_time, needs_origin
 from ..schema import as_double, col, quoted, require_columns, require_numeric
 from .grouped import fold_rare
-from .ordering import Order, row_positions, spread_range
+from .ordering import Order, row_positions, scatter, spread_range
 
 ROLLING = ("mean", "sum", "min", "max", "std", "var", "count", "median", "skew", "kurt")
 _CHUNK = 65536
@@ -60,7 +60,8 @@ def _fill_buckets(table: DataFrame, agg: str) -> DataFrame:
     """Add the buckets without rows."""
     span = table.agg(F.min("__bucket_no").alias("a"), F.max("__bucket_no").alias("b")).where(F.col("a").isNotNull())
     starts, numbers = spread_range(F.col("a"), F.col("b"))
-    spine = span.withColumn("__start", F.explode(starts)).select(F.explode(numbers).alias("__bucket_no"))
+    blocks = scatter(span.withColumn("__start", F.explode(starts)), F.col("__start"))
+    spine = blocks.select(F.explode(numbers).alias("__bucket_no"))
     filled = spine.join(table, "__bucket_no", "left")
     empty = {"sum": 0.0, "count": 0, "size": 0, "nunique": 0, "prod": 1.0}
     if agg in empty:

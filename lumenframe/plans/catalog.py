@@ -566,8 +566,8 @@ def _(t: Tables) -> DataFrame:
 
 def _rolled(t: Tables, agg: str) -> DataFrame:
     table = timeseries.rolling(t.orders, "o_orderdate", "o_totalprice", 7, agg)
-    shown = rounded(table.withColumn("o_orderdate", day("o_orderdate")), 8)
-    return shown.withColumn("rolled", F.round("rolled", 5)) if agg == "std" else shown
+    return table.select(day("o_orderdate").alias("o_orderdate"), F.round("raw", 8).alias("raw"),
+                        F.round("rolled", 5 if agg == "std" else 8).alias("rolled"))
 
 
 for _name in ("mean", "median", "std"):

@@ -50,6 +50,14 @@ def test_describe_matches_pandas(spark, house):
     assert np.allclose(ours.loc[theirs.index].to_numpy(dtype=float), theirs.to_numpy())
 
 
+def test_profile_parts(house, spark):
+    done = profile.profile(house)
+    assert done.numeric.count() == 4 and done.text.count() == 1 and done.high_correlations.count() == 0
+    assert done.size.first()["bytes"] > 2000 * 32
+    texts_only = profile.profile(spark.createDataFrame([("a",)], "t string"))
+    assert texts_only.numeric is None and texts_only.high_correlations is None
+
+
 def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
     assert profile.dataset_info(df).first()["missing"] == 2
