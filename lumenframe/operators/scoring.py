@@ -57,7 +57,8 @@ def threshold_curve(scored: DataFrame, positive: str = "label", score: str = "sc
                     by: Sequence[str] = ()) -> DataFrame:
     """M8: ROC and precision-recall points, one per distinct score, highest score first."""
     require_columns(scored, positive, score, *by)
-    rows = scored.select(
+    named = scored.na.drop(subset=list(by)) if by else scored
+    rows = named.select(
         *map(quoted, by), col(score).cast("double").alias("threshold"), col(positive).cast("long").alias("__hit")
     )
     counts = rows.groupBy(*map(quoted, by), "threshold").agg(

@@ -415,12 +415,15 @@ def group_moments(df: DataFrame, column: str, group: str, row_id: str | None = N
 
 def t_test(df: DataFrame, column: str, group: str, row_id: str | None = None) -> DataFrame:
     """H5: pooled two-sample t test; the first group to appear comes first."""
-    found = group_moments(df, column, group, row_id)
-    levels = found.limit(3).count()
-    if levels != 2:
-        raise ValueError(f"Group column must have exactly 2 unique values. Found: {'more than 2' if levels > 2 else levels}")
+    # Three rows at most: enough to know whether there are exactly two groups.
+    found = group_moments(df, column, group, row_id).limit(3)
+    rows = found.collect()
+    if len(rows) != 2:
+        raise ValueError(
+            f"Group column must have exactly 2 unique values. Found: {'more than 2' if len(rows) > 2 else len(rows)}"
+        )
     place = F.row_number().over(Window.orderBy("first_seen"))
-    numbered = found.withColumn("k", place)
+    numbered = df.sparkSession.createDataFrame(rows, found.schema).withColumn("k", place)
 
     def side(k: int, name: str) -> Column:
         return F.max(F.when(F.col("k") == k, F.col(name)))
@@ -441,8 +444,6 @@ def t_test(df: DataFrame, column: str, group: str, row_id: str | None = None) ->
 def anova(df: DataFrame, column: str, group: str) -> DataFrame:
     """H6: one-way analysis of variance over two or more groups."""
     found = group_moments(df, column, group)
-    if found.limit(2).count() < 2:
-        raise ValueError("Need at least 2 groups for ANOVA.")
     # Between-group variation as a weighted variance of the group means.
     grand = F.broadcast(found.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")))
     row = found.crossJoin(grand).agg(
@@ -451,6 +452,10 @@ def anova(df: DataFrame, column: str, group: str) -> DataFrame:
         F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"),
         F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("within"),
     )
+    sums = row.first()
+    if sums["k"] < 2:
+        raise ValueError("Need at least 2 groups for ANOVA.")
+    row = df.sparkSession.createDataFrame([sums], row.schema)
     f = F.try_divide(F.col("between") / F.col("dof1"), F.try_divide(F.col("within"), F.col("dof2")))
     p = special.on_statistics(special.fisher_sf, F.col("f"), F.col("dof1"), F.col("dof2"))
     return (
@@ -501,10 +506,11 @@ def mean_interval(df: DataFrame, column: str, confidence: float = 0.95) -> DataF
     require_numeric(df, column)
     x = as_double(df, column)
     row = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
-    size = row.first()["n"]
-    if size < 2:
+    sums = row.first()
+    if sums["n"] < 2:
         raise ValueError("Need at least 2 samples for confidence interval.")
-    reach = F.lit(special.student_quantile(0.5 + confidence / 2, size - 1)) * F.col("s") / F.sqrt("n")
+    row = df.sparkSession.createDataFrame([sums], row.schema)
+    reach = F.lit(special.student_quantile(0.5 + confidence / 2, sums["n"] - 1)) * F.col("s") / F.sqrt("n")
     return row.select(
         F.lit(column).alias("column"),
         F.round("m", 4).alias("mean"),

@@ -527,6 +527,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _resampled(t: Tables, freq: str, agg: str) -> DataFrame:
+    # A hole of three days, so that buckets without rows appear.
     gaps = t.events.where((F.dayofmonth("ts") < 10) | (F.dayofmonth("ts") > 12))
     table = timeseries.resample(gaps, "ts", "value", freq, agg)
     return rounded(table.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm")), 4)
