@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..schema import as_double, col, dtype, fresh_name, is_numeric, quoted
+from ..schema import as_double, col, dtype, fresh_name, is_missing, is_numeric, quoted
 
 BUCKET = "__bucket"
 # Longs beyond this are not told apart as doubles.
@@ -209,7 +209,7 @@ def carry_forward(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFra
     order = Order((row_id,))
     cuts = find_cuts(df, order)
     ranged = assign_range(df, order, cuts)
-    present = {c: ~_absent(df, c) for c in columns}
+    present = {c: ~is_missing(df, c) for c in columns}
     ends = ranged.groupBy(BUCKET).agg(
         *[F.max_by(F.when(present[c], col(c)), F.when(present[c], col(row_id))).alias(f"__end_{i}")
           for i, c in enumerate(columns)]
@@ -230,12 +230,6 @@ def carry_forward(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFra
     )
 
 
-def _absent(df: DataFrame, column: str) -> Column:
-    if isinstance(dtype(df, column), (T.DoubleType, T.FloatType)):
-        return col(column).isNull() | F.isnan(col(column))
-    return col(column).isNull()
-
-
 # A bracket is refined until it holds at most this many distinct values.
 BRACKET_VALUES = 1_000_000
 _BATCH = 24
@@ -518,7 +512,7 @@ def _melt(
 def value_counts(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "count") -> DataFrame:
     """Distinct values with their counts, nulls left out."""
     return (
-        df.where(~_absent(df, column))
+        df.where(~is_missing(df, column))
         .groupBy(*map(quoted, [*by, column]))
         .agg(F.count(F.lit(1)).alias(name))
     )
