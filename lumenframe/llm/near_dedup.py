@@ -10,9 +10,10 @@ Work in large buckets stays bounded. Documents with equal sets are one class bef
 ``BUCKET_ROWS`` are refined: the six clean chunks fall into five groups of chunks, so two lie in one group and the pair
 also meets in a bucket keyed by two chunks of a group. Buckets that are still large hold thousands of near copies; they
 are dealt into random blocks. The first pass only asks each bucket or block for a spanning forest by distance, which
-joins up groups of copies at a linear number of pairs. The second pass then asks the buckets that still hold several
-components for every remaining pair across components; for a large bucket all pairs of blocks take part. So no link
-between components is lost, and a bucket that is one component costs nothing more.
+joins up groups of copies at a linear number of pairs. All other near pairs lie inside the clusters that these forests
+span. The second pass takes the clusters that still hold several components and compares all members of different
+components there, block by block, on signatures and then on full sets, and returns only links that join components up.
+So no link between components is lost, and a cluster that is one component costs nothing more.
 """
 
 from __future__ import annotations
@@ -111,48 +112,13 @@ def _forest(signatures: np.ndarray) -> Iterator[tuple[int, int]]:
         parent[closer] = k
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of the buckets of rows sorted by bucket; a bucket has a bounded number of rows.
-
-    ``across`` asks for all pairs of different components, else for each bucket's forest.
-    """
+def _by_bucket(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]:
+    """``pairs`` of whole buckets, from rows sorted by bucket; a bucket has a bounded number of rows."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        bucket = table["bucket"].to_numpy()
-        rep = table["rep"].to_numpy()
-        part = table["component"].to_numpy() if across else None
-        raw = table["signature"].combine_chunks()
-        raw = pa.concat_arrays(raw.chunks) if isinstance(raw, pa.ChunkedArray) else raw
-        signatures = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
-        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if len(bucket) else 0))
-        ends = np.append(starts[1:], len(bucket))
-        a, b = [], []
-        two = starts[ends - starts == 2]
-        if len(two):
-            near = (signatures[two] != signatures[two + 1]).sum(axis=1) <= MAX_DISTANCE
-            if across:
-                near &= part[two] != part[two + 1]
-            a.append(rep[two[near]])
-            b.append(rep[two[near] + 1])
-        for start, end in zip(starts, ends):
-            if end - start < 3:
-                continue
-            own, ids = signatures[start:end], rep[start:end]
-            if across:
-                for k in range(end - start - 1):
-                    near = (own[k + 1 :] != own[k]).sum(axis=1) <= MAX_DISTANCE
-                    near &= part[start + k + 1 : end] != part[start + k]
-                    other = ids[k + 1 :][near]
-                    a.append(np.full(len(other), ids[k]))
-                    b.append(other)
-            else:
-                edges = np.array(list(_forest(own)), dtype=np.int64).reshape(-1, 2)
-                a.append(ids[edges[:, 0]])
-                b.append(ids[edges[:, 1]])
-        a = np.concatenate(a) if a else np.empty(0, dtype=np.int64)
-        b = np.concatenate(b) if b else np.empty(0, dtype=np.int64)
-        edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    def found(table: pa.Table) -> pa.RecordBatch:
+        edges = pairs(table.combine_chunks())
+        edges = np.unique(np.sort(edges, axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=schema)
 
     held: pa.Table | None = None
@@ -165,19 +131,103 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[p
         # The last bucket may go on in the next batch.
         whole = int(np.searchsorted(bucket, bucket[-1], side="left"))
         if whole:
-            yield pairs(held.slice(0, whole))
+            yield found(held.slice(0, whole))
             held = held.slice(whole)
     if held is not None and held.num_rows:
-        yield pairs(held)
-
-
-def _pairs_of(rows: DataFrame, across: bool) -> DataFrame:
+        yield found(held)
+
+
+def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The representatives, their signatures, and each bucket's first and last row."""
+    bucket = table["bucket"].to_numpy()
+    signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return table["rep"].to_numpy(), signatures, list(zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist()))
+
+
+def _forests(table: pa.Table) -> np.ndarray:
+    rep, signatures, buckets = _opened(table)
+    two = np.array([start for start, end in buckets if end - start == 2], dtype=np.int64)
+    two = two[(signatures[two] != signatures[two + 1]).sum(axis=1) <= MAX_DISTANCE]
+    found = [np.stack([rep[two], rep[two + 1]], axis=1)]
+    for start, end in buckets:
+        if end - start > 2:
+            edges = np.array(list(_forest(signatures[start:end])), dtype=np.int64).reshape(-1, 2)
+            found.append(rep[start:end][edges])
+    return np.concatenate(found)
+
+
+def _confirmed_across(table: pa.Table) -> np.ndarray:
+    """Confirmed links between components, as many as it takes to join them up."""
+    rep, signatures, buckets = _opened(table)
+    component = table["component"].to_numpy()
+    lists = table["shingles"].combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    sets = [np.sort(lists[k].values.to_numpy()) for k in range(len(lists))]
+    sizes = np.array([len(s) for s in sets])
+    found = []
+    for start, end in buckets:
+        root = {int(c): int(c) for c in component[start:end]}
+
+        def top(c: int, root=root) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for k in range(start, end - 1):
+            rest = slice(k + 1, end)
+            away = (signatures[rest] != signatures[k]).sum(axis=1)
+            fit = (component[rest] != component[k]) & (away <= MAX_DISTANCE)
+            fit &= 100 * np.minimum(sizes[rest], sizes[k]) >= MIN_SIMILARITY_PERCENT * np.maximum(sizes[rest], sizes[k])
+            at = np.flatnonzero(fit)
+            for j in (at[np.argsort(away[at], kind="stable")] + k + 1).tolist():
+                left, right = top(int(component[k])), top(int(component[j]))
+                if left != right:
+                    common = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                    if 100 * common >= MIN_SIMILARITY_PERCENT * (sizes[k] + sizes[j] - common):
+                        root[max(left, right)] = min(left, right)
+                        found.append((rep[k], rep[j]))
+    return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+
+def _pairs_of(rows: DataFrame, pairs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _bucket_pairs(batches, across)
+        return _by_bucket(batches, pairs)
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
+def _open_rows(members: DataFrame) -> DataFrame:
+    """(bucket, rep, component) such that any two members of a cluster but of different components share a bucket.
+
+    Clusters of one component are left out. A cluster above BUCKET_ROWS is cut into blocks: those of its largest
+    component meet the others, and the others meet each other too.
+    """
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("cluster").agg(
+        F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    sizes = stored(sizes.where("parts > 1").select(
+        "cluster", "all", F.col("top.component").alias("main"),
+        F.ceil(2 * F.col("top.n") / BUCKET_ROWS).alias("main_blocks"),
+        F.ceil(2 * (F.col("all") - F.col("top.n")) / BUCKET_ROWS).alias("other_blocks")), "clusters")
+    rows = members.join(sizes, "cluster")
+    small = rows.where(F.col("all") <= BUCKET_ROWS).select(F.xxhash64("cluster").alias("bucket"), "rep", "component")
+    big = rows.where(F.col("all") > BUCKET_ROWS)
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    in_main = F.pmod(F.xxhash64("rep"), F.col("main_blocks"))
+    in_other = F.pmod(F.xxhash64("rep"), F.col("other_blocks"))
+    main = F.transform(numbers("other_blocks"), lambda i: F.xxhash64("cluster", F.lit("main"), i, in_main))
+    other = F.concat(
+        F.transform(numbers("main_blocks"), lambda j: F.xxhash64("cluster", F.lit("main"), in_other, j)),
+        F.transform(numbers("other_blocks"), lambda k: F.xxhash64("cluster", F.lit("other"), F.least(k, in_other), F.greatest(k, in_other))))
+    big = big.select(F.explode(F.when(F.col("component") == F.col("main"), main).otherwise(other)).alias("bucket"), "rep", "component")
+    return small.unionByName(big)
+
+
+def _missing_links(rows: DataFrame) -> DataFrame:
+    return stored(_pairs_of(rows.select("bucket", "rep", "component", "signature", "shingles"), _confirmed_across), "missing")
+
+
 def _counted(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key occurs more than once, with how often as ``times``."""
     counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "counts")
@@ -222,7 +272,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.unionByName(part)
     signed = reps.select("digest", "signature")
 
-    tried = stored(_pairs_of(rows.join(signed, "digest").select("bucket", "rep", "signature"), False), "tried")
+    tried = stored(_pairs_of(rows.join(signed, "digest").select("bucket", "rep", "signature"), _forests), "tried")
     nodes = tried.select(F.col("a").alias("rep")).unionByName(tried.select(F.col("b").alias("rep"))).unionByName(
         large.select("rep")).distinct()
     chosen = reps.join(nodes, "rep", "left_semi").select("rep", "digest", "n")
@@ -243,20 +293,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = stored(confirmed(tried).unionByName(same_id.join(reps.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b")), "links")
     labels = components(links)
 
-    labelled = lambda df: df.join(
-        labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = lambda df, key: df.join(stored(
-        df.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(key),
-        "mixed"), key, "left_semi")
-    open_normal = mixed(stored(labelled(normal), "labelled"), "bucket").select("bucket", "rep", "digest", "component")
-    open_large = mixed(stored(labelled(large), "labelled"), "fine")
-    # All pairs of blocks of the large buckets that are not one component yet.
-    mates = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda y: F.xxhash64(
-        "fine", F.lit("pair"), F.least(y, block(0)), F.greatest(y, block(0))))
-    open_large = open_large.select(F.explode(mates).alias("bucket"), "rep", "digest", "component")
-    rows = open_normal.unionByName(open_large).join(signed, "digest").select("bucket", "rep", "component", "signature")
-    rest = _pairs_of(rows, True).join(tried, ["a", "b"], "left_anti")
-    labels = components(links.unionByName(confirmed(rest)))
+    # Clusters of everything that could still be linked: the forests span each bucket's near pairs.
+    stars = large.groupBy("fine").agg(F.min("rep").alias("a")).join(large.select("fine", F.col("rep").alias("b")), "fine")
+    clusters = components(tried.unionByName(stars.select("a", "b"))).withColumnRenamed("component", "cluster")
+    members = clusters.withColumnRenamed("node", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    members = stored(members.select("rep", "cluster", F.coalesce("component", "rep").alias("component")), "members")
+    rows = _open_rows(members).join(full, "rep").join(reps.select("rep", "signature"), "rep")
+    labels = components(links.unionByName(_missing_links(rows)))
 
     named = stored(
         classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
