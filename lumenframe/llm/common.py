@@ -43,25 +43,27 @@ def structs(**columns) -> pa.StructArray:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (node, component), the component named by its smallest node.
 
-    ``edges`` has integer columns a and b; self loops and repeats are harmless, null ends are ignored.
-    Every round takes the smallest label among the neighbours and then follows one pointer (a node takes the label
-    of its label), until nothing changes. Minima are combined before the shuffle, so a hub costs one row a task.
+    ``edges`` has integer columns a and b; self loops and repeats are harmless, edges with a null end are ignored.
+    Every round points each node to its smallest neighbour, follows the pointers one step further, and contracts the
+    edges to those nodes, which leaves fewer and fewer of them. Minima are combined before the shuffle, so a hub costs
+    one row a task.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(both.where("a is not null and b is not null").distinct(), "edges")
-    # The first labels come from the edges alone.
-    labels = stored(
-        both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")),
-        "labels",
-    )
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
-        step = labels.join(seen.agg(F.min("component").alias("low")), "node", "left").select(
-            "node", F.col("component").alias("was"), F.least("component", "low").alias("next"))
-        step = stored(step, "step")
-        ahead = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        fresh = stored(step.join(ahead, "next", "left").select("node", "was", F.least("next", "far").alias("component")), "labels")
-        moved = not fresh.where("component < was").isEmpty()
-        labels = fresh.select("node", "component")
-        if not moved:
-            return labels
+    def between(df: DataFrame) -> DataFrame:
+        return stored(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    edges = between(edges.select(F.col("a").cast("long"), F.col("b").cast("long")))
+    mapping = None
+    while mapping is None or not edges.isEmpty():
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = stored(ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("to")), "first")
+        second = first.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = stored(first.join(second, "to").select("node", F.col("far").alias("to")), "step")
+        if mapping is None:
+            mapping = step.withColumnRenamed("to", "component")
+        else:
+            onward = step.select(F.col("node").alias("component"), "to")
+            mapping = stored(mapping.join(onward, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        edges = between(edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+                        .join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+                        .select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return mapping

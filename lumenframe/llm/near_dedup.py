@@ -39,7 +39,7 @@ MAX_DISTANCE = 26
 BANDS_IN_GROUP = 7
 BUCKET_ROWS = 512
 #: Random dealings of a large bucket in the first pass.
-DEALINGS = 3
+DEALINGS = 2
 
 _SET = "struct<n:int,digest:binary,signature:binary,bands:array<long>>"
 
@@ -264,12 +264,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fine = stored(_counted(refined, "fine"), "fine")
     normal = normal.unionByName(
         fine.where(f"times <= {BUCKET_ROWS}").select(F.col("fine").alias("bucket"), "rep", "digest"))
-    large = fine.where(f"times > {BUCKET_ROWS}").withColumn("blocks", F.ceil(2 * F.col("times") / BUCKET_ROWS))
-    block = lambda seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.col("blocks"))
-    dealt = [large.select(F.xxhash64("fine", F.lit(seed), block(seed)).alias("bucket"), "rep", "digest") for seed in range(DEALINGS)]
+    large = fine.where(f"times > {BUCKET_ROWS}")
+    # For the forests, a document takes part in one of its large buckets, dealt into blocks.
+    block = lambda seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.ceil(2 * F.col("times") / BUCKET_ROWS))
+    once = large.groupBy("rep", "digest").agg(F.min(F.struct("fine", "times")).alias("f")).select("rep", "digest", "f.fine", "f.times")
     rows = normal
-    for part in dealt:
-        rows = rows.unionByName(part)
+    for seed in range(DEALINGS):
+        rows = rows.unionByName(once.select(F.xxhash64("fine", F.lit(seed), block(seed)).alias("bucket"), "rep", "digest"))
     signed = reps.select("digest", "signature")
 
     tried = stored(_pairs_of(rows.join(signed, "digest").select("bucket", "rep", "signature"), _forests), "tried")
