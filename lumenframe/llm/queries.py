@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup
+from lumenframe.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op9_language_id": language_id.op9_language_id,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
