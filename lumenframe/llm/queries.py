@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, token_counts, toxicity
+from lumenframe.llm import byte_bpe, decontaminate, exact_dedup, html_text, language_id, near_dedup, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -11,10 +11,13 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op3_token_counts": token_counts.op3_token_counts,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_main_text": html_text.op6_main_text,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
 SQL = {
+    "op4_secret_scan": secrets.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
