@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import byte_bpe, decontaminate, exact_dedup, html_text, language_id, near_dedup, secrets, token_counts, toxicity
+from lumenframe.llm import byte_bpe, decontaminate, exact_dedup, html_text, language_id, language_model, near_dedup, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_main_text": html_text.op6_main_text,
+    "op10_language_model": language_model.op10_language_model,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
