@@ -37,7 +37,9 @@ BANDS = 32
 #: Pairs at a similarity of 0.8 differ in 12.8 places on average with a deviation of 3.2: 26 is over four deviations up.
 MAX_DISTANCE = 26
 BANDS_IN_GROUP = 7
-BUCKET_ROWS = 512
+BUCKET_ROWS = 2048
+#: Documents of a cluster, with their full sets, that one task of the second pass compares.
+CLUSTER_ROWS = 512
 #: Random dealings of a large bucket in the first pass.
 DEALINGS = 2
 
@@ -200,7 +202,7 @@ def _pairs_of(rows: DataFrame, pairs) -> DataFrame:
 def _open_rows(members: DataFrame) -> DataFrame:
     """(bucket, rep, component) such that any two members of a cluster but of different components share a bucket.
 
-    Clusters of one component are left out. A cluster above BUCKET_ROWS is cut into blocks: those of its largest
+    Clusters of one component are left out. A cluster above CLUSTER_ROWS is cut into blocks: those of its largest
     component meet the others, and the others meet each other too.
     """
     parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -208,11 +210,11 @@ def _open_rows(members: DataFrame) -> DataFrame:
         F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
     sizes = stored(sizes.where("parts > 1").select(
         "cluster", "all", F.col("top.component").alias("main"),
-        F.ceil(2 * F.col("top.n") / BUCKET_ROWS).alias("main_blocks"),
-        F.ceil(2 * (F.col("all") - F.col("top.n")) / BUCKET_ROWS).alias("other_blocks")), "clusters")
+        F.ceil(2 * F.col("top.n") / CLUSTER_ROWS).alias("main_blocks"),
+        F.ceil(2 * (F.col("all") - F.col("top.n")) / CLUSTER_ROWS).alias("other_blocks")), "clusters")
     rows = members.join(sizes, "cluster")
-    small = rows.where(F.col("all") <= BUCKET_ROWS).select(F.xxhash64("cluster").alias("bucket"), "rep", "component")
-    big = rows.where(F.col("all") > BUCKET_ROWS)
+    small = rows.where(F.col("all") <= CLUSTER_ROWS).select(F.xxhash64("cluster").alias("bucket"), "rep", "component")
+    big = rows.where(F.col("all") > CLUSTER_ROWS)
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     in_main = F.pmod(F.xxhash64("rep"), F.col("main_blocks"))
     in_other = F.pmod(F.xxhash64("rep"), F.col("other_blocks"))
@@ -257,10 +259,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = stored(_counted(bands, "band"), "bands")
     normal = first.where(f"times <= {BUCKET_ROWS}").select(F.col("band").alias("bucket"), "rep", "digest")
     hot = first.where(f"times > {BUCKET_ROWS}").select("band", "rep", "digest")
+    # A pair with two clean chunks in one group meets in the lower one's bucket or, where that is hot, under both.
     group = lambda c: F.floor(F.shiftrightunsigned(c, 32) / BANDS_IN_GROUP)
-    refined = hot.join(reps.select("digest", "bands"), "digest").select("rep", "digest", "band", F.explode("bands").alias("other"))
-    refined = refined.where((F.col("other") != F.col("band")) & (group(F.col("other")) == group(F.col("band")))).select(
-        "rep", "digest", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("fine")).distinct()
+    mates = F.filter("bands", lambda other: (other > F.col("band")) & (group(other) == group(F.col("band"))))
+    refined = hot.join(reps.select("digest", "bands"), "digest").select("rep", "digest", "band", F.explode(mates).alias("other"))
+    refined = refined.select("rep", "digest", F.xxhash64("band", "other").alias("fine"))
     fine = stored(_counted(refined, "fine"), "fine")
     normal = normal.unionByName(
         fine.where(f"times <= {BUCKET_ROWS}").select(F.col("fine").alias("bucket"), "rep", "digest"))
