@@ -116,13 +116,15 @@ def _pieces(texts: list[str], labels: list[int]) -> tuple[list[np.ndarray], np.n
     random = np.random.default_rng(3)
     rows, known, out = [], {}, []
     for text, label in zip(texts, labels):
+        if len(known) > 50_000:
+            known.clear()
         words, start = words_of(text), 0
         # Every piece of a short text; of a long one as many pieces, spread over the whole of it.
-        stride = max(1, len(words) // 400)
+        stride = max(1, len(words) // 200)
         while start < len(words):
             size = int(random.integers(3, PIECE_WORDS))
             piece = words[start : start + size]
-            rows.append(np.array([r for w in piece for r in (known.get(w) or known.setdefault(w, subwords(w)))], dtype=np.int64))
+            rows.append(np.array([r for w in piece for r in (known.get(w) or known.setdefault(w, subwords(w)))], dtype=np.uint16))
             out.append(label)
             start += size * stride
     return rows, np.array(out, dtype=np.int64)
