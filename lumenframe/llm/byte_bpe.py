@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -141,6 +142,26 @@ def _merged_by_heap(ids: list[int], merges: dict[int, int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+def splitter(pattern: str):
+    """All matches of the pattern in a text. ASCII texts need no character tables, which the plain module does faster."""
+    any_text = regex.compile(pattern).findall
+    ranges = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9"}
+
+    def plain(found: re.Match) -> str:
+        part = found.group()
+        if part in ranges:
+            return f"[{ranges[part]}]"
+        for name, letters in ranges.items():
+            part = part.replace(name, letters)
+        return part
+
+    plainer = re.sub(r"\[(?:\\.|[^\]\\])*\]|\\p\{[LN]\}", plain, pattern)
+    if r"\p" in plainer:
+        return any_text
+    ascii_text = re.compile(plainer, re.ASCII).findall
+    return lambda text: ascii_text(text) if text.isascii() else any_text(text)
+
+
 class Words(dict):
     """Ids by word: the frequent ones, and those met before."""
 
@@ -195,7 +216,7 @@ def encoder(docs: DataFrame, text_col: str, ranks: Ranks):
         values = [numbers[v] for v in values.tolist()]
         frequent = {w: tuple(values[a:b]) for w, a, b in zip(words, offsets[:-1].tolist(), offsets[1:].tolist())}
         known = Words(frequent, byte_ids, dict(zip(pairs.tolist(), (numbers[m] for m in merged.tolist()))))
-        split, look = regex.compile(pattern).findall, known.__getitem__
+        split, look = splitter(pattern), known.__getitem__
         for batch in batches:
             parts: list[np.ndarray] = []
             chunks: list[pa.Array] = []

@@ -16,10 +16,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lumenframe.llm.byte_bpe import splitter
 from lumenframe.llm.common import structs, texts_of
 
 # Fixed values of the vocabulary: how it splits text, marks word ends and writes bytes.
@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     @arrow_udf("struct<n_words:long,n_tokens:long,n_unknown:long>")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        split, look = regex.compile(PATTERN).findall, Counts(shared.value).__getitem__
+        split, look = splitter(PATTERN), Counts(shared.value).__getitem__
         for batch in batches:
             words, tokens, unknown = [], [], []
             for text in texts_of(batch):
