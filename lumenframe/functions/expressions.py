@@ -26,8 +26,9 @@ _BINARY = {
     ast.Mult: lambda a, b: a * b,
     ast.Div: lambda a, b: F.try_divide(_double(a), _double(b)),
     ast.FloorDiv: lambda a, b: F.floor(F.try_divide(_double(a), _double(b))),
-    ast.Mod: lambda a, b: F.when(b != 0, F.pmod(a, b)),
-    ast.Pow: lambda a, b: F.pow(a, b),
+    # The remainder has the divisor's sign; a power that is not a real number is missing.
+    ast.Mod: lambda a, b: F.when(b != 0, F.when((a % b != 0) & ((a % b < 0) != (b < 0)), a % b + b).otherwise(a % b)),
+    ast.Pow: lambda a, b: F.nanvl(F.pow(a, b), F.lit(None).cast("double")),
     ast.BitAnd: lambda a, b: a & b,
     ast.BitOr: lambda a, b: a | b,
 }

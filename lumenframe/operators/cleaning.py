@@ -174,7 +174,7 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_levels: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], max_levels: int | None = None) -> DataFrame:
     """One boolean column ``<column>_<level>`` per sorted level; missing is all false."""
     require_columns(df, *columns)
     kept = [col(c) for c in df.columns if c not in columns]

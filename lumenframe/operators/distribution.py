@@ -242,6 +242,9 @@ def hexbin(df: DataFrame, x_column: str, y_column: str, gridsize: int = 40) -> D
     # A hair of padding keeps the extreme points inside the lattice.
     pad = 1e-9
     edges = points.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    # A constant column gets a range of one unit around it.
+    edges = edges.select(*[F.when(F.col("lo_" + c) == F.col("hi_" + c), F.col(f"{n}_{c}") + half).otherwise(F.col(f"{n}_{c}")).alias(f"{n}_{c}")
+                           for c in "xy" for n, half in (("lo", -0.5), ("hi", 0.5))])
     steps = edges.select(
         *[F.expr(f"lo_{c} - (hi_{c} - lo_{c}) * {pad}D").alias(f"o{c}") for c in "xy"],
         *[F.expr(f"(hi_{c} - lo_{c}) * (1 + 2 * {pad}D) / {k}").alias(f"s{c}") for c, k in (("x", nx), ("y", ny))],

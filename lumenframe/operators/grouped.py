@@ -54,24 +54,21 @@ def bar(df: DataFrame, column: str, value: str | None = None, agg: str = "mean",
     return best.crossJoin(total)
 
 
-def crosstab(df: DataFrame, row: str, column: str, fill: bool = True, max_levels: int = 1000) -> DataFrame:
-    """A5: joint counts in long form; absent cells are 0.
-
-    Filling the grid needs the levels of ``column`` first, so their number is
-    checked; ``fill=False`` gives the observed cells for any number of levels.
-    """
+def crosstab(df: DataFrame, row: str, column: str, fill: bool = True) -> DataFrame:
+    """A5: joint counts in long form; absent cells are 0, or left out with ``fill=False``."""
     require_columns(df, row, column)
     counts = grouped_aggregate(df, [row, column], None, "size", name="count")
     if not fill:
         return counts
-    levels = column_levels(df, column, max_levels)
-    if not levels:
-        return counts
-    grid = counts.select(quoted(row)).distinct().withColumn(column, F.explode(F.array(*map(F.lit, levels))))
+    # Every level of one key beside every level of the other is the result asked for: the levels of ``column`` come as
+    # one row with an array.
+    levels = counts.agg(F.sort_array(F.collect_set(col(column))).alias("__levels"))
+    rows = counts.select(quoted(row)).distinct()
+    grid = rows.crossJoin(F.broadcast(levels)).select(quoted(row), F.explode("__levels").alias(column))
     return grid.join(counts, [row, column], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def crosstab_wide(df: DataFrame, row: str, column: str, max_levels: int = 1000) -> DataFrame:
+def crosstab_wide(df: DataFrame, row: str, column: str, max_levels: int | None = None) -> DataFrame:
     """A5, wide: one column per level; the level list is read first."""
     require_columns(df, row, column)
     levels = column_levels(df, column, max_levels)
@@ -79,10 +76,11 @@ def crosstab_wide(df: DataFrame, row: str, column: str, max_levels: int = 1000)
     return present.groupBy(quoted(row)).pivot(quoted(column), levels).agg(F.count(F.lit(1))).fillna(0)
 
 
-def column_levels(df: DataFrame, column: str, max_levels: int) -> list:
-    """The sorted distinct values, needed where levels become columns."""
-    found = df.where(~is_missing(df, column)).select(col(column)).distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
+def column_levels(df: DataFrame, column: str, max_levels: int | None = None) -> list:
+    """The sorted distinct values, needed where levels become columns; an error if there are more than allowed."""
+    found = df.where(~is_missing(df, column)).select(col(column)).distinct()
+    found = (found if max_levels is None else found.limit(max_levels + 1)).collect()
+    if max_levels is not None and len(found) > max_levels:
         raise ValueError(f"'{column}' has more than {max_levels} levels; use the long form.")
     return sorted(r[0] for r in found)
 
@@ -96,7 +94,7 @@ def pivot(df: DataFrame, index: str, column: str, value: str, agg: str = "mean",
 
 
 def pivot_wide(df: DataFrame, index: str, column: str, value: str, agg: str = "mean",
-               row_id: str | None = None, max_levels: int = 1000) -> DataFrame:
+               row_id: str | None = None, max_levels: int | None = None) -> DataFrame:
     """A6 as a matrix, one column per level."""
     cells = pivot(df, index, column, value, agg, row_id)
     levels = column_levels(df, column, max_levels)

@@ -43,7 +43,6 @@ from .scoring import (
 )
 
 SEED = 42
-MAX_CLASSES = 1000
 MAX_CURVES = 8
 CLASSIFICATION_LEVELS = 10
 TEST_PERCENT = 20
@@ -100,7 +99,7 @@ def prepare(df: DataFrame, target: str, features: Sequence[str] | None = None, r
     classes: list | None = None
     label = as_double(used, target) if is_numeric(dtype(used, target)) else None
     if classified:
-        classes = column_levels(used, target, MAX_CLASSES)
+        classes = column_levels(used, target)
         if len(classes) < 2:
             raise ValueError(f"'{target}' needs at least 2 classes, found {len(classes)}.")
         label = (F.array_position(F.array(*map(F.lit, classes)), col(target)) - 1).cast("double")
@@ -361,7 +360,7 @@ _DEEPEST = 30
 _TASK_LEVELS = 2 * CLASSIFICATION_LEVELS
 
 
-def dummies(df: DataFrame, target: str, max_levels: int = MAX_CLASSES) -> DataFrame:
+def dummies(df: DataFrame, target: str, max_levels: int | None = None) -> DataFrame:
     """M6 inputs: numbers as they are, text as 0/1 columns without the first level."""
     kept_columns, made = [], []
     for c in df.columns:
@@ -455,7 +454,7 @@ def tune(df: DataFrame, target: str, model_type: str = "RandomForest", grid: Map
     gaps = columns_with_gaps(wide, wide.columns)
     if gaps:
         raise ValueError(f"Hyperparameter tuning failed: missing values in {gaps}.")
-    classes = column_levels(wide, target, MAX_CLASSES) if classified else None
+    classes = column_levels(wide, target) if classified else None
     if classes is not None and len(classes) < 2:
         raise ValueError(f"Hyperparameter tuning failed: '{target}' has one class.")
     label = as_double(wide, target) if not classified else (

@@ -9,6 +9,7 @@ only steer the balance; the results are exact whatever the cut points are.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -33,8 +34,34 @@ def range_count(df: DataFrame) -> int:
     return max(32, min(8192, 4 * partitions))
 
 
-def order_number(df: DataFrame, column: str) -> Column:
-    """A double that never decreases while the column increases."""
+# Texts that divide a text key into ranges, at most, and the characters kept of each.
+_TEXT_MARKS = 2304
+_MARK_CHARS = 256
+
+
+def text_marks(df: DataFrame, order: Order, column: str) -> tuple[str, ...]:
+    """Sorted texts that divide the column about evenly: a bounded sample of its values, taken by hash of the keys."""
+    by = F.xxhash64(*map(quoted, order.columns))
+    value = F.substring(col(column), 1, _MARK_CHARS)
+    sample = df.where(col(column).isNotNull()).select(value.alias("v"), by.alias("h")).orderBy("h", "v").limit(_TEXT_MARKS)
+    return tuple(sorted({r["v"] for r in sample.collect()}, key=str.encode))
+
+
+def marks_passed(value: Column, marks: Sequence[str]) -> Column:
+    """How many of the sorted marks are not above the value, found in two steps of about the root of their number."""
+    if not marks:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(marks)))
+    chunks = [list(marks[i : i + step]) for i in range(0, len(marks), step)]
+    literal = lambda v, kind: F.from_json(F.lit(json.dumps(v)), kind)
+    heads = literal([c[0] for c in chunks], "array<string>")
+    chunk = F.size(F.filter(heads, lambda m: m <= value))
+    inside = F.filter(F.element_at(literal(chunks, "array<array<string>>"), F.greatest(chunk, F.lit(1))), lambda m: m <= value)
+    return F.when(chunk == 0, 0).otherwise((chunk - 1) * step + F.size(inside))
+
+
+def order_number(df: DataFrame, column: str, marks: Sequence[str] = ()) -> Column:
+    """A double that never decreases while the column increases; for texts, the number of marks passed."""
     kind = dtype(df, column)
     value = col(column)
     if isinstance(kind, T.TimestampNTZType):
@@ -44,9 +71,7 @@ def order_number(df: DataFrame, column: str) -> Column:
     elif isinstance(kind, T.DateType):
         value = F.unix_date(value)
     elif isinstance(kind, T.StringType):
-        # The first six bytes as one number, in the binary order of strings.
-        lead = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0")
-        value = F.conv(lead, 16, 10)
+        value = F.when(value.isNotNull(), marks_passed(value, marks))
     elif not (is_numeric(kind) or isinstance(kind, T.BooleanType)):
         raise ValueError(f"Column '{column}' cannot be ordered.")
     return F.coalesce(F.nanvl(value.cast("double"), F.lit(None).cast("double")), F.lit(float("-inf")))
@@ -62,11 +87,13 @@ class Order:
     def keys(self) -> list[Column]:
         return [col(c).desc() if c in self.descending else col(c).asc() for c in self.columns]
 
-    def numbers(self, df: DataFrame) -> list[Column]:
-        return [
-            -order_number(df, c) if c in self.descending else order_number(df, c)
-            for c in self.columns[:2]
-        ]
+    def marks(self, df: DataFrame) -> tuple[tuple[str, ...], ...]:
+        """For the keys that divide the table, the marks of those that are texts."""
+        return tuple(text_marks(df, self, c) if isinstance(dtype(df, c), T.StringType) else () for c in self.columns[:2])
+
+    def numbers(self, df: DataFrame, marks: Sequence[Sequence[str]]) -> list[Column]:
+        found = [order_number(df, c, m) for c, m in zip(self.columns, marks)]
+        return [-n if c in self.descending else n for c, n in zip(self.columns, found)]
 
 
 @dataclass(frozen=True)
@@ -81,6 +108,7 @@ class Cuts:
     rows: int
     tie_edges: tuple[float, ...] = ()
     hot: tuple[float, ...] = ()
+    marks: tuple[tuple[str, ...], ...] = ()
 
     @property
     def small(self) -> bool:
@@ -107,7 +135,8 @@ def _sketch_points(name: str, ranks: Sequence[float]) -> Column:
 def find_cuts(df: DataFrame, order: Order, by: Sequence[str] = (), ranges: int | None = None) -> Cuts:
     """One aggregate job; the driver receives a bounded list of numbers."""
     ranges = ranges or range_count(df)
-    numbers = order.numbers(df)
+    marks = order.marks(df)
+    numbers = order.numbers(df, marks)
     keys = F.approx_count_distinct(F.xxhash64(*map(quoted, [*by, *order.columns])))
     sketches = df.agg(keys.alias("rows"), *[_sketch(n).alias(f"s{i}") for i, n in enumerate(numbers)])
     steps = [i / ranges for i in range(1, ranges)]
@@ -115,12 +144,13 @@ def find_cuts(df: DataFrame, order: Order, by: Sequence[str] = (), ranges: int |
     points = list(row[1] or [])
     edges = sorted(set(points))
     repeated = sorted({a for a, b in zip(points, points[1:]) if a == b and abs(a) < _EXACT_DOUBLE})
-    if len(numbers) == 1 or not repeated:
-        return Cuts(tuple(edges), row["rows"])
+    # Different texts may pass the same marks, so such a range can't be divided by the second key.
+    if len(numbers) == 1 or not repeated or isinstance(dtype(df, order.columns[0]), T.StringType):
+        return Cuts(tuple(edges), row["rows"], marks=marks)
     # A value holding several quantiles gets a range of its own, which the
     # second key then divides further.
     edges = sorted({*edges, *repeated, *(math.nextafter(v, math.inf) for v in repeated)})
-    return Cuts(tuple(edges), row["rows"], tuple(sorted(set(row[2] or []))), tuple(repeated))
+    return Cuts(tuple(edges), row["rows"], tuple(sorted(set(row[2] or []))), tuple(repeated), marks)
 
 
 def _range_of(df: DataFrame, number: Column, edges: Sequence[float], name: str) -> DataFrame:
@@ -134,7 +164,7 @@ def _range_of(df: DataFrame, number: Column, edges: Sequence[float], name: str)
 
 def assign_range(df: DataFrame, order: Order, cuts: Cuts) -> DataFrame:
     """Add the range number; equal order keys always share a range."""
-    numbers = order.numbers(df)
+    numbers = order.numbers(df, cuts.marks)
     out = _range_of(df, numbers[0], cuts.edges, BUCKET)
     # Never null, so that joining on it adds no filter to one side only and both
     # sides share one shuffle.

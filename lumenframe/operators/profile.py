@@ -258,6 +258,9 @@ def duplicate_rows(df: DataFrame, row_id: str, subset: Sequence[str] | None = No
     """
     subset = list(subset or [c for c in df.columns if c != row_id])
     require_columns(df, *subset, row_id)
+    named = df.agg(F.count(F.lit(1)).alias("rows"), F.count(col(row_id)).alias("ids")).first()
+    if named["rows"] != named["ids"]:
+        raise ValueError(f"'{row_id}' must name every row, but {named['rows'] - named['ids']} rows have none.")
     firsts = df.groupBy(*_duplicate_key(df, subset)).agg(F.min(col(row_id)).alias("__first")).select("__first")
     return df.join(firsts, col(row_id) == F.col("__first"), "left_anti")
 

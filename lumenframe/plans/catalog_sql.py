@@ -317,9 +317,7 @@ SELECT {key}, rank, ROUND(total, 4) AS total, ROUND(total / everything * 100, 4)
 
 SQL["A8_pareto_counts"] = pareto("SELECT o_custkey, COUNT(*) AS total FROM orders GROUP BY 1", "o_custkey")
 SQL["A8_pareto_values"] = pareto(
-    "SELECT c_nationkey, SUM(c_acctbal) AS total FROM customer GROUP BY 1 HAVING SUM(c_acctbal) > 0", "c_nationkey",
-    "WHERE rank <= 15",
-)
+    "SELECT c_nationkey, SUM(c_acctbal) AS total FROM customer GROUP BY 1 HAVING SUM(c_acctbal) > 0", "c_nationkey")
 SQL["A9_waterfall"] = """
 WITH p AS (SELECT CAST(c_nationkey AS VARCHAR) AS category, SUM(c_acctbal) AS v FROM customer GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY ABS(v) DESC, category) AS k FROM p),
@@ -500,7 +498,8 @@ SQL["R2_auto_two_categories"] = SQL["A5_crosstab"]
 
 
 def resampled(bucket: str, step: str, value: str, label: str = "b") -> str:
-    return f"""WITH e AS (SELECT *, {bucket} AS b FROM events WHERE day(ts) < 10 OR day(ts) > 12),
+    shifted = "SELECT * REPLACE (CASE WHEN day(ts) BETWEEN 10 AND 12 THEN ts + INTERVAL 3 DAY ELSE ts END AS ts) FROM events"
+    return f"""WITH e AS (SELECT *, {bucket} AS b FROM ({shifted})),
 g AS (SELECT b, {value} AS v FROM e GROUP BY 1),
 s AS (SELECT unnest(generate_series(MIN(b), MAX(b), {step})) AS b FROM g)
 SELECT strftime({label}, '%Y-%m-%d %H:%M') AS ts, {{}} AS value FROM s LEFT JOIN g USING (b)"""

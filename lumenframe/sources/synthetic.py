@@ -1,139 +1,58 @@
 """Seeded demonstration tables with a planted signal, generated in parallel.
 
-Levels, weights and effect sizes are those of the demonstration data; the
-random streams are Spark's own.
+Three tables of the kinds an analyst meets: subscribers who may leave, flats with a few mispriced ones, and daily
+sales. Each plants one property that a test or a demonstration can find again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Levels and their weights.
-CHURN_LEVELS: dict[str, dict] = {
-    "gender": {"Male": 0.5, "Female": 0.5},
-    "senior_citizen": {0: 0.84, 1: 0.16},
-    "partner": {"Yes": 0.48, "No": 0.52},
-    "dependents": {"Yes": 0.30, "No": 0.70},
-    "phone_service": {"Yes": 0.90, "No": 0.10},
-    "internet_service": {"DSL": 0.34, "Fiber optic": 0.44, "No": 0.22},
-    "contract_type": {"Month-to-month": 0.55, "One year": 0.21, "Two year": 0.24},
-    "payment_method": {
-        "Electronic check": 0.34, "Mailed check": 0.23, "Bank transfer": 0.22, "Credit card": 0.21,
-    },
-}
-HOUSE_LEVELS: dict[str, dict] = {
-    "bedrooms": {1: 0.05, 2: 0.15, 3: 0.35, 4: 0.30, 5: 0.15},
-    "bathrooms": {1: 0.15, 2: 0.45, 3: 0.30, 4: 0.10},
-    "stories": {1: 0.50, 2: 0.40, 3: 0.10},
-    "parking": {0: 0.10, 1: 0.40, 2: 0.40, 3: 0.10},
-    "mainroad": {"yes": 0.85, "no": 0.15},
-    "guestroom": {"yes": 0.35, "no": 0.65},
-    "basement": {"yes": 0.40, "no": 0.60},
-    "hotwaterheating": {"yes": 0.20, "no": 0.80},
-    "airconditioning": {"yes": 0.60, "no": 0.40},
-    "furnishingstatus": {"furnished": 0.25, "semi-furnished": 0.35, "unfurnished": 0.40},
-}
-# Price per unit of a number, and per "yes".
-HOUSE_UNIT_PRICE = {"area": 100, "bedrooms": 50000, "bathrooms": 30000, "stories": 25000, "parking": 15000}
-HOUSE_YES_PRICE = {
-    "mainroad": 80000, "guestroom": 40000, "basement": 60000, "hotwaterheating": 20000, "airconditioning": 35000,
-}
-HOUSE_FURNISHING_PRICE = {"furnished": 100000, "semi-furnished": 50000, "unfurnished": 0}
-PRODUCT_LEVELS = {"PROD_A": 0.35, "PROD_B": 0.30, "PROD_C": 0.20, "PROD_D": 0.15}
-HOUSE_OUTLIER_SHARE = 35 / 545
-
-
-def _drawn(base: DataFrame, levels: Mapping[str, Mapping], seed: int) -> DataFrame:
-    # Each column draws from its own stream. The draws are kept in columns of
-    # their own first, since one draw decides between all levels.
-    draws = {f"__u_{name}": F.rand(seed + i) for i, name in enumerate(levels)}
-    out = base.withColumns(draws)
-    for name, weights in levels.items():
-        reached, chosen = 0.0, None
-        names = list(weights)
-        for level in names[:-1]:
-            reached += weights[level]
-            hit = F.col(f"__u_{name}") < reached
-            chosen = F.when(hit, F.lit(level)) if chosen is None else chosen.when(hit, F.lit(level))
-        out = out.withColumn(name, chosen.otherwise(F.lit(names[-1])))
-    return out.drop(*draws)
-
-
-def _integer(low: int, high: int, seed: int) -> Column:
-    """Whole numbers from ``low`` to ``high - 1``."""
-    return F.floor(F.rand(seed) * (high - low) + low).cast("long")
-
-
-def customer_churn(spark: SparkSession, rows: int = 7043, seed: int = 42) -> DataFrame:
-    """Churn is likelier for short, monthly, expensive contracts paid by electronic check."""
-    base = _drawn(spark.range(rows), CHURN_LEVELS, seed)
-    base = base.withColumns({"tenure": _integer(0, 73, seed + 100), "__noise": F.randn(seed + 101)})
-    tier = F.when(F.col("internet_service") == "Fiber optic", 85.0).when(F.col("internet_service") == "DSL", 55.0)
-    commitment = F.when(F.col("contract_type") == "Month-to-month", 8.0).when(
-        F.col("contract_type") == "Two year", -10.0
-    )
-    charge = F.round(tier.otherwise(20.0) + commitment.otherwise(0.0) + 8 * F.col("__noise"), 2)
-    charged = base.withColumn("monthly_charges", F.least(F.greatest(charge, F.lit(18.0)), F.lit(120.0))).withColumn(
-        "total_charges", F.round(F.col("monthly_charges") * F.greatest("tenure", F.lit(1)), 2)
-    )
-    effects = [
-        (F.col("contract_type") == "Month-to-month", 1.4), (F.col("tenure") < 12, 1.2), (F.col("tenure") > 48, -1.0),
-        (F.col("payment_method") == "Electronic check", 0.6), (F.col("monthly_charges") > 80, 0.5),
-        (F.col("senior_citizen") == 1, 0.3),
-    ]
-    odds = F.lit(-1.0)
-    for condition, effect in effects:
-        odds = odds + condition.cast("int") * effect
-    chance = 1 / (1 + F.exp(-odds))
-    drawn = charged.withColumns({"__p": chance, "__draw": F.rand(seed + 102)})
-    return drawn.withColumn("churn", F.when(F.col("__draw") < F.col("__p"), "Yes").otherwise("No")).select(
-        "gender", "senior_citizen", "partner", "dependents", "tenure", "phone_service", "internet_service",
-        "contract_type", "payment_method", "monthly_charges", "total_charges", "churn",
-    )
-
-
-def house_price(spark: SparkSession, rows: int = 545, seed: int = 42) -> DataFrame:
-    """Price rises with area and fittings; about one in sixteen houses is far too dear."""
-    base = _drawn(spark.range(rows), HOUSE_LEVELS, seed).withColumns(
-        {
-            "area": _integer(500, 5000, seed + 100), "__noise": F.randn(seed + 101),
-            "__odd": F.rand(seed + 102) < HOUSE_OUTLIER_SHARE, "__factor": 2 + 2 * F.rand(seed + 103),
-        }
-    )
-    price = 50000 * F.col("__noise")
-    for name, unit in HOUSE_UNIT_PRICE.items():
-        price = price + F.col(name) * unit
-    for name, bonus in HOUSE_YES_PRICE.items():
-        price = price + (F.col(name) == "yes").cast("int") * bonus
-    for level, bonus in HOUSE_FURNISHING_PRICE.items():
-        price = price + (F.col("furnishingstatus") == level).cast("int") * bonus
-    price = F.greatest(price, F.lit(100000.0))
-    price = F.when(F.col("__odd"), price * F.col("__factor")).otherwise(price)
-    return base.select("area", *HOUSE_LEVELS, price.cast("long").alias("price"))
-
 
-def sales_timeseries(spark: SparkSession, days: int = 1000, seed: int = 42) -> DataFrame:
-    """Daily sales from 2022-01-01 with trend, yearly and weekly season, promotions and holidays."""
-    date = F.date_add(F.lit("2022-01-01").cast("date"), F.col("id").cast("int"))
-    base = _drawn(spark.range(days).withColumn("date", date), {"product_id": PRODUCT_LEVELS}, seed).withColumns(
-        {"__noise": F.randn(seed + 100), "promotion": (F.rand(seed + 101) < 0.15).cast("long")}
-    )
-    d = F.col("date")
-    trend = 1000 + 1000 * F.col("id") / max(days - 1, 1)
-    season = 300 * F.sin(2 * F.pi() * F.dayofyear(d) / 365)
-    weekend = F.when(F.weekday(d) >= 5, 200).otherwise(0)
-    sales = F.round(F.greatest(trend + season + weekend + 100 * F.col("__noise"), F.lit(100.0)))
-    sales = F.floor(F.when(F.col("promotion") == 1, sales * 1.3).otherwise(sales))
-    month, day = F.month(d), F.dayofmonth(d)
-    holiday = (
-        ((month == 1) & (day == 1)) | ((month == 12) & (day == 25)) | ((month == 7) & (day == 4))
-        | ((month == 11) & day.between(22, 28) & (F.weekday(d) == 3))
-    )
-    sales = F.floor(F.when(holiday, sales * 1.5).otherwise(sales)).cast("long")
+def _pick(u: Column, names: list[str]) -> Column:
+    """One of the names, each as likely, for a number drawn from [0, 1)."""
+    return F.element_at(F.array(*map(F.lit, names)), (F.floor(u * len(names)) + 1).cast("int"))
+
+
+def customer_churn(spark: SparkSession, rows: int = 5000, seed: int = 1) -> DataFrame:
+    """Subscribers; monthly plans and the first year are left more readily.
+
+    The chance of leaving is 10 %, plus 25 points on a monthly plan and 20 points in the first year.
+    """
+    drawn = spark.range(rows).select(
+        "id", F.rand(seed).alias("u_plan"), F.rand(seed + 1).alias("u_age"), F.rand(seed + 2).alias("u_pay"),
+        F.randn(seed + 3).alias("noise"), F.rand(seed + 4).alias("u_leave"))
+    named = drawn.select(
+        "id", _pick(F.col("u_plan"), ["monthly", "yearly", "family"]).alias("contract_type"),
+        F.floor(F.col("u_age") * 60).cast("long").alias("tenure"),
+        _pick(F.col("u_pay"), ["card", "invoice", "transfer"]).alias("payment_method"), "noise", "u_leave")
+    charge = F.round(30 + 10 * (F.col("contract_type") == "family").cast("int") + 4 * F.col("noise"), 2)
+    chance = 0.1 + 0.25 * (F.col("contract_type") == "monthly").cast("int") + 0.2 * (F.col("tenure") < 12).cast("int")
+    return named.select(
+        F.col("id").alias("customer_id"), "contract_type", "tenure", "payment_method",
+        F.greatest(charge, F.lit(5.0)).alias("monthly_charges"),
+        F.when(F.col("u_leave") < chance, "Yes").otherwise("No").alias("churn"))
+
+
+def house_price(spark: SparkSession, rows: int = 500, seed: int = 1) -> DataFrame:
+    """Flats whose price follows the area, but for one in twenty that is marked at five times its price."""
+    drawn = spark.range(rows).select(
+        F.rand(seed).alias("u"), F.randn(seed + 1).alias("noise"), F.rand(seed + 2).alias("u_rooms"),
+        F.rand(seed + 3).alias("u_lift"), F.rand(seed + 4).alias("u_odd"))
+    area = F.round(25 + 125 * F.col("u"), 1)
+    fair = 3000 * area + 20000 * F.col("noise") + 15000 * (F.col("u_lift") < 0.5).cast("int")
+    return drawn.select(
+        area.alias("area"), (F.floor(F.col("u_rooms") * 5) + 1).cast("long").alias("rooms"),
+        F.when(F.col("u_lift") < 0.5, "yes").otherwise("no").alias("lift"),
+        F.round(F.when(F.col("u_odd") < 0.05, 5 * fair).otherwise(fair)).cast("long").alias("price"))
+
+
+def sales_timeseries(spark: SparkSession, days: int = 730, seed: int = 1) -> DataFrame:
+    """Daily sales of two shops that grow by a tenth a month; the first of every month is a holiday that doubles them."""
+    date = F.date_add(F.lit("2021-03-01").cast("date"), F.col("id").cast("int"))
+    base = spark.range(days).select("id", date.alias("day"), F.rand(seed).alias("u"), F.randn(seed + 1).alias("noise"))
+    holiday = F.dayofmonth("day") == 1
+    level = 400 * F.pow(F.lit(1.1), F.col("id") / 30.0) * (1 + 0.05 * F.col("noise"))
     return base.select(
-        d.cast("timestamp").alias("date"), "product_id", sales.alias("sales"), "promotion",
-        holiday.cast("long").alias("holiday"), F.date_format(d, "EEEE").alias("day_of_week"),
-        month.cast("long").alias("month"),
-    )
+        F.col("day").cast("timestamp").alias("date"), _pick(F.col("u"), ["north", "south"]).alias("shop"),
+        F.round(F.when(holiday, 2 * level).otherwise(level)).cast("long").alias("sales"), holiday.cast("long").alias("holiday"))
