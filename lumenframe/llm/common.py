@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenframe.session import shared_dir
 
@@ -22,6 +24,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value) -> Callable:
+    """A function that gives the value, of bounded size, in tasks; the classes it needs travel with it."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 def fold_of(id_col: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col

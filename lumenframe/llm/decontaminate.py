@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lumenframe.llm.common import stored, structs, texts_of
+from lumenframe.llm.common import shared, stored, structs, texts_of
 from lumenframe.llm.shingles import Powers, joined, shingle_sets, word_hashes
 
 WORDS = 5
@@ -111,11 +111,11 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list
 
 
 def _finder(spark: SparkSession, ids: list[str], index: ItemIndex):
-    shared = spark.sparkContext.broadcast((ids, index))
+    given = shared(spark, (ids, index))
 
     @arrow_udf("array<struct<item:string,n_item:int,n_common:int>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names, own = shared.value
+        names, own = given()
         powers = Powers()
         kind = pa.list_(pa.struct([("item", pa.string()), ("n_item", pa.int32()), ("n_common", pa.int32())]))
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lumenframe.llm.common import fold_of, stored, structs
+from lumenframe.llm.common import fold_of, shared, stored, structs
 
 #: Documents sampled for each language, at most, by the smallest hash of their id.
 SAMPLED_DOCS = 500
@@ -165,12 +165,11 @@ def identify(spark: SparkSession, model: LanguageModel | None, text: Column) ->
     ``und`` with score 0, rejected, if the text is null or has no letter, or nothing was learned. Other texts are
     rejected if the best language's share is below the model's limit; lang_pred names that language all the same.
     """
-    shared = spark.sparkContext.broadcast(
-        (model.languages, model.tables(), model.limit) if model else ([], np.zeros((ROWS, 0)), 0.0))
+    given = shared(spark, (model.languages, model.tables(), model.limit) if model else ([], np.zeros((ROWS, 0)), 0.0))
 
     @arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        languages, table, limit = shared.value
+        languages, table, limit = given()
         place: dict[str, int] = {}
         sums = np.zeros((1 << 12, len(languages)))
         counts = np.zeros(1 << 12)

@@ -281,6 +281,8 @@ def score(docs: DataFrame, learn: Column, delete: Column, id_col: str = "doc_id"
 
     cells = answered(blocks.where("deleted"), "rest").mapInArrow(_cells(sums.learned_rest, sums.distinct_rest), "cell long, n long, x double, y double")
     weights = learn_weights(cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")).toPandas())
+    if not sums.learned:
+        weights[:] = [0, 0, 1]
     out = answered(blocks, "total").mapInArrow(
         _scores(weights, sums.learned, sums.distinct), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

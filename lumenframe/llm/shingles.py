@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text hashed in one go.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Odd multipliers of the rolling hash and of the places in a shingle (any odd numbers do).
 BASE = 0x9E3779B97F4A7C15
 PLACES = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]

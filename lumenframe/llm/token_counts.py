@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lumenframe.llm.byte_bpe import splitter
-from lumenframe.llm.common import structs, texts_of
+from lumenframe.llm.common import shared, structs, texts_of
 
 # Fixed values of the vocabulary: how it splits text, marks word ends and writes bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -133,11 +133,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     by row; only the named columns are read; an empty table gives an empty result.
     """
     automaton = Automaton(read_vocabulary(path))
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    given = shared(docs.sparkSession, automaton)
 
     @arrow_udf("struct<n_words:long,n_tokens:long,n_unknown:long>")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        split, look = splitter(PATTERN), Counts(shared.value).__getitem__
+        split, look = splitter(PATTERN), Counts(given()).__getitem__
         for batch in batches:
             words, tokens, unknown = [], [], []
             for text in texts_of(batch):

@@ -7,7 +7,8 @@ Landmarks are words of the labelled training texts, those that tell the labels a
 A sentence is described by its words' largest sharpened kernel value for each landmark, mapped by the inverse root of
 the landmarks' own kernel matrix (Nyström); a document by the largest values over its sentences, which are the largest
 over its words, so sentence ends need no parsing. A linear support vector machine on these features is trained by
-stochastic subgradient descent; its margins become scores by Platt's logistic fit.
+stochastic subgradient descent, with padded forms of the surest insults put into clean rows; its margins become scores by
+Platt's logistic fit.
 
 Words are split at white space, lower-cased, stripped of signs at their ends; a word with signs inside also counts
 without them, and runs of single letters ("i d i o t") are joined to one word as well. Only words that hold most of a landmark's neighbouring characters in order are compared; tasks
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lumenframe.llm.common import fold_of, stored, structs, texts_of
+from lumenframe.llm.common import fold_of, shared, stored, structs, texts_of
 
 LENGTH = 3
 DECAY = 0.8
 #: Power of the normalised kernel (a power of a kernel is a kernel): far words fade, near ones stay.
-SHARPNESS = 4
+SHARPNESS = 3
 LANDMARKS = 64
 PLAIN_LANDMARKS = 16
 #: Landmarks nearer than this are not taken twice.
@@ -38,6 +39,10 @@ APART = 0.45
 #: A telling landmark stands in so many toxic documents and has at least these log odds.
 MIN_DOCS = 3
 MIN_ODDS = 2.0
+#: Landmarks in so many hundredths of the toxic documents are also learned in padded forms, in so many clean rows each.
+SURE_PERCENT = 2
+PADDED_ROWS = 1
+FAR = 0.2
 #: Labelled documents sampled for training, at most, for each label, by the smallest hash of their id.
 SAMPLED_DOCS = 5000
 #: Longest word compared, in characters; longer ones are compared piece by overlapping piece.
@@ -229,8 +234,11 @@ class ToxicityModel:
         self.slope, self.shift = float(max(a, 1e-3)), float(b)
 
 
-def choose_landmarks(sets: list[set[str]], labels: np.ndarray) -> list[str]:
-    """Words by how well they tell the labels apart, none too near to another, then some common plain words."""
+def choose_landmarks(sets: list[set[str]], labels: np.ndarray) -> tuple[list[str], list[str]]:
+    """Words by how well they tell the labels apart, none too near to another, then some common plain words.
+
+    The second list names those found in SURE_PERCENT of the toxic documents and hardly elsewhere.
+    """
     toxic = Counter(w for s, y in zip(sets, labels) if y for w in s if len(w) >= LENGTH)
     clean = Counter(w for s, y in zip(sets, labels) if not y for w in s if len(w) >= LENGTH)
     n, m = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
@@ -248,7 +256,27 @@ def choose_landmarks(sets: list[set[str]], labels: np.ndarray) -> list[str]:
             near = kernel(np.repeat(both[:1], len(chosen), axis=0), both[1:]) / np.sqrt(_own(both)[0] * _own(both)[1:])
             if near.max() < APART:
                 chosen.append(w)
-    return chosen
+    sure = [w for w in chosen if len(w) > LENGTH and odds.get(w, 0) > 2 * MIN_ODDS and 100 * toxic[w] >= SURE_PERCENT * n]
+    return chosen, sure
+
+
+def padded(word: str) -> list[str]:
+    """The word with a strange letter, a sign, a doubled letter inside, and with a letter after it."""
+    k = len(word) // 2
+    return [word[:k] + "x" + word[k:], word[:k] + "*" + word[k:], word[:k] + word[k] + word[k:], word + "s"]
+
+
+def with_padded(largest: np.ndarray, labels: np.ndarray, landmarks: Landmarks, sure: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The training rows, and clean rows into which a padded form of a sure landmark is put, as toxic ones."""
+    clean = np.flatnonzero(labels == 0)
+    # A landmark that ordinary words come near to says nothing in a padded form.
+    far = np.quantile(largest[clean], 0.95, axis=0) < FAR
+    forms = [f for w in sure if far[landmarks.words.index(w)] for f in padded(w)]
+    if not forms:
+        return largest, labels
+    random = np.random.default_rng(9)
+    added = [np.maximum(largest[random.choice(clean, PADDED_ROWS)], v) for v in landmarks.values(forms)]
+    return np.concatenate([largest, *added]), np.concatenate([labels, np.ones(PADDED_ROWS * len(forms), dtype=labels.dtype)])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
@@ -269,13 +297,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(y) or y.min() == y.max():
         return None
     sets = [words_of(t) for t in rows["text"]]
-    words = choose_landmarks(sets, y)
+    words, sure = choose_landmarks(sets, y)
     if not words:
         return None
     model = ToxicityModel(Landmarks(words))
     memory = Remembered(model.landmarks)
     largest = np.concatenate([memory.largest(sets[k : k + 256]) for k in range(0, len(sets), 256)])
-    model.train(largest, y)
+    model.train(*with_padded(largest, y, model.landmarks, sure))
     return model
 
 
@@ -285,11 +313,11 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
     Null and empty texts are scored as texts without words; without a model every score is 0. Null and repeated ids
     are passed on row by row; only the named columns are read; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    given = shared(docs.sparkSession, model)
 
     @arrow_udf("struct<score:double,predicted:int>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = shared.value
+        own = given()
         memory = Remembered(own.landmarks) if own else None
         for batch in batches:
             scores = [np.zeros(0)]
