@@ -201,20 +201,21 @@ def frequent_words(docs: DataFrame, text_col: str, ranks: Ranks) -> DataFrame:
 def encoder(docs: DataFrame, text_col: str, ranks: Ranks):
     """A function from a text column to its ids, array<int>; null counts as empty."""
     spark = docs.sparkSession
-    table = frequent_words(docs, text_col, ranks).toArrow()
-    ids = table["ids"].combine_chunks()
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-    shared = spark.sparkContext.broadcast((table["word"].to_pylist(), ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.uint16),
-                                           ranks.byte_ids, np.fromiter(ranks.merges, np.uint32, len(ranks.merges)),
+    table = frequent_words(docs, text_col, ranks).toArrow().combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    shared = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks.byte_ids, np.fromiter(ranks.merges, np.uint32, len(ranks.merges)),
                                            np.fromiter(ranks.merges.values(), np.uint16, len(ranks.merges))))
     pattern = ranks.pattern
 
     @arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, offsets, values, byte_ids, pairs, merged = shared.value
+        data, byte_ids, pairs, merged = shared.value
         numbers = list(range(1 << 16))  # one object an id
-        values = [numbers[v] for v in values.tolist()]
-        frequent = {w: tuple(values[a:b]) for w, a, b in zip(words, offsets[:-1].tolist(), offsets[1:].tolist())}
+        frequent = {}
+        for part in pa.ipc.open_stream(data):
+            frequent.update(zip(part["word"].to_pylist(), (tuple([numbers[i] for i in ids]) for ids in part["ids"].to_pylist())))
         known = Words(frequent, byte_ids, dict(zip(pairs.tolist(), (numbers[m] for m in merged.tolist()))))
         split, look = splitter(pattern), known.__getitem__
         for batch in batches:
@@ -240,39 +241,39 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``ids`` (array<int>) of every row, without special tokens.
 
     A null or empty text has no ids. Ids of rows are passed on as they are, null and repeated ones too; an empty
     table gives an empty result. Only the named columns are read.
     """
-    return docs.select(F.col(id_col), encoder(docs, text_col, Ranks(path, pattern))(F.col(text_col)).alias("ids"))
+    return docs.select(F.col(id_col), encoder(docs, text_col, ranks)(F.col(text_col)).alias("ids"))
 
 
-def decoded(ids: Column, path: str, pattern: str) -> Column:
+def decoded(ids: Column, ranks: Ranks) -> Column:
     """The bytes of the ids, concatenated; null for null ids."""
-    pieces = _literal([p.hex() for p in Ranks(path, pattern).pieces()], "array<string>")
+    pieces = _literal([p.hex() for p in ranks.pieces()], "array<string>")
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
 
 
-def _encoded_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def _encoded_digests(df: DataFrame, ranks: Ranks) -> DataFrame:
     return df.select(
         "*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), path, pattern), 256).alias("decoded_sha256"))
+        F.sha2(decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents: its number of tokens and digests of its ids and of the decoded bytes."""
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _encoded_digests(encode(docs, path, pattern), path, pattern).drop("ids")
+    return _encoded_digests(encode(docs, ranks), ranks).drop("ids")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks: Ranks, text_col: str = "text") -> DataFrame:
     """The rows with n_tokens, ids_sha256 and decoded_sha256 beside their columns (which give way to these if so named)."""
     new = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    ids = encoder(docs, text_col, Ranks(path, pattern))(F.col(text_col))
-    out = _encoded_digests(docs.drop(*new, "ids").withColumn("ids", ids), path, pattern)
+    ids = encoder(docs, text_col, ranks)(F.col(text_col))
+    out = _encoded_digests(docs.drop(*new, "ids").withColumn("ids", ids), ranks)
     return out.drop("ids")

@@ -23,7 +23,7 @@ from pyspark.sql.functions import arrow_udf
 from lumenframe.llm.common import fold_of, shared, stored, structs
 
 #: Documents sampled for each language, at most, by the smallest hash of their id.
-SAMPLED_DOCS = 500
+SAMPLED_DOCS = 400
 ROWS = 1 << 15
 SIZE = 12
 EPOCHS = 4
@@ -39,11 +39,11 @@ REMEMBERED_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def subwords(word: str) -> list[int]:
-    """Rows of the word's subwords."""
+def subwords(word: str) -> np.ndarray:
+    """Rows of the word's subwords, two bytes each."""
     marked = f"<{word}>"
     data = [marked] + [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(s.encode()) & (ROWS - 1) for s in data]
+    return np.array([zlib.crc32(s.encode()) & (ROWS - 1) for s in data], dtype=np.uint16)
 
 
 def words_of(text: str) -> list[str]:
@@ -116,7 +116,7 @@ def _pieces(texts: list[str], labels: list[int]) -> tuple[list[np.ndarray], np.n
     random = np.random.default_rng(3)
     rows, known, out = [], {}, []
     for text, label in zip(texts, labels):
-        if len(known) > 50_000:
+        if len(known) > 20_000:
             known.clear()
         words, start = words_of(text), 0
         # Every piece of a short text; of a long one as many pieces, spread over the whole of it.
@@ -124,7 +124,7 @@ def _pieces(texts: list[str], labels: list[int]) -> tuple[list[np.ndarray], np.n
         while start < len(words):
             size = int(random.integers(3, PIECE_WORDS))
             piece = words[start : start + size]
-            rows.append(np.array([r for w in piece for r in (known.get(w) or known.setdefault(w, subwords(w)))], dtype=np.uint16))
+            rows.append(np.concatenate([known[w] if w in known else known.setdefault(w, subwords(w)) for w in piece]))
             out.append(label)
             start += size * stride
     return rows, np.array(out, dtype=np.int64)
@@ -142,16 +142,18 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     limits = stored(keys.withColumn("rank", rank).where(F.col("rank") <= SAMPLED_DOCS).groupBy("lang").agg(F.max("key").alias("limit")), "limits")
     sample = rows.select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(text_col).alias("text")).join(F.broadcast(limits), "lang")
-    sample = sample.where("key <= limit").select("lang", "key", "text").toPandas().sort_values(["lang", "key", "text"])
-    if not len(sample):
+    # Plain lists: the driver's memory is scarce.
+    sample = sample.where("key <= limit").select("lang", "key", "text").toArrow()
+    sample = sorted(zip(*(sample[c].to_pylist() for c in ("lang", "key", "text"))))
+    if not sample:
         return None
-    languages = sorted(sample["lang"].unique())
+    languages = sorted({lang for lang, _, _ in sample})
     model = LanguageModel(languages)
     number = {name: k for k, name in enumerate(languages)}
-    kept = sample["key"].to_numpy() % 10 != 0
     parts = []
-    for part in (sample[kept], sample[~kept]):
-        parts.append(_pieces(list(part["text"]), [number[x] for x in part["lang"]]))
+    for held_out in (False, True):
+        part = [(text, number[lang]) for lang, key, text in sample if (key % 10 == 0) == held_out]
+        parts.append(_pieces([text for text, _ in part], [label for _, label in part]))
     if parts[0][0]:
         model.train(*parts[0])
     if parts[1][0]:

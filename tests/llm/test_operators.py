@@ -146,11 +146,11 @@ def test_bpe_equals_the_library_and_round_trips(awkward, empty, monkeypatch):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = byte_bpe.Ranks(*BPE)
     library = tiktoken.Encoding("own", pat_str=BPE[1], mergeable_ranks=ranks.ids, special_tokens={})
-    out = byte_bpe.encode(awkward, *BPE).select("doc_id", "ids", byte_bpe.decoded(F.col("ids"), *BPE).alias("bytes")).collect()
+    out = byte_bpe.encode(awkward, ranks).select("doc_id", "ids", byte_bpe.decoded(F.col("ids"), ranks).alias("bytes")).collect()
     got = sorted((str(r.doc_id), tuple(r.ids), bytes(r.bytes)) for r in out)
     assert got == sorted((str(i), tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in TEXTS)
-    assert byte_bpe.encode(empty, *BPE).count() == 0
-    assert set(byte_bpe.round_trip(awkward, *BPE).columns) >= {"doc_id", "text", "n_tokens", "decoded_sha256"}
+    assert byte_bpe.encode(empty, ranks).count() == 0
+    assert set(byte_bpe.round_trip(awkward, ranks).columns) >= {"doc_id", "text", "n_tokens", "decoded_sha256"}
 
 
 def test_folded_words_and_heap(spark):
