@@ -86,21 +86,31 @@ def frequency(text: str) -> tuple[int, str]:
     if not match or (unit not in _TICK_SECONDS and unit not in _CALENDAR):
         raise ValueError(f"Unknown frequency '{text}'.")
     many = int(match.group(1) or 1)
-    if many < 1 or (many > 1 and unit in _CALENDAR):
-        raise ValueError(f"Unsupported frequency '{text}': only D, h, min and s take a multiple.")
+    if many < 1:
+        raise ValueError(f"Unsupported frequency '{text}': the multiple must be at least 1.")
     return many, unit
 
 
 def bucket_index(time: Column, freq: str, origin: Column | None = None) -> Column:
     """The number of the bucket that holds ``time``.
 
-    Multiples of a tick unit count from ``origin``, midnight of the first day.
+    Multiples count from ``origin``, midnight of the first day. Buckets named by
+    their last day (W, ME, QE, YE) end with the first period, so the first one
+    holds that period alone; the others start with it.
     """
     many, unit = frequency(freq)
     if unit in _TICK_SECONDS:
         seconds = F.unix_seconds(time.cast("timestamp"))
         start = F.unix_seconds(origin.cast("timestamp")) if origin is not None else F.lit(0).cast("long")
         return F.floor((seconds - start) / F.lit(many * _TICK_SECONDS[unit])).cast("long")
+    if many > 1:
+        steps = (_period(time, unit) - _period(origin, unit)) / F.lit(many)
+        return (F.floor(steps) if unit.endswith("S") else F.ceil(steps)).cast("long")
+    return _period(time, unit)
+
+
+def _period(time: Column, unit: str) -> Column:
+    """The number of the calendar week, month, quarter or year."""
     months = F.year(time).cast("long") * 12 + F.month(time) - 1
     if unit == "W":
         # Weeks run Monday to Sunday; 1970-01-01 was a Thursday.
@@ -118,6 +128,8 @@ def bucket_label(index: Column, freq: str, origin: Column | None = None) -> Colu
     if unit in _TICK_SECONDS:
         start = F.unix_seconds(origin.cast("timestamp")) if origin is not None else F.lit(0).cast("long")
         return F.timestamp_seconds(index * F.lit(many * _TICK_SECONDS[unit]) + start)
+    if many > 1:
+        index = _period(origin, unit) + index * many
     if unit == "W":
         return F.date_from_unix_date((index * 7 + 3).cast("int")).cast("timestamp")
     width = {"M": 1, "Q": 3, "Y": 12}[unit[0]]
@@ -127,9 +139,9 @@ def bucket_label(index: Column, freq: str, origin: Column | None = None) -> Colu
 
 
 def needs_origin(freq: str) -> bool:
-    """Whether buckets depend on the first day: steps that do not divide a day."""
+    """Whether buckets depend on the first day: steps that do not divide a day, and multiples of calendar units."""
     many, unit = frequency(freq)
-    return unit in _TICK_SECONDS and 86400 % (many * _TICK_SECONDS[unit]) != 0
+    return 86400 % (many * _TICK_SECONDS[unit]) != 0 if unit in _TICK_SECONDS else many > 1
 
 
 def is_time(df: DataFrame, column: str) -> bool:

@@ -10,6 +10,7 @@ from ..schema import (
     as_double,
     as_label,
     col,
+    dtype,
     is_missing,
     numeric_columns,
     quoted,
@@ -31,11 +32,17 @@ TEXT_STRATEGIES = ("mode", "ffill", "drop")
 
 def modes(df: DataFrame, columns: Sequence[str]) -> list:
     """The most frequent value of each column, smallest on ties; ``None`` without values."""
-    out = []
-    for c in columns:
-        counts = df.where(~is_missing(df, c)).groupBy(col(c).alias("v")).agg((-F.count(F.lit(1))).alias("minus_n"))
-        out.append(counts.agg(F.min(F.struct("minus_n", "v"))["v"]).first()[0])
-    return out
+    found: dict[int, object] = {}
+    kinds: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        kinds.setdefault(dtype(df, c).simpleString(), []).append(i)
+    # Columns of one type are counted together.
+    for places in kinds.values():
+        entries = [F.struct(F.lit(i).alias("i"), F.when(~is_missing(df, columns[i]), col(columns[i])).alias("v")) for i in places]
+        values = df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
+        counts = values.groupBy("i", "v").agg((-F.count(F.lit(1))).alias("minus_n"))
+        found |= {r["i"]: r["best"]["v"] for r in counts.groupBy("i").agg(F.min(F.struct("minus_n", "v")).alias("best")).collect()}
+    return [found.get(i) for i in range(len(columns))]
 
 
 def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:

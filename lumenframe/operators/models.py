@@ -7,8 +7,9 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -25,10 +26,10 @@ from pyspark.ml.evaluation import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import as_double, col, dtype, is_numeric, quoted, require_columns
+from ..session import settle
 from .cleaning import columns_with_gaps, label_encode
 from .grouped import column_levels, confusion
 from .scoring import (
@@ -275,7 +276,9 @@ def _settled(table: DataFrame) -> DataFrame:
 def roc_pr_curves(df: DataFrame, target: str, features: Sequence[str] | None = None,
                   algorithm: str = "RandomForest", row_id: str | None = None) -> DataFrame:
     """M8: the curve points per class."""
-    return roc_pr_points(class_scores(prepare(df, target, features, row_id), algorithm), by=["class"])
+    with kept(prepare(df, target, features, row_id)) as prepared:
+        scored = settle(class_scores(prepared, algorithm))
+    return roc_pr_points(scored, by=["class"])
 
 
 def calibration_curve(df: DataFrame, target: str, features: Sequence[str] | None = None,
@@ -298,7 +301,8 @@ class Residuals:
 def residuals(df: DataFrame, target: str, features: Sequence[str] | None = None, algorithm: str = "RandomForest",
               row_id: str | None = None) -> Residuals:
     """Residual summary, rows and histogram of a regression model."""
-    scored = scored_test_rows(prepare(df, target, features, row_id), algorithm, "regression")
+    with kept(prepare(df, target, features, row_id)) as prepared:
+        scored = settle(scored_test_rows(prepared, algorithm, "regression").select("label", "prediction"))
     return Residuals(residual_summary(scored), residual_rows(scored), residual_histogram(scored))
 
 
@@ -466,12 +470,18 @@ def tune(df: DataFrame, target: str, model_type: str = "RandomForest", grid: Map
     frame = assembler.transform(hashed).select("features", "label", "fold").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = frame.count()
-        scores = []
-        for params in combinations:
-            estimator = _tuned(model_type, len(classes) if classes else None, rows, params)
-            search = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=evaluator,
-                                    numFolds=cv, foldCol="fold", parallelism=parallelism)
-            scores.append(sign * search.fit(frame).avgMetrics[0])
+        estimators = [_tuned(model_type, len(classes) if classes else None, rows, params) for params in combinations]
+
+        def fold_score(task: tuple[Estimator, int]) -> float:
+            estimator, fold = task
+            model = estimator.fit(frame.where(F.col("fold") != fold))
+            return evaluator.evaluate(model.transform(frame.where(F.col("fold") == fold)))
+
+        # Settings and folds are independent fits, run side by side.
+        with ThreadPool(parallelism) as pool:
+            run = inheritable_thread_target(df.sparkSession)(fold_score)
+            found = pool.map(run, list(product(estimators, range(cv))), chunksize=1)
+        scores = [sign * sum(found[i : i + cv]) / cv for i in range(0, len(found), cv)]
     finally:
         frame.unpersist()
     ordered = sorted(zip(combinations, scores), key=lambda p: -p[1])

@@ -422,6 +422,8 @@ def t_test(df: DataFrame, column: str, group: str, row_id: str | None = None) ->
         raise ValueError(
             f"Group column must have exactly 2 unique values. Found: {'more than 2' if len(rows) > 2 else len(rows)}"
         )
+    if min(r["n"] for r in rows) == 0 or sum(r["n"] for r in rows) < 3:
+        raise ValueError(f"'{column}' needs values in both groups, three at least, for a t test.")
     place = F.row_number().over(Window.orderBy("first_seen"))
     numbered = df.sparkSession.createDataFrame(rows, found.schema).withColumn("k", place)
 
@@ -488,7 +490,11 @@ def chi_square(df: DataFrame, first: str, second: str) -> DataFrame:
     row = expected.agg(
         *one, F.sum(gap * gap / F.col("e")).alias("seen"), F.sum("e").alias("seen_expected"),
         F.count(F.lit(1)).alias("cells"), F.max(gap).alias("gap"),
-    ).withColumn("dof", (F.col("r") - 1) * (F.col("c") - 1))
+    )
+    sums = row.first()
+    if not sums["cells"]:
+        raise ValueError(f"No row has values of both '{first}' and '{second}'.")
+    row = df.sparkSession.createDataFrame([sums], row.schema).withColumn("dof", (F.col("r") - 1) * (F.col("c") - 1))
     unseen = F.when(F.col("cells") < F.col("r") * F.col("c"), F.col("n") - F.col("seen_expected")).otherwise(0.0)
     # In a 2 x 2 table all four cells have the same |O - E|.
     corrected = F.greatest(F.col("gap") - 0.5, F.lit(0.0))

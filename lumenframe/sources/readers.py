@@ -16,6 +16,7 @@ NULL_TOKENS = (
 )
 _TRUE, _FALSE = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 _INTEGER = r"^\s*[+-]?\d+\s*$"
+_MALFORMED = "malformed"
 
 
 def missing_as_null(df: DataFrame) -> DataFrame:
@@ -49,26 +50,34 @@ def _load(reader, path: str, kind: str) -> DataFrame:
         raise ValueError(f"Error loading {kind}: {error.getMessage()}") from error
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True, multi_line: bool = True) -> DataFrame:
     """A CSV file or folder with a header line and inferred column types.
 
     All columns are read as text, missing tokens become null, and one aggregate
     over the file decides per column between boolean, long, double and text.
-    Dates stay text, as a data frame's reader leaves them.
+    Dates stay text, as a data frame's reader leaves them. Rows with more or
+    fewer fields than the header raise ``ValueError``.
+
+    With ``multi_line`` quoted fields may hold line breaks, and each file is one
+    task; without it large files are split, and a quoted line break is an error.
     """
-    reader = spark.read.options(header=True, sep=sep, inferSchema=False, multiLine=False, escape='"')
-    raw = _load(reader, path, "csv")
+    options = dict(header=True, sep=sep, inferSchema=False, multiLine=multi_line, escape='"')
+    raw = _load(spark.read.options(**options), path, "csv")
     if not raw.columns:
         raise ValueError(f"Error loading csv: no columns in {path}")
     names = _plain_names(raw.columns)
-    texts = raw.toDF(*[f"c{i}" for i in range(len(names))])
-    texts = texts.select(
-        *[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in texts.columns]
+    places = [f"c{i}" for i in range(len(names))]
+    fields = ", ".join(f"{c} string" for c in [*places, _MALFORMED])
+    lines = _load(spark.read.options(columnNameOfCorruptRecord=_MALFORMED, **options).schema(fields), path, "csv")
+    texts = lines.select(
+        *[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in places], _MALFORMED
     )
     if not infer:
-        return texts.toDF(*names)
+        # Malformed rows show only where every field is read.
+        _require_whole_rows(texts.agg(F.count(_MALFORMED).alias("bad"), *[F.count(c) for c in places]).first()["bad"], path)
+        return texts.drop(_MALFORMED).toDF(*names)
     checks = []
-    for c in texts.columns:
+    for c in places:
         present = F.col(c).isNotNull()
         long = F.col(c).rlike(_INTEGER) & F.trim(c).try_cast("long").isNotNull()
         double = F.trim(c).try_cast("double").isNotNull()
@@ -80,9 +89,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True)
             F.bool_and(F.when(present, double)).alias(f"double_{c}"),
             F.bool_and(F.when(present, truth)).alias(f"bool_{c}"),
         ]
-    found = texts.agg(*checks).first()
+    found = texts.agg(*checks, F.count(_MALFORMED).alias("bad")).first()
+    _require_whole_rows(found["bad"], path)
     typed = []
-    for c, name in zip(texts.columns, names):
+    for c, name in zip(places, names):
         if not found[f"any_{c}"]:
             typed.append(F.col(c).cast("double").alias(name))
         elif found[f"bool_{c}"] and not found[f"gap_{c}"]:
@@ -96,6 +106,11 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True)
     return texts.select(*typed)
 
 
+def _require_whole_rows(bad: int, path: str) -> None:
+    if bad:
+        raise ValueError(f"Error loading csv: {bad} rows of {path} do not have the header's number of fields.")
+
+
 def _plain_names(columns: Sequence[str]) -> list[str]:
     """Header names, repeated ones numbered ``a``, ``a.1``, ``a.2``.
 

@@ -6,11 +6,13 @@ import os
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import expressions
-from lumenframe.operators import cleaning, distribution, grouped, ordering, profile
+from lumenframe.operators import cleaning, distribution, grouped, models, ordering, profile, stats, timeseries
+from lumenframe.sources import readers
 
 
 @pytest.mark.parametrize("name", ["format_string('Customer#%09d', id)", "concat('https://host.example/', id)"])
@@ -67,3 +69,49 @@ print(stats.correlation_matrix(t.select("x", "y"), method="kendall").collect())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("infer", [True, False])
+@pytest.mark.parametrize("line", ["3,4,5", "3"])
+def test_csv_rows_of_another_width_are_an_error(spark, tmp_path, line, infer):
+    path = tmp_path / "ragged.csv"
+    path.write_text(f"a,b\n1,2\n{line}\n")
+    with pytest.raises(ValueError, match="1 rows"):
+        readers.read_csv(spark, str(path), infer=infer)
+
+
+def test_csv_fields_may_hold_line_breaks(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert [tuple(r) for r in readers.read_csv(spark, str(path)).orderBy("a").collect()] == [(1, "x\ny"), (2, "z")]
+
+
+@pytest.mark.parametrize("freq", ["2W", "3W", "2ME", "3MS", "2QE", "2QS", "2YE", "2YS"])
+def test_multiples_of_calendar_units(spark, freq):
+    days = pd.date_range("2021-02-17", "2024-11-05", freq="9D")
+    want = pd.Series(1.0, index=days).resample(freq).sum()
+    table = spark.createDataFrame([(str(d), 1.0) for d in days], "t string, v double").withColumn("t", F.to_timestamp("t"))
+    got = timeseries.resample(table, "t", "v", freq, "sum").orderBy("t").toPandas()
+    assert list(got["t"]) == list(want.index) and list(got["value"]) == list(want)
+
+
+def test_modes_of_several_types(spark):
+    table = spark.createDataFrame([(1, "b", 2.0), (2, "a", float("nan")), (2, "b", 2.0), (1, "a", None)], "i int, s string, x double")
+    table = table.withColumn("none", F.lit(None).cast("string"))
+    assert cleaning.modes(table, ["s", "i", "none", "x"]) == ["a", 1, None, 2.0]
+
+
+def test_nothing_to_test_is_an_error(spark):
+    table = spark.range(4).select((F.col("id") % 2).cast("string").alias("g"), F.lit(None).cast("double").alias("x"),
+                                  F.lit(None).cast("string").alias("h"))
+    with pytest.raises(ValueError):
+        stats.t_test(table, "x", "g")
+    with pytest.raises(ValueError):
+        stats.chi_square(table, "g", "h")
+
+
+def test_random_search_over_large_grids(spark, planted):
+    table = planted.select("x1", "x2", "target_bin")
+    found = models.tune(table, "target_bin", "LogisticRegression", {"C": [0.01 * k for k in range(1, 31)]}, cv=2).collect()
+    assert len(found) == models.GRID_LIMIT and {r["method"] for r in found} == {"random"}
+    assert found[0]["score"] > 0.7 and [r["score"] for r in found] == sorted((r["score"] for r in found), reverse=True)
