@@ -82,15 +82,16 @@ def folded_ids(word: Column, ranks: Ranks) -> Column:
         left, right = F.element_at(p, i), F.element_at(p, i + 1)
         bucket = F.element_at(table, (left * _A + right * _B).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") + 1)
         pair = F.shiftleft(left, 16).bitwiseOR(right)
-        hit = F.filter(bucket, lambda x: F.shiftright(x, 16) == pair)
+        # Null without a merge. Named once, so that the plan holds the table once.
+        hit = F.get(F.filter(bucket, lambda x: F.shiftright(x, 16) == pair), F.lit(0))
         # Rank first, place second: the smallest is the leftmost of the lowest rank.
-        return F.when(F.size(hit) > 0, F.shiftleft(F.element_at(hit, 1).bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(i.cast("long")))
+        return F.shiftleft(hit.bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(i.cast("long"))
 
     def merged(p: Column, low: Column) -> Column:
         i = low.bitwiseAND(F.lit(0xFFFF)).cast("int")
         q = F.concat(F.slice(p, F.lit(1), i - 1), F.array(F.shiftright(low, 16)), F.slice(p, i + 2, F.size(p)))
         return F.when(low.isNull(), F.struct(p.alias("p"), F.lit(False).alias("more"))).otherwise(
-            F.struct(q.alias("p"), (F.size(q) > 1).alias("more")))
+            F.struct(q.alias("p"), (F.size(p) > 2).alias("more")))
 
     def step(state: Column, _: Column) -> Column:
         p = state["p"]
