@@ -11,6 +11,7 @@ word and remember it.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -158,6 +159,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         model.train(*parts[0])
     if parts[1][0]:
         model.calibrate(*parts[1])
+    # The driver keeps the model alone.
+    del sample, parts, part
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     return model
 
 
