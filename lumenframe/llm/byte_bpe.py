@@ -14,8 +14,9 @@ import base64
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ FREQUENT_WORDS = 200_000
 FOLDED_BYTES = 64
 #: Further words a task remembers before it forgets them all.
 REMEMBERED_WORDS = 200_000
+#: Words unpacked at once from the broadcast table.
+SENT_WORDS = 4096
 #: Tokens handed back to Spark at once.
 SLICE_TOKENS = 1 << 20
 
@@ -164,18 +167,26 @@ def splitter(pattern: str):
 
 
 class Words(dict):
-    """Ids by word: the frequent ones, and those met before."""
+    """Ids by word, as the bytes of 32-bit numbers: the frequent words, and those met before."""
 
-    def __init__(self, frequent: dict[str, tuple], byte_ids: list[int], merges: dict[int, int]) -> None:
-        super().__init__(frequent)
-        self.frequent, self.byte_ids, self.merges = frequent, byte_ids, merges
+    def __init__(self, byte_ids: list[int], merges: dict[int, int]) -> None:
+        super().__init__()
+        self.byte_ids, self.merges, self.met = byte_ids, merges, []
 
-    def __missing__(self, word: str) -> tuple:
-        ids = tuple(merged_ids([self.byte_ids[b] for b in word.encode()], self.merges))
+    def add(self, words: pa.Array, ids: pa.Array) -> None:
+        """Frequent words and their lists of ids."""
+        data, first = ids.values.buffers()[1].to_pybytes(), ids.values.offset
+        bounds = [4 * (first + i) for i in ids.offsets.to_pylist()]
+        self.update(zip(words.to_pylist(), (data[a:b] for a, b in pairwise(bounds))))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", merged_ids([self.byte_ids[b] for b in word.encode()], self.merges)).tobytes()
         if len(word) <= FOLDED_BYTES:
-            if len(self) > len(self.frequent) + REMEMBERED_WORDS:
-                self.clear()
-                self.update(self.frequent)
+            if len(self.met) >= REMEMBERED_WORDS:
+                for old in self.met:
+                    del self[old]
+                self.met.clear()
+            self.met.append(word)
             self[word] = ids
         return ids
 
@@ -205,7 +216,7 @@ def encoder(docs: DataFrame, text_col: str, ranks: Ranks):
     table = frequent_words(docs, text_col, ranks).toArrow().combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
+        writer.write_table(table, max_chunksize=SENT_WORDS)
     shared = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks.byte_ids, np.fromiter(ranks.merges, np.uint32, len(ranks.merges)),
                                            np.fromiter(ranks.merges.values(), np.uint16, len(ranks.merges))))
     pattern = ranks.pattern
@@ -214,32 +225,30 @@ def encoder(docs: DataFrame, text_col: str, ranks: Ranks):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         data, byte_ids, pairs, merged = shared.value
         numbers = list(range(1 << 16))  # one object an id
-        frequent = {}
+        known = Words(byte_ids, {pair: numbers[m] for pair, m in zip(pairs.tolist(), merged.tolist())})
         for part in pa.ipc.open_stream(data):
-            frequent.update(zip(part["word"].to_pylist(), (tuple([numbers[i] for i in ids]) for ids in part["ids"].to_pylist())))
-        known = Words(frequent, byte_ids, dict(zip(pairs.tolist(), (numbers[m] for m in merged.tolist()))))
+            known.add(part["word"], part["ids"])
         split, look = splitter(pattern), known.__getitem__
         for batch in batches:
-            parts: list[np.ndarray] = []
-            chunks: list[pa.Array] = []
+            parts: list[bytes] = []
             held = 0
             for text in texts_of(batch):
-                own = np.fromiter(chain.from_iterable(map(look, split(text))), dtype=np.int32)
+                own = b"".join(map(look, split(text)))
                 parts.append(own)
                 held += len(own)
-                if held > SLICE_TOKENS:
-                    chunks.append(_lists(parts))
+                # Spark takes a batch back in pieces.
+                if held > 4 * SLICE_TOKENS:
+                    yield _lists(parts)
                     parts, held = [], 0
-            chunks.append(_lists(parts))
-            yield pa.concat_arrays(chunks)
+            yield _lists(parts)
 
     return encode
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-    values = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+def _lists(parts: list[bytes]) -> pa.Array:
+    offsets = (np.cumsum([0] + [len(p) for p in parts]) // 4).astype(np.int32)
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
+    return pa.Array.from_buffers(pa.list_(pa.int32()), len(parts), [None, pa.py_buffer(offsets)], children=[values])
 
 
 def encode(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

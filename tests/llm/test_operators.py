@@ -162,6 +162,21 @@ def test_folded_words_and_heap(spark):
         assert list(r.ids) == byte_bpe.merged_ids(list(ids), ranks.merges) == byte_bpe._merged_by_heap(list(ids), ranks.merges)
 
 
+def test_remembered_words_are_bounded_and_frequent_ones_stay(monkeypatch):
+    import pyarrow as pa
+
+    ranks = byte_bpe.Ranks(*BPE)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_WORDS", 3)
+    ids = lambda w: byte_bpe.merged_ids([ranks.byte_ids[b] for b in w.encode()], ranks.merges)
+    known = byte_bpe.Words(ranks.byte_ids, ranks.merges)
+    frequent = ["the", " of", "é"]
+    # A slice, whose offsets do not start at 0.
+    known.add(pa.array(["x", *frequent])[1:], pa.array([[1, 2], *map(ids, frequent)], pa.list_(pa.int32()))[1:])
+    for word in [*frequent, "one", "two", "three", "four", "one", "of" * 100, *frequent]:
+        assert list(memoryview(known[word]).cast("i")) == ids(word)
+    assert set(known) == {*frequent, "four", "one"}
+
+
 def test_token_counts(awkward, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     vocabulary = set(token_counts.read_vocabulary(path))
