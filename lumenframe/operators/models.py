@@ -47,13 +47,24 @@ SEED = 42
 MAX_CURVES = 8
 CLASSIFICATION_LEVELS = 10
 TEST_PERCENT = 20
-FOREST_DEPTH = 10
 ALGORITHMS = {
     True: ("RandomForest", "LogisticRegression", "XGBoost"),
     False: ("RandomForest", "LinearRegression", "XGBoost"),
 }
 
 
+@dataclass(frozen=True)
+class TreeSize:
+    """How far trees grow: by default as in the reference, whose forests have no limit (Spark's is 30)."""
+
+    forest_depth: int = 30
+    rounds: int = 100
+    boosted_depth: int = 6
+
+
+FULL = TreeSize()
+
+
 @dataclass(frozen=True)
 class Prepared:
     """A model table: ``features`` vector, ``label`` and a stable row hash."""
@@ -129,7 +140,7 @@ def kept(prepared: Prepared) -> Iterator[Prepared]:
         prepared.frame.unpersist()
 
 
-def build(algorithm: str, prepared: Prepared, rows: int) -> Estimator:
+def build(algorithm: str, prepared: Prepared, rows: int, size: TreeSize = FULL) -> Estimator:
     """An untrained estimator; ``XGBoost`` is served by gradient-boosted trees."""
     classified = prepared.is_classification
     if algorithm not in ALGORITHMS[classified]:
@@ -137,33 +148,34 @@ def build(algorithm: str, prepared: Prepared, rows: int) -> Estimator:
         raise ValueError(f"Algorithm '{algorithm}' not supported for {task}.")
     if algorithm == "RandomForest":
         forest = RandomForestClassifier if classified else RandomForestRegressor
-        return forest(numTrees=100, maxDepth=FOREST_DEPTH, seed=SEED,
+        return forest(numTrees=100, maxDepth=size.forest_depth, seed=SEED,
                       featureSubsetStrategy="sqrt" if classified else "all")
     if algorithm == "LogisticRegression":
         return LogisticRegression(maxIter=1000, regParam=1.0 / max(rows, 1), standardization=False)
     if algorithm == "LinearRegression":
         return LinearRegression(maxIter=1000, regParam=0.0)
+    settings = dict(maxIter=size.rounds, maxDepth=size.boosted_depth, stepSize=0.3, seed=SEED)
     if not classified:
-        return GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.3, seed=SEED)
-    trees = GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.3, seed=SEED)
+        return GBTRegressor(**settings)
+    trees = GBTClassifier(**settings)
     return trees if len(prepared.classes) == 2 else OneVsRest(classifier=trees)
 
 
-def _fit(prepared: Prepared, algorithm: str):
+def _fit(prepared: Prepared, algorithm: str, size: TreeSize = FULL):
     train = prepared.train()
     rows = train.count()
     if rows == 0:
         raise ValueError("No rows are left to train on.")
-    return build(algorithm, prepared, rows).fit(train)
+    return build(algorithm, prepared, rows, size).fit(train)
 
 
 def compare_models(df: DataFrame, target: str, features: Sequence[str] | None = None, row_id: str | None = None,
-                   algorithms: Sequence[str] | None = None) -> DataFrame:
+                   algorithms: Sequence[str] | None = None, size: TreeSize = FULL) -> DataFrame:
     """M3: test accuracy (or RMSE) of each model, best first."""
     with kept(prepare(df, target, features, row_id)) as prepared:
         results = []
         for name in algorithms or ALGORITHMS[prepared.is_classification]:
-            scored = _fit(prepared, name).transform(prepared.test())
+            scored = _fit(prepared, name, size).transform(prepared.test())
             if prepared.is_classification:
                 results.append((name, "accuracy", classification_metrics(scored).first()["accuracy"]))
             else:
@@ -203,11 +215,12 @@ class Evaluation:
 
 
 def evaluate_model(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                   algorithm: str = "RandomForest", row_id: str | None = None) -> Evaluation:
+                   algorithm: str = "RandomForest", row_id: str | None = None,
+                   size: TreeSize = FULL) -> Evaluation:
     """Test metrics, confusion counts and feature importances."""
     spark = df.sparkSession
     with kept(prepare(df, target, features, row_id)) as prepared:
-        model = _fit(prepared, algorithm)
+        model = _fit(prepared, algorithm, size)
         scored = model.transform(prepared.test())
         measure = classification_metrics if prepared.is_classification else regression_metrics
         metrics = _settled(measure(scored))
@@ -225,22 +238,23 @@ def evaluate_model(df: DataFrame, target: str, features: Sequence[str] | None =
 
 
 def feature_importance(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                       algorithm: str = "RandomForest", top_n: int = 15, row_id: str | None = None) -> DataFrame:
+                       algorithm: str = "RandomForest", top_n: int = 15, row_id: str | None = None,
+                       size: TreeSize = FULL) -> DataFrame:
     """The ``top_n`` features by importance or absolute coefficient."""
     with kept(prepare(df, target, features, row_id)) as prepared:
-        return _importance_table(df, _fit(prepared, algorithm), prepared, top_n)
+        return _importance_table(df, _fit(prepared, algorithm, size), prepared, top_n)
 
 
-def scored_test_rows(prepared: Prepared, algorithm: str, need: str | None = None) -> DataFrame:
+def scored_test_rows(prepared: Prepared, algorithm: str, need: str | None = None, size: TreeSize = FULL) -> DataFrame:
     """M7: fit and score the test rows, after checking that the task suits the diagnostic."""
     if need == "classification" and not prepared.is_classification:
         raise ValueError("The target is continuous; this needs a classification target.")
     if need == "regression" and prepared.is_classification:
         raise ValueError("The target looks categorical; this needs a regression target.")
-    return _fit(prepared, algorithm).transform(prepared.test())
+    return _fit(prepared, algorithm, size).transform(prepared.test())
 
 
-def class_scores(prepared: Prepared, algorithm: str) -> DataFrame:
+def class_scores(prepared: Prepared, algorithm: str, size: TreeSize = FULL) -> DataFrame:
     """One row per test row and class: ``class``, ``label`` 0/1 and ``score``.
 
     A binary target gives the second class only.
@@ -248,7 +262,7 @@ def class_scores(prepared: Prepared, algorithm: str) -> DataFrame:
     classes = prepared.classes
     if classes is not None and len(classes) > MAX_CURVES:
         raise ValueError(f"{len(classes)} classes; at most {MAX_CURVES} curves can be read. Reduce classes first.")
-    scored = scored_test_rows(prepared, algorithm, "classification")
+    scored = scored_test_rows(prepared, algorithm, "classification", size)
     if "probability" not in scored.columns:
         raise ValueError(f"{algorithm} gives no class probabilities for this target.")
     wanted = [1] if len(classes) == 2 else range(len(classes))
@@ -262,10 +276,10 @@ def class_scores(prepared: Prepared, algorithm: str) -> DataFrame:
 
 
 def roc_pr(df: DataFrame, target: str, features: Sequence[str] | None = None, algorithm: str = "RandomForest",
-           row_id: str | None = None) -> DataFrame:
+           row_id: str | None = None, size: TreeSize = FULL) -> DataFrame:
     """M8/M9: ROC AUC, average precision and base rate per class."""
     with kept(prepare(df, target, features, row_id)) as prepared:
-        return _settled(roc_pr_summary(class_scores(prepared, algorithm), by=["class"]))
+        return _settled(roc_pr_summary(class_scores(prepared, algorithm, size), by=["class"]))
 
 
 def _settled(table: DataFrame) -> DataFrame:
@@ -274,21 +288,23 @@ def _settled(table: DataFrame) -> DataFrame:
 
 
 def roc_pr_curves(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                  algorithm: str = "RandomForest", row_id: str | None = None) -> DataFrame:
+                  algorithm: str = "RandomForest", row_id: str | None = None,
+                  size: TreeSize = FULL) -> DataFrame:
     """M8: the curve points per class."""
     with kept(prepare(df, target, features, row_id)) as prepared:
-        scored = settle(class_scores(prepared, algorithm))
+        scored = settle(class_scores(prepared, algorithm, size))
     return roc_pr_points(scored, by=["class"])
 
 
 def calibration_curve(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                      algorithm: str = "RandomForest", bins: int = 10, row_id: str | None = None) -> DataFrame:
+                      algorithm: str = "RandomForest", bins: int = 10, row_id: str | None = None,
+                      size: TreeSize = FULL) -> DataFrame:
     """Calibration of a binary classifier."""
     prepared = prepare(df, target, features, row_id)
     if prepared.classes is not None and len(prepared.classes) != 2:
         raise ValueError(f"Calibration curves need a binary target (got {len(prepared.classes)} classes).")
     with kept(prepared):
-        return _settled(calibration(class_scores(prepared, algorithm), bins=bins))
+        return _settled(calibration(class_scores(prepared, algorithm, size), bins=bins))
 
 
 @dataclass(frozen=True)
@@ -299,16 +315,16 @@ class Residuals:
 
 
 def residuals(df: DataFrame, target: str, features: Sequence[str] | None = None, algorithm: str = "RandomForest",
-              row_id: str | None = None) -> Residuals:
+              row_id: str | None = None, size: TreeSize = FULL) -> Residuals:
     """Residual summary, rows and histogram of a regression model."""
     with kept(prepare(df, target, features, row_id)) as prepared:
-        scored = settle(scored_test_rows(prepared, algorithm, "regression").select("label", "prediction"))
+        scored = settle(scored_test_rows(prepared, algorithm, "regression", size).select("label", "prediction"))
     return Residuals(residual_summary(scored), residual_rows(scored), residual_histogram(scored))
 
 
 def learning_curve(df: DataFrame, target: str, features: Sequence[str] | None = None,
                    algorithm: str = "RandomForest", cv: int = 5, steps: int = 6,
-                   row_id: str | None = None) -> DataFrame:
+                   row_id: str | None = None, size: TreeSize = FULL) -> DataFrame:
     """Train and validation score at growing training sizes, over ``cv`` folds.
 
     Folds and nested training parts come from row hashes, so each larger part
@@ -328,7 +344,7 @@ def learning_curve(df: DataFrame, target: str, features: Sequence[str] | None =
                 rows = train.count()
                 if rows == 0:
                     continue
-                model = build(algorithm, prepared, rows).fit(train)
+                model = build(algorithm, prepared, rows, size).fit(train)
                 scores = [measure(model.transform(part)).first()[metric]
                           for part in (train, prepared.frame.where(fold == k))]
                 results.append((share, k, rows, *scores))

@@ -690,8 +690,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("M3_compare_regressors")
 def _(t: Tables) -> DataFrame:
-    return models.compare_models(_lines_with_revenue(t), "revenue", LINE_FEATURES,
-                                 algorithms=["LinearRegression", "XGBoost"])
+    return models.compare_models(_lines_with_revenue(t), "revenue", LINE_FEATURES)
 
 
 @query("M4_evaluate_classifier")
@@ -721,7 +720,7 @@ def _(t: Tables) -> DataFrame:
 @query("M6_tune")
 def _(t: Tables) -> DataFrame:
     table = _labelled_documents(t).drop("toxic")
-    return models.tune(table, "quality", "LogisticRegression", row_id="doc_id", cv=3)
+    return models.tune(table, "quality", "LogisticRegression", row_id="doc_id")
 
 
 @query("M7_scored_test_rows")
@@ -790,7 +789,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("M13_learning_curve")
 def _(t: Tables) -> DataFrame:
-    return models.learning_curve(_lines_with_revenue(t), "revenue", LINE_FEATURES, "LinearRegression", cv=3)
+    return models.learning_curve(_lines_with_revenue(t), "revenue", LINE_FEATURES, "LinearRegression")
 
 
 # --- Recommendation ---------------------------------------------------------------------------

@@ -95,3 +95,33 @@ def test_metrics_by_hand(spark):
     assert row["precision"] == round((2 * 0.5 + 2 * 2 / 3) / 5, 4)
     fit = scoring.regression_metrics(spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "label double, prediction double"))
     assert tuple(fit.first()) == (0.7071, 0.5, 0.5)
+
+
+def test_trees_grow_to_the_references_size(spark):
+    rng = np.random.default_rng(7)
+    cells = [(i, float(i % 32), float(i // 32), float(v)) for i, v in enumerate(rng.random(1024))]
+    df = spark.createDataFrame(cells, "id long, x1 double, x2 double, y double")
+    prepared = models.prepare(df, "y", FEATURES, "id")
+    forest = models.build("RandomForest", prepared, 1024)
+    assert forest.getMaxDepth() == 30
+    forest = forest.setNumTrees(3).fit(prepared.frame.coalesce(1))
+    assert max(tree.depth for tree in forest.trees) > 10
+    boosted = models.build("XGBoost", prepared, 1024)
+    assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (100, 6)
+    small = models.TreeSize(forest_depth=3, rounds=2, boosted_depth=1)
+    assert models.build("RandomForest", prepared, 1024, small).getMaxDepth() == 3
+
+
+def test_entries_leave_no_model_or_fold_out(spark, monkeypatch):
+    from lumenframe.plans import catalog
+
+    seen = {}
+    for name in ("compare_models", "tune", "learning_curve"):
+        def record(*a, _name=name, **k):
+            seen[_name] = k
+            return spark.range(1)
+        monkeypatch.setattr(models, name, record)
+    for entry in ("M3_compare_regressors", "M6_tune", "M13_learning_curve"):
+        catalog.QUERIES[entry](spark, "/root/testdata/sf0.001")
+    assert seen["compare_models"].get("algorithms") is None
+    assert seen["tune"].get("cv", 5) == 5 and seen["learning_curve"].get("cv", 5) == 5
