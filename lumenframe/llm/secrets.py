@@ -5,6 +5,8 @@ Everything here is DataFrame functions. Candidates are runs of characters as key
 c * log2(c) over them, are updated by the character that enters and the one that leaves, so the Shannon entropy
 log2(WINDOW) - sum / WINDOW of every window is had at the cost of an update. A candidate is a secret if some window
 reaches the entropy of its class (hexadecimal, or the larger base-64 alphabet) and the allow-list does not name it.
+Candidates shorter than a window are one window of their own length. Base spans are cut out of a run, and what remains
+is judged by itself; a run that holds a stand-in's word loses the segments (between signs) with such words, not more.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ PRESENT = {"assign": BASE["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"
 
 WINDOW = 24
 CANDIDATE = r"[A-Za-z0-9+/_-]{24,}={0,2}"
+#: Least length of a candidate; those below ``WINDOW`` are judged whole.
+SHORTEST = 16
+RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Alphabet and least entropy, in bits, of the classes.
 CLASSES = {
     "entropy_hex": ("0123456789abcdef", 2.9),
@@ -38,6 +43,9 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|changeme|dummy|redacted|xxxx|your[_-]?|0123456789|1234567890|abcdefgh",
 )
+#: Segments without a stand-in's word, joined by signs.
+_SEGMENT = r"(?<![A-Za-z0-9])(?![A-Za-z0-9]*(?:" + ALLOWED[-1].removeprefix("(?i)").replace("[_-]?", "") + r"))[A-Za-z0-9]++"
+UNNAMED = rf"(?i){_SEGMENT}(?:[+/_=-]++{_SEGMENT})*+=*+"
 ORDER = [*BASE, *CLASSES]
 
 #: c * log2(c) in millionths, for counts up to a window; whole numbers so that sums are exact.
@@ -64,7 +72,7 @@ def _found(text: Column, pattern: str, group: int, present: str) -> Column:
 
 
 def _least_sum(value: Column, alphabet: str) -> Column:
-    """The smallest sum of c * log2(c), in millionths, over all windows: the window of the largest entropy."""
+    """The smallest sum of c * log2(c), in millionths, over all windows (a shorter value is one): that of the largest entropy."""
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
     place = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
     counted = lambda counts, k: F.element_at(counts, k)
@@ -78,23 +86,60 @@ def _least_sum(value: Column, alphabet: str) -> Column:
             - F.element_at(weights, counted(state["counts"], F.greatest(leaves, F.lit(1))) + 1))
         total = state["sum"] + more + less
         counts = F.transform(state["counts"], lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0) - F.when(k + 1 == leaves, 1).otherwise(0))
-        least = F.when(i >= WINDOW, F.least(state["least"], total)).otherwise(state["least"])
+        least = F.when(i >= F.least(F.lit(WINDOW), F.length(value)), F.least(state["least"], total)).otherwise(state["least"])
         return F.struct(counts.alias("counts"), total.cast("int").alias("sum"), least.cast("int").alias("least"))
 
     first = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("least"))
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), first, step, lambda s: s["least"])
 
 
-def most_of(bits: float) -> int:
+def most_of(bits: float, window: int = WINDOW) -> int:
     """The largest sum of c * log2(c), in millionths, of a window with at least this entropy."""
-    return round((math.log2(WINDOW) - bits) * WINDOW * 1e6)
+    return round((math.log2(window) - bits) * window * 1e6)
+
+
+def _allowed(value: Column, patterns: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.when(value.rlike(p), True) for p in patterns], F.lit(False))
+
+
+def _within(x: Column, start: Column, end: Column) -> Column:
+    """The part of a span between two places."""
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"),
+                    F.substring(x["value"], start - x["start"] + 1, end - start).alias("value"))
+
+
+def _parts(x: Column, pattern: str) -> Column:
+    """The matches of a pattern in a span, as spans of the text."""
+    return F.transform(_found(x["value"], pattern, 0, pattern), lambda y: F.struct(
+        (x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["value"].alias("value")))
+
+
+def _remains(x: Column, base: Column) -> Column:
+    """What base spans, sorted by start, leave of a run."""
+    kind = "array<struct<start:int,end:int,value:string>>"
+
+    def step(state: Column, b: Column) -> Column:
+        cut = F.when(b["start"] > state["at"], F.concat(state["out"], F.array(_within(x, state["at"], b["start"])))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], b["end"]).cast("int").alias("at"), cut.cast(kind).alias("out"))
+
+    first = F.struct(x["start"].cast("int").alias("at"), F.array().cast(kind).alias("out"))
+    over = F.filter(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    return F.aggregate(over, first, step, lambda s: F.when(
+        s["at"] < x["end"], F.concat(s["out"], F.array(_within(x, s["at"], x["end"])))).otherwise(s["out"]))
+
+
+def _judged(x: Column) -> Column:
+    """The run, or the parts of a run with stand-ins that do not name one; parts below a window only as one segment."""
+    parts = F.flatten(F.transform(_parts(x, UNNAMED), lambda y: F.when(F.length(y["value"]) >= WINDOW, F.array(y)).otherwise(
+        _parts(y, rf"[A-Za-z0-9]{{{SHORTEST},}}"))))
+    return F.when(x["value"].rlike(ALLOWED[-1]), parts).otherwise(F.array(x))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``secrets`` of every row: array<struct<start, rank, kind, end>>, by start and then kind.
 
-    Places are code points, ``end`` exclusive. ``rank`` is the kind's place in ORDER. Base kinds may overlap; a
-    high-entropy string that overlaps a base secret is not reported again. A null or empty text has no secrets; ids are
+    Places are code points, ``end`` exclusive. ``rank`` is the kind's place in ORDER. Base kinds may overlap; of a
+    high-entropy string that overlaps a base secret only the rest is judged and reported. A null or empty text has no secrets; ids are
     passed on as they are, null and repeated ones too; only the named columns are read; an empty table gives none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -110,15 +155,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = [spans(F.filter(_found(F.col("t"), pattern, group, PRESENT[kind]), long_enough(least)), kind)
             for kind, (pattern, group, least) in BASE.items()]
     rows = docs.select(F.col(id_col), text.alias("t")).select(
-        id_col, F.concat(*base).alias("base"), _found(F.col("t"), "(?<![A-Za-z0-9+/_-])" + CANDIDATE, 0, CANDIDATE).alias("candidates"))
-    base_free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    strange = lambda x: ~F.coalesce(*[F.when(x["value"].rlike(p), True) for p in ALLOWED], F.lit(False))
-    rows = rows.withColumn("candidates", F.filter("candidates", lambda x: base_free(x) & strange(x)))
+        id_col, F.concat(*base).alias("base"), _found(F.col("t"), "(?<![A-Za-z0-9+/_-])" + RUN, 0, RUN).alias("candidates"))
+    strange = lambda x: (F.length(x["value"]) >= SHORTEST) & ~_allowed(x["value"], ALLOWED)
+    named = lambda x: (F.length(x["value"]) >= SHORTEST) & ~_allowed(x["value"], ALLOWED[:-1])
+    rows = rows.withColumn("candidates", F.flatten(F.transform("candidates", lambda x: _remains(x, F.array_sort("base")))))
+    rows = rows.withColumn("candidates", F.flatten(F.transform(F.filter("candidates", named), _judged)))
+    rows = rows.withColumn("candidates", F.filter("candidates", strange))
     found = []
     for kind, (alphabet, bits) in CLASSES.items():
         own = lambda x, hexadecimal=kind == "entropy_hex": x["value"].rlike(HEX_ONLY) == hexadecimal
+        limits = F.array(*[F.lit(most_of(bits, w)) for w in range(SHORTEST, WINDOW + 1)])
+        most = lambda x, limits=limits: F.element_at(limits, F.least(F.length(x["value"]), F.lit(WINDOW)) - SHORTEST + 1)
         value = (lambda x: F.lower(x["value"])) if kind == "entropy_hex" else (lambda x: x["value"])
-        found.append(spans(F.filter("candidates", lambda x: own(x) & (_least_sum(value(x), alphabet) <= most_of(bits))), kind))
+        found.append(spans(F.filter("candidates", lambda x: own(x) & (_least_sum(value(x), alphabet) <= most(x))), kind))
     return rows.select(id_col, F.array_sort(F.concat("base", *found)).alias("secrets"))
 
 
