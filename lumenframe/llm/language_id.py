@@ -219,7 +219,9 @@ def languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_i
 
 
 def recognised(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """The documents whose language is not rejected, with all their columns."""
+    """The documents whose language is not rejected, with all their columns; without a model all that have a letter."""
+    if model is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     return docs.where(~identify(docs.sparkSession, model, F.col(text_col))["rejected"])
 
 

@@ -318,15 +318,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The documents of which one of each group stays, the one with the smallest id, with all their columns.
 
-    Rows without an id stay; rows repeated with one id leave one of them, whatever their texts.
+    Rows without an id stay; rows repeated with one id and text leave one of them. Different texts under one id are
+    documents of their own: they are near copies of each other only by their texts, ordered by the texts' hashes.
     """
-    kept = stored(near_groups(docs, id_col, text_col, words).where("kept").groupBy(F.col(id_col).alias("__id")).agg(
-        F.count(F.lit(1)).alias("__times")), "kept")
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    if kept.where("__id is not null and __times > 1").isEmpty():
-        return out
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).count()
+    if ids.where("count > 1").isEmpty():
+        kept = stored(near_groups(docs, id_col, text_col, words).where("kept").select(F.col(id_col).alias("__id")).distinct(), "kept")
+        return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     lone = docs.where(F.col(id_col).isNull())
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(lone)
+    rows = docs.where(F.col(id_col).isNotNull()).withColumn("__digest", digest)
+    texts = rows.select(F.col(id_col).cast("long").alias("__id"), "__digest", F.col(text_col).alias("text"))
+    texts = texts.dropDuplicates(["__id", "__digest"])
+    # Numbers in the order of id and hash stand for the ids.
+    ranged = texts.repartitionByRange("__id", "__digest").sortWithinPartitions("__id", "__digest")
+    ranged = stored(ranged.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    winners = near_groups(ranged, "number", "text", words).where("kept").select("number")
+    kept = stored(ranged.select("number", "__id", "__digest").join(winners, "number", "left_semi").drop("number"), "kept")
+    out = rows.join(kept.withColumnsRenamed({"__id": "__kept", "__digest": "__of"}),
+                    (F.col(id_col).cast("long") == F.col("__kept")) & (F.col("__digest") == F.col("__of")), "left_semi")
+    return out.dropDuplicates([id_col, "__digest"]).drop("__digest").unionByName(lone)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,14 @@ def test_near_groups(awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id is not null").count() == len(set(want.values()))
 
 
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (1, two), (2, two + " b60"), (3, one), (4, "short"), (None, one), (5, None)]
+    for order in (rows, rows[::-1]):
+        got = near_dedup.near_dedup(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, one), (1, two), (4, "short"), (None, one), (5, None)], key=str)
+
+
 def test_near_groups_in_hot_buckets(spark, monkeypatch):
     """Many near copies of one text, many texts with a common passage, through the blocks meant for large buckets."""
     monkeypatch.setattr(near_dedup, "BUCKET_ROWS", 8)
@@ -346,6 +354,12 @@ def test_language_id_on_held_out_rows(spark, awkward, empty):
     assert language_id.recognised(awkward, model).columns == awkward.columns
 
 
+def test_nothing_learned_rejects_only_texts_without_a_letter(spark):
+    docs = spark.createDataFrame([(1, "two words", None), (2, "12 34 !", None), (3, None, None), (4, "東京", None)], "doc_id long, text string, lang string")
+    kept = language_id.recognised(docs, language_id.train(docs))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
 @given
 def test_language_model(spark, awkward, empty):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
