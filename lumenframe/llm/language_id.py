@@ -120,14 +120,12 @@ def _pieces(texts: list[str], labels: list[int]) -> tuple[list[np.ndarray], np.n
         if len(known) > 20_000:
             known.clear()
         words, start = words_of(text), 0
-        # Every piece of a short text; of a long one as many pieces, spread over the whole of it.
-        stride = max(1, len(words) // 200)
         while start < len(words):
             size = int(random.integers(3, PIECE_WORDS))
             piece = words[start : start + size]
             rows.append(np.concatenate([known[w] if w in known else known.setdefault(w, subwords(w)) for w in piece]))
             out.append(label)
-            start += size * stride
+            start += size
     return rows, np.array(out, dtype=np.int64)
 
 

@@ -354,6 +354,12 @@ def test_language_id_on_held_out_rows(spark, awkward, empty):
     assert language_id.recognised(awkward, model).columns == awkward.columns
 
 
+def test_long_texts_are_learned_whole():
+    words = ["w" + "abcdefghij"[i % 10] * (1 + i // 10 % 10) for i in range(5000)]
+    rows, labels = language_id._pieces([" ".join(words)], [0])
+    assert sum(map(len, rows)) == sum(len(language_id.subwords(w)) for w in words) and len(rows) == len(labels)
+
+
 def test_nothing_learned_rejects_only_texts_without_a_letter(spark):
     docs = spark.createDataFrame([(1, "two words", None), (2, "12 34 !", None), (3, None, None), (4, "東京", None)], "doc_id long, text string, lang string")
     kept = language_id.recognised(docs, language_id.train(docs))
