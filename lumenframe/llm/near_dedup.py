@@ -3,8 +3,10 @@
 A signature has ``POSITIONS`` b-bit symbols, one per MinHash function; two documents' signatures differ in about
 ``POSITIONS * (1 - similarity)`` places. Pairs that differ in at most ``MAX_DISTANCE`` places are candidates, and the
 join finds every one of them: the signature is cut into ``BANDS`` chunks, and by the pigeonhole principle such a pair
-has at least ``BANDS - MAX_DISTANCE`` (6) chunks without an error, so it meets in the bucket of one of them. Candidates
-are confirmed on their full shingle sets.
+has at least ``BANDS - MAX_DISTANCE`` (6) chunks without an error, so it meets in the bucket of one of them. No error is
+left to allow within a chunk. This holds for distances in the 16-bit symbols that chunks are cut from; distances are counted
+in their low 8 bits, where unlike symbols agree once in 256, so a pair near the limit may have fewer clean chunks.
+Candidates are confirmed on their full shingle sets.
 
 Work in large buckets stays bounded. Documents with equal sets are one class before the join. Buckets above
 ``BUCKET_ROWS`` are refined: the six clean chunks fall into five groups of chunks, so two lie in one group and the pair
