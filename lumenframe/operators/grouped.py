@@ -60,11 +60,10 @@ def crosstab(df: DataFrame, row: str, column: str, fill: bool = True) -> DataFra
     counts = grouped_aggregate(df, [row, column], None, "size", name="count")
     if not fill:
         return counts
-    # Every level of one key beside every level of the other is the result asked for: the levels of ``column`` come as
-    # one row with an array.
-    levels = counts.agg(F.sort_array(F.collect_set(col(column))).alias("__levels"))
+    # Every level of one key beside every level of the other is the result asked for; Spark deals large sides in blocks.
     rows = counts.select(quoted(row)).distinct()
-    grid = rows.crossJoin(F.broadcast(levels)).select(quoted(row), F.explode("__levels").alias(column))
+    levels = counts.select(quoted(column)).where(col(column).isNotNull()).distinct()
+    grid = rows.crossJoin(levels)
     return grid.join(counts, [row, column], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 

@@ -115,3 +115,19 @@ def test_random_search_over_large_grids(spark, planted):
     found = models.tune(table, "target_bin", "LogisticRegression", {"C": [0.01 * k for k in range(1, 31)]}, cv=2).collect()
     assert len(found) == models.GRID_LIMIT and {r["method"] for r in found} == {"random"}
     assert found[0]["score"] > 0.7 and [r["score"] for r in found] == sorted((r["score"] for r in found), reverse=True)
+
+
+def test_crosstab_keeps_its_levels_as_a_table(spark):
+    from lumenframe.operators import grouped
+
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("c", "z")], "r string, c string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = grouped.crosstab(df, "r", "c")
+        plan = out._jdf.queryExecution().toString()
+        assert "collect_set" not in plan and "Broadcast" not in plan
+        got = {(x["r"], x["c"]): x["count"] for x in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {(r, c): {"ax": 1, "ay": 1, "bx": 2, "cz": 1}.get(r + c, 0) for r in "abc" for c in "xyz"}
