@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import byte_bpe, decontaminate, exact_dedup, html_text, language_id, language_model, near_dedup, secrets, token_counts, toxicity
+from lumenframe.llm import (byte_bpe, decontaminate, exact_dedup, html_text, language_id, language_model, near_dedup, secrets, spelling,
+                            token_counts, toxicity, vector_codes, vector_dedup)
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -15,10 +16,16 @@ QUERIES = {
     "op6_main_text": html_text.op6_main_text,
     "op10_language_model": language_model.op10_language_model,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_vector_dedup": vector_dedup.op13_vector_dedup,
 }
 
 SQL = {
     "op4_secret_scan": secrets.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_vector_dedup": vector_dedup.SQL,
 }
