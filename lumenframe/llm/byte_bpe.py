@@ -24,7 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lumenframe.llm.common import stored, texts_of
+from lumenframe.llm.common import release, short_plans, stored, texts_of
+from lumenframe.schema import fresh_name
 
 #: Words whose ids are folded once and broadcast: about 20 MB.
 FREQUENT_WORDS = 200_000
@@ -49,13 +50,19 @@ class Ranks:
             self.ids = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
         self.pattern = pattern
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
-        #: (left id, right id) packed in one number -> id of the two together, for every way to cut a token in two.
-        self.merges = {}
+        #: (left id, right id) packed in one number, and the id of the two together, for every way to cut a token in two.
+        self.pairs, self.merged = array("I"), array("H")
         for token, rank in self.ids.items():
             for cut in range(1, len(token)):
                 left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
                 if left is not None and right is not None:
-                    self.merges[left << 16 | right] = rank
+                    self.pairs.append(left << 16 | right)
+                    self.merged.append(rank)
+
+    @property
+    def merges(self) -> dict[int, int]:
+        """Merged id by packed pair."""
+        return dict(zip(self.pairs, self.merged))
 
     def pieces(self) -> list[bytes]:
         out = [b""] * (max(self.ids.values()) + 1)
@@ -72,7 +79,7 @@ def _literal(value, kind: str) -> Column:
 def folded_ids(word: Column, ranks: Ranks) -> Column:
     """The ids of a word of at least one byte: merges folded over its byte array, lowest rank first."""
     buckets: list[list[int]] = [[] for _ in range(_BUCKETS)]
-    for pair, rank in ranks.merges.items():
+    for pair, rank in zip(ranks.pairs, ranks.merged):
         buckets[((pair >> 16) * _A + (pair & 0xFFFF) * _B) & (_BUCKETS - 1)].append(pair << 16 | rank)
     table = _literal(buckets, "array<array<bigint>>")
     byte_ids = _literal(ranks.byte_ids, "array<bigint>")
@@ -207,18 +214,24 @@ def frequent_words(docs: DataFrame, text_col: str, ranks: Ranks) -> DataFrame:
     chosen = counted.where(F.col("n") >= least) if least is not None else counted.limit(0)
     # Folding is costly a row: spread the few rows over the cores.
     chosen = chosen.repartition(max(8, chosen.sparkSession.sparkContext.defaultParallelism * 2), "word")
-    return stored(chosen.select("word", folded_ids(F.col("word"), ranks).cast("array<int>").alias("ids")), "ids")
+    with short_plans(docs.sparkSession):
+        return stored(chosen.select("word", folded_ids(F.col("word"), ranks).cast("array<int>").alias("ids")), "ids")
 
 
 def encoder(docs: DataFrame, text_col: str, ranks: Ranks):
     """A function from a text column to its ids, array<int>; null counts as empty."""
     spark = docs.sparkSession
-    table = frequent_words(docs, text_col, ranks).toArrow().combine_chunks()
+    release(spark)
+    words = frequent_words(docs, text_col, ranks)
+    release(spark)
+    table = words.toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table, max_chunksize=SENT_WORDS)
-    shared = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks.byte_ids, np.fromiter(ranks.merges, np.uint32, len(ranks.merges)),
-                                           np.fromiter(ranks.merges.values(), np.uint16, len(ranks.merges))))
+    del table
+    shared = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks.byte_ids, np.array(ranks.pairs), np.array(ranks.merged)))
+    del sink
+    release(spark)
     pattern = ranks.pattern
 
     @arrow_udf("array<int>")
@@ -266,10 +279,11 @@ def decoded(ids: Column, ranks: Ranks) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
 
 
-def _encoded_digests(df: DataFrame, ranks: Ranks) -> DataFrame:
+def _encoded_digests(df: DataFrame, ranks: Ranks, name: str = "ids") -> DataFrame:
+    ids = F.col(name)
     return df.select(
-        "*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+        "*", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(decoded(ids, ranks), 256).alias("decoded_sha256"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,8 +296,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: Ranks, text_col: str = "text") -> DataFrame:
-    """The rows with n_tokens, ids_sha256 and decoded_sha256 beside their columns (which give way to these if so named)."""
+    """The rows with n_tokens, ids_sha256 and decoded_sha256 beside their columns (which give way to these if so named).
+
+    A null text counts as empty; every row stays, repeated ones too; an empty table gives an empty result.
+    """
     new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    name = fresh_name(docs.columns, "__ids")
     ids = encoder(docs, text_col, ranks)(F.col(text_col))
-    out = _encoded_digests(docs.drop(*new, "ids").withColumn("ids", ids), ranks)
-    return out.drop("ids")
+    return _encoded_digests(docs.drop(*new).withColumn(name, ids), ranks, name).drop(name)

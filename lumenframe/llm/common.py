@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -30,6 +32,28 @@ def shared(spark: SparkSession, value) -> Callable:
     return lambda: pickle.loads(packed.value)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left on the driver.
+
+    Spark drops broadcasts and shuffle files once the driver's objects for them are collected, which may be long after.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def short_plans(spark: SparkSession, characters: int = 1 << 14) -> Iterator[None]:
+    """Descriptions of plans are cut while plans with large literals run: the driver keeps one for every step of a query."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, characters)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold_of(id_col: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col

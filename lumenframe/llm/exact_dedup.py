@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenframe.llm.common import stored
+from lumenframe.schema import fresh_name
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX_CHARS = 256
@@ -70,16 +71,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without exact copies, with all their columns.
 
-    Of equal texts the row with the smallest id stays; rows repeated with the same id and text leave one of them.
+    Of equal texts the row with the smallest id stays; rows repeated with the same id and text leave one of them. Null
+    texts count as empty, so they are copies of each other; a row without an id goes if a copy has one, and is a copy of
+    its like otherwise. Whole texts are hashed only where length and beginning are shared. An empty table stays empty.
     """
-    named = exact_groups(docs, id_col, text_col, digests=True).where("kept").select(
-        F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__whole"))
-    kept = stored(named.groupBy("__id", "__whole").agg(F.count(F.lit(1)).alias("__times")), "kept")
-    whole = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (whole == F.col("__whole")), "left_semi")
-    if kept.where("__times > 1").isEmpty():
-        return out
-    return out.withColumn("__whole", whole).dropDuplicates([id_col, "__whole"]).drop("__whole")
+    id_name, whole = fresh_name(docs.columns, "__id"), fresh_name(docs.columns, "__whole")
+    groups = exact_groups(docs, id_col, text_col).where("text_sha256 is not null").select(
+        F.col(id_col).alias(id_name), F.unhex("text_sha256").alias(whole), "kept")
+    counted = stored(groups.groupBy(id_name, whole, "kept").agg(F.count(F.lit(1)).alias("times")), "verdicts")
+    going = counted.where("not kept")
+    named = stored(counted.where("not kept or times > 1").select(id_name).distinct(), "suspects")
+    same_id = F.col(id_col).eqNullSafe(F.col(id_name))
+    passed = docs.join(named, same_id, "left_anti")
+    # Of the few rows that share such an id, the text decides.
+    suspects = docs.join(named, same_id, "left_semi")
+    digest = fresh_name([*docs.columns, id_name, whole], "__digest")
+    suspects = suspects.withColumn(digest, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    stay = suspects.join(going, same_id & (F.col(digest) == F.col(whole)), "left_anti")
+    return passed.unionByName(stay.dropDuplicates([id_col, digest]).drop(digest))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ word and remember it.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lumenframe.llm.common import fold_of, shared, stored, structs
+from lumenframe.llm.common import fold_of, release, shared, stored, structs
 
 #: Documents sampled for each language, at most, by the smallest hash of their id.
 SAMPLED_DOCS = 400
+#: Parts of a language's rows that are ranked apart.
+LANES = 64
 ROWS = 1 << 15
 SIZE = 12
 EPOCHS = 4
@@ -133,13 +134,18 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """A model from the rows with a text and a language; None if there are none.
 
     At most SAMPLED_DOCS documents of each language are used, those with the smallest hash of their id, so the sample
-    does not depend on the order or partitioning of the table.
+    does not depend on the order or partitioning of the table. Rows without an id go by their text's
+    hash; rows repeated with one id are sampled together; an empty table teaches nothing.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("language"))
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)), F.lit("language"))
     keys = rows.select(F.col(lang_col).alias("lang"), key.alias("key"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    limits = stored(keys.withColumn("rank", rank).where(F.col("rank") <= SAMPLED_DOCS).groupBy("lang").agg(F.max("key").alias("limit")), "limits")
+    # The smallest hashes of each lane first, so that no task ranks all rows of a frequent language.
+    lane = F.pmod(F.xxhash64("key", F.lit("lane")), F.lit(LANES))
+    smallest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key"))
+    few = keys.withColumn("lane", lane).withColumn("rank", smallest("lang", "lane")).where(F.col("rank") <= SAMPLED_DOCS)
+    few = few.withColumn("rank", smallest("lang")).where(F.col("rank") <= SAMPLED_DOCS)
+    limits = stored(few.groupBy("lang").agg(F.max("key").alias("limit")), "limits")
     sample = rows.select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(text_col).alias("text")).join(F.broadcast(limits), "lang")
     # Plain lists: the driver's memory is scarce.
     sample = sample.where("key <= limit").select("lang", "key", "text").toArrow()
@@ -159,8 +165,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         model.calibrate(*parts[1])
     # The driver keeps the model alone.
     del sample, parts, part
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    release(labelled.sparkSession)
     return model
 
 

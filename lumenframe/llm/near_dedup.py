@@ -30,6 +30,7 @@ from pyspark.sql.functions import arrow_udf
 
 from lumenframe.llm.common import components, stored, structs, texts_of
 from lumenframe.llm.shingles import shingle_sets
+from lumenframe.schema import fresh_name
 
 WORDS = 5
 MIN_SIMILARITY_PERCENT = 80
@@ -323,23 +324,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id stay; rows repeated with one id and text leave one of them. Different texts under one id are
     documents of their own: they are near copies of each other only by their texts, ordered by the texts' hashes.
     """
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).count()
+    own = lambda stem: fresh_name(docs.columns, stem)
+    own_id, digest, of_id, of_digest = own("__id"), own("__digest"), own("__of_id"), own("__of_digest")
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).count()
     if ids.where("count > 1").isEmpty():
-        kept = stored(near_groups(docs, id_col, text_col, words).where("kept").select(F.col(id_col).alias("__id")).distinct(), "kept")
-        return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        kept = stored(near_groups(docs, id_col, text_col, words).where("kept").select(F.col(id_col).alias(of_id)).distinct(), "kept")
+        return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(of_id)), "left_semi")
     lone = docs.where(F.col(id_col).isNull())
-    rows = docs.where(F.col(id_col).isNotNull()).withColumn("__digest", digest)
-    texts = rows.select(F.col(id_col).cast("long").alias("__id"), "__digest", F.col(text_col).alias("text"))
-    texts = texts.dropDuplicates(["__id", "__digest"])
+    rows = docs.where(F.col(id_col).isNotNull()).withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    texts = rows.select(F.col(id_col).cast("long").alias(own_id), digest, F.col(text_col).alias("text"))
+    texts = texts.dropDuplicates([own_id, digest])
     # Numbers in the order of id and hash stand for the ids.
-    ranged = texts.repartitionByRange("__id", "__digest").sortWithinPartitions("__id", "__digest")
+    ranged = texts.repartitionByRange(own_id, digest).sortWithinPartitions(own_id, digest)
     ranged = stored(ranged.withColumn("number", F.monotonically_increasing_id()), "numbered")
     winners = near_groups(ranged, "number", "text", words).where("kept").select("number")
-    kept = stored(ranged.select("number", "__id", "__digest").join(winners, "number", "left_semi").drop("number"), "kept")
-    out = rows.join(kept.withColumnsRenamed({"__id": "__kept", "__digest": "__of"}),
-                    (F.col(id_col).cast("long") == F.col("__kept")) & (F.col("__digest") == F.col("__of")), "left_semi")
-    return out.dropDuplicates([id_col, "__digest"]).drop("__digest").unionByName(lone)
+    kept = stored(ranged.join(winners, "number", "left_semi").select(F.col(own_id).alias(of_id), F.col(digest).alias(of_digest)), "kept")
+    out = rows.join(kept, (F.col(id_col).cast("long") == F.col(of_id)) & (F.col(digest) == F.col(of_digest)), "left_semi")
+    return out.dropDuplicates([id_col, digest]).drop(digest).unionByName(lone)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

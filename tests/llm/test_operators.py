@@ -64,6 +64,15 @@ def test_exact_dedup_keeps_one_row_and_all_columns(awkward, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_deduplication_beside_columns_of_its_own_names(awkward):
+    clashing = awkward.withColumnsRenamed({"key": "__id", "n": "__whole", "id": "__digest", "block": "__of_id", "source": "kept"}).withColumn("times", F.lit(1))
+    for operator in (exact_dedup.exact_dedup, near_dedup.near_dedup):
+        kept = operator(clashing)
+        assert kept.columns == clashing.columns
+        plain = lambda df: sorted(str(tuple(r)) for r in df.collect())
+        assert plain(kept) == plain(operator(awkward).withColumn("times", F.lit(1)))
+
+
 def sets_of(texts, width):
     out = {}
     for i, t in texts:
@@ -159,7 +168,8 @@ def test_bpe_equals_the_library_and_round_trips(awkward, empty, monkeypatch):
     got = sorted((str(r.doc_id), tuple(r.ids), bytes(r.bytes)) for r in out)
     assert got == sorted((str(i), tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in TEXTS)
     assert byte_bpe.encode(empty, ranks).count() == 0
-    assert set(byte_bpe.round_trip(awkward, ranks).columns) >= {"doc_id", "text", "n_tokens", "decoded_sha256"}
+    assert byte_bpe.round_trip(awkward, ranks).columns == [*awkward.columns, "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {tuple(r.ids) for r in byte_bpe.round_trip(awkward, ranks).collect()} == {(1,)}
 
 
 def test_folded_words_and_heap(spark):
