@@ -283,10 +283,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = tried.select(F.col("a").alias("rep")).unionByName(tried.select(F.col("b").alias("rep"))).unionByName(
         large.select("rep")).distinct()
     chosen = reps.join(nodes, "rep", "left_semi").select("rep", "digest", "n")
-    full = stored(
-        base.join(chosen.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-        .select("id", _full_sets_udf(words)("text").alias("shingles")).where(F.size("shingles") > 0)
-        .withColumnRenamed("id", "rep").dropDuplicates(["rep", "shingles"]), "full")
+    # A table of ids alone: where it is small, the texts are not shuffled. Empty sets go after the sets are written, since a
+    # filter on them would be moved before the join and hash every text.
+    named = stored(chosen.select(F.col("rep").alias("id")).distinct(), "chosen")
+    full = base.join(named, "id", "left_semi").select(F.col("id").alias("rep"), _full_sets_udf(words)("text").alias("shingles"))
+    full = stored(full, "full").where(F.size("shingles") > 0)
+    if not sets.groupBy("id").count().where("count > 1").isEmpty():
+        full = stored(full.dropDuplicates(["rep", "shingles"]), "full")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = full.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
