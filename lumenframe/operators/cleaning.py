@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +12,7 @@ from ..schema import (
     as_label,
     col,
     dtype,
+    fresh_name,
     is_missing,
     numeric_columns,
     quoted,
@@ -18,6 +20,7 @@ from ..schema import (
     require_numeric,
     string_columns,
 )
+from ..session import settle
 from .grouped import column_levels
 from .ordering import Order, carry_forward, column_quantiles, look_up, running_sums
 
@@ -193,6 +196,34 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_levels: int | None = None
     return df.select(*kept, *made)
 
 
+def one_hot_sparse(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """C10 for any number of levels: the table with ``positions`` in place of the columns, and the dictionary of positions.
+
+    A level is a position (0, 1, …, columns in turn, levels in order) instead of a
+    column of its own; ``positions`` lists those that are true in a row, and the
+    dictionary, itself a table of ``position, column, level``, names them. Missing
+    is no position. Levels stay on the executors throughout: the driver learns
+    their number per column.
+    """
+    require_columns(df, *columns)
+    place = {c: fresh_name(df.columns, f"__position{i}") for i, c in enumerate(columns)}
+    out, parts, start = df, [], 0
+    for c in columns:
+        present = df.where(~is_missing(df, c))
+        levels = settle(label_classes(present, c))
+        many = levels.count()
+        numbered = levels.withColumn("position", F.col("code") + F.lit(start))
+        parts.append(numbered.select("position", F.lit(c).alias("column"), "level"))
+        level = fresh_name(out.columns, "__level")
+        keyed = out.withColumn(level, F.when(~is_missing(df, c), col(c).cast("string")))
+        table = numbered.select(F.col("level").alias(level), F.col("position").alias(place[c]), "rows")
+        out = look_up(keyed, table, level, "rows", many).drop(level)
+        start += many
+    kept = [col(c) for c in df.columns if c not in columns]
+    found = out.select(*kept, F.array_compact(F.array(*[F.col(p) for p in place.values()])).alias("positions"))
+    return found, functools.reduce(DataFrame.unionByName, parts)
+
+
 def scale(df: DataFrame, columns: Sequence[str] | None = None, method: str = "standard") -> DataFrame:
     """Standard scores (population deviation) or the range mapped to [0, 1]."""
     if method not in ("standard", "minmax"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
@@ -29,9 +30,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import as_double, col, dtype, is_numeric, quoted, require_columns
-from ..session import settle
+from ..session import settle, shared_dir
 from .cleaning import columns_with_gaps, label_encode
 from .grouped import column_levels, confusion
+from .ordering import BROADCAST_BYTES
 from .scoring import (
     calibration,
     classification_metrics,
@@ -114,8 +116,9 @@ def prepare(df: DataFrame, target: str, features: Sequence[str] | None = None, r
         classes = column_levels(used, target)
         if len(classes) < 2:
             raise ValueError(f"'{target}' needs at least 2 classes, found {len(classes)}.")
-        label = (F.array_position(F.array(*map(F.lit, classes)), col(target)) - 1).cast("double")
-    key = [col(row_id)] if row_id else [col(c) for c in used.columns]
+        label = col(_CODE)
+        used = with_class_codes(used, target, classes)
+    key = [col(row_id)] if row_id else [col(c) for c in used.columns if c != _CODE]
     rows = used.withColumns({"label": label, "__row": F.xxhash64(F.lit(SEED), *key)})
     texts = [c for c in names if not _plain_number(dtype(df, c))]
     coded = label_encode(rows, texts)
@@ -126,6 +129,19 @@ def prepare(df: DataFrame, target: str, features: Sequence[str] | None = None, r
     return Prepared(frame, tuple(names), tuple(map(str, classes)) if classes is not None else None)
 
 
+_CODE = "__class_code"
+
+
+def with_class_codes(df: DataFrame, target: str, classes: Sequence) -> DataFrame:
+    """Each row's class number as a double, by a join with the table of classes: one hash look-up a row."""
+    kind = df.schema[target].dataType
+    schema = T.StructType([T.StructField("__class", kind), T.StructField(_CODE, T.DoubleType())])
+    table = df.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], schema)
+    size = sum(len(c.encode()) if isinstance(c, str) else 8 for c in classes) + 8 * len(classes)
+    table = F.broadcast(table) if size <= BROADCAST_BYTES else table
+    return df.join(table, col(target) == F.col("__class"), "left").drop("__class")
+
+
 def _plain_number(kind: T.DataType) -> bool:
     return is_numeric(kind) or isinstance(kind, T.BooleanType)
 
@@ -140,6 +156,39 @@ def kept(prepared: Prepared) -> Iterator[Prepared]:
         prepared.frame.unpersist()
 
 
+# Memory, in MB, for the statistics of the nodes split in one pass over the data. With Spark's 256 a forest whose
+# levels have hundreds of thousands of nodes reads the data many times a level.
+NODE_MEMORY = 1024
+_FOREST = dict(seed=SEED, cacheNodeIds=True, maxMemoryInMB=NODE_MEMORY)
+_FOLDED_PARTITION_ROWS = 50_000
+
+
+def folded(train: DataFrame, classified: bool) -> DataFrame:
+    """Rows of equal features as one row with a ``weight``, which boosting can't tell apart from the rows themselves.
+
+    Squared errors of rows that share a prediction are least where that of
+    their mean label is, so regression keeps the mean; classes stay apart.
+    """
+    keys = ["features", "label"] if classified else ["features"]
+    sums = [F.count(F.lit(1)).cast("double").alias("weight")] + ([] if classified else [F.avg("label").alias("label")])
+    return settle(train.groupBy(*keys).agg(*sums))
+
+
+def _train(estimator: Estimator, train: DataFrame, classified: bool):
+    """Fit; the rows of a boosted model are folded first, and dealt to as few tasks as they fill."""
+    boosted = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    if not isinstance(boosted, (GBTClassifier, GBTRegressor)):
+        return estimator.fit(train)
+    rows = folded(train, classified)
+    tasks = math.ceil(rows.count() / _FOLDED_PARTITION_ROWS)
+    # A hundred rounds read the rows several times each.
+    held = rows.coalesce(max(1, tasks)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.copy({estimator.weightCol: "weight"}).fit(held)
+    finally:
+        held.unpersist()
+
+
 def build(algorithm: str, prepared: Prepared, rows: int, size: TreeSize = FULL) -> Estimator:
     """An untrained estimator; ``XGBoost`` is served by gradient-boosted trees."""
     classified = prepared.is_classification
@@ -148,8 +197,7 @@ def build(algorithm: str, prepared: Prepared, rows: int, size: TreeSize = FULL)
         raise ValueError(f"Algorithm '{algorithm}' not supported for {task}.")
     if algorithm == "RandomForest":
         forest = RandomForestClassifier if classified else RandomForestRegressor
-        return forest(numTrees=100, maxDepth=size.forest_depth, seed=SEED,
-                      featureSubsetStrategy="sqrt" if classified else "all")
+        return forest(numTrees=100, maxDepth=size.forest_depth, featureSubsetStrategy="sqrt" if classified else "all", **_FOREST)
     if algorithm == "LogisticRegression":
         return LogisticRegression(maxIter=1000, regParam=1.0 / max(rows, 1), standardization=False)
     if algorithm == "LinearRegression":
@@ -166,20 +214,26 @@ def _fit(prepared: Prepared, algorithm: str, size: TreeSize = FULL):
     rows = train.count()
     if rows == 0:
         raise ValueError("No rows are left to train on.")
-    return build(algorithm, prepared, rows, size).fit(train)
+    # Node ids are kept in checkpoints.
+    shared_dir(train.sparkSession)
+    return _train(build(algorithm, prepared, rows, size), train, prepared.is_classification)
 
 
 def compare_models(df: DataFrame, target: str, features: Sequence[str] | None = None, row_id: str | None = None,
                    algorithms: Sequence[str] | None = None, size: TreeSize = FULL) -> DataFrame:
     """M3: test accuracy (or RMSE) of each model, best first."""
     with kept(prepare(df, target, features, row_id)) as prepared:
-        results = []
-        for name in algorithms or ALGORITHMS[prepared.is_classification]:
+        def score(name: str) -> tuple[str, str, float]:
             scored = _fit(prepared, name, size).transform(prepared.test())
             if prepared.is_classification:
-                results.append((name, "accuracy", classification_metrics(scored).first()["accuracy"]))
-            else:
-                results.append((name, "rmse", regression_metrics(scored).first()["rmse"]))
+                return name, "accuracy", classification_metrics(scored).first()["accuracy"]
+            return name, "rmse", regression_metrics(scored).first()["rmse"]
+
+        names = list(algorithms or ALGORITHMS[prepared.is_classification])
+        prepared.frame.count()
+        # Models are independent: the short jobs of one fill the gaps of another.
+        with ThreadPool(len(names)) as pool:
+            results = pool.map(inheritable_thread_target(df.sparkSession)(score), names, chunksize=1)
     results.sort(key=lambda r: (r[2] is None, -r[2] if prepared.is_classification else r[2]))
     task = "classification" if prepared.is_classification else "regression"
     rows = [(task, *r, place, place == 1) for place, r in enumerate(results, 1)]
@@ -344,7 +398,7 @@ def learning_curve(df: DataFrame, target: str, features: Sequence[str] | None =
                 rows = train.count()
                 if rows == 0:
                     continue
-                model = build(algorithm, prepared, rows, size).fit(train)
+                model = _train(build(algorithm, prepared, rows, size), train, prepared.is_classification)
                 scores = [measure(model.transform(part)).first()[metric]
                           for part in (train, prepared.frame.where(fold == k))]
                 results.append((share, k, rows, *scores))
@@ -408,7 +462,7 @@ def _tuned(model_type: str, classes: int | None, rows: int, params: Mapping) ->
     if model_type == "RandomForest":
         forest = RandomForestClassifier if classes else RandomForestRegressor
         leaf = max(1, int(params.get("min_samples_split", 2)) // 2)
-        return forest(numTrees=int(params.get("n_estimators", 100)), maxDepth=depth, minInstancesPerNode=leaf, seed=SEED)
+        return forest(numTrees=int(params.get("n_estimators", 100)), maxDepth=depth, minInstancesPerNode=leaf, **_FOREST)
     if model_type == "XGBoost":
         settings = dict(maxIter=int(params.get("n_estimators", 100)), maxDepth=depth,
                         stepSize=float(params.get("learning_rate", 0.3)), seed=SEED)
@@ -477,20 +531,21 @@ def tune(df: DataFrame, target: str, model_type: str = "RandomForest", grid: Map
     classes = column_levels(wide, target) if classified else None
     if classes is not None and len(classes) < 2:
         raise ValueError(f"Hyperparameter tuning failed: '{target}' has one class.")
-    label = as_double(wide, target) if not classified else (
-        F.array_position(F.array(*map(F.lit, classes)), col(target)) - 1
-    ).cast("double")
+    label = as_double(wide, target)
+    if classified:
+        wide, label = with_class_codes(wide, target, classes), col(_CODE)
     flat = wide.select(label.alias("label"), *[col(c).alias(f"f{i}") for i, c in enumerate(inputs)])
     hashed = flat.withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), *map(F.col, flat.columns)), F.lit(cv)).cast("int"))
     assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(len(inputs))], outputCol="features")
     frame = assembler.transform(hashed).select("features", "label", "fold").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = frame.count()
+        shared_dir(df.sparkSession)
         estimators = [_tuned(model_type, len(classes) if classes else None, rows, params) for params in combinations]
 
         def fold_score(task: tuple[Estimator, int]) -> float:
             estimator, fold = task
-            model = estimator.fit(frame.where(F.col("fold") != fold))
+            model = _train(estimator, frame.where(F.col("fold") != fold), classified)
             return evaluator.evaluate(model.transform(frame.where(F.col("fold") == fold)))
 
         # Settings and folds are independent fits, run side by side.

@@ -9,15 +9,19 @@ only steer the balance; the results are exact whatever the cut points are.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
-from collections.abc import Mapping, Sequence
+import os
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schema import as_double, col, dtype, fresh_name, is_missing, is_numeric, quoted
+from ..session import settle
 
 BUCKET = "__bucket"
 # Longs beyond this are not told apart as doubles.
@@ -34,17 +38,40 @@ def range_count(df: DataFrame) -> int:
     return max(32, min(8192, 4 * partitions))
 
 
-# Texts that divide a text key into ranges, at most, and the characters kept of each.
+# Texts that divide a text key into ranges, at most, and their bytes together.
 _TEXT_MARKS = 2304
-_MARK_CHARS = 256
+_MARK_BYTES = 1 << 20
 
 
-def text_marks(df: DataFrame, order: Order, column: str) -> tuple[str, ...]:
-    """Sorted texts that divide the column about evenly: a bounded sample of its values, taken by hash of the keys."""
-    by = F.xxhash64(*map(quoted, order.columns))
-    value = F.substring(col(column), 1, _MARK_CHARS)
-    sample = df.where(col(column).isNotNull()).select(value.alias("v"), by.alias("h")).orderBy("h", "v").limit(_TEXT_MARKS)
-    return tuple(sorted({r["v"] for r in sample.collect()}, key=str.encode))
+def _shortest_distinguishing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted texts, each one's beginning up to the first byte that tells it from the one before."""
+    before = ""
+    for batch in batches:
+        marks = []
+        for value in batch.column(0).to_pylist():
+            common = os.path.commonprefix([before, value])
+            marks.append(value[: len(common) + 1])
+            before = value
+        yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string())], names=["m"])
+
+
+def text_marks(df: DataFrame, order: Order, column: str, keys: int) -> tuple[str, ...]:
+    """Sorted texts that divide the column about evenly, from a bounded sample of its values taken by hash of the keys.
+
+    ``keys`` estimates the distinct keys, a share of which is sampled. A mark is the shortest beginning
+    of a sampled text that tells it from the sample's next lower one, so texts
+    with a long common beginning are told apart behind it, and marks stay short
+    otherwise. Marks of more than a bounded size together are thinned out evenly.
+    """
+    share = min(1.0, _TEXT_MARKS / max(keys, 1))
+    chosen = F.pmod(F.xxhash64(*map(quoted, order.columns)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = df.where(col(column).isNotNull() & chosen).select(col(column).alias("v")).distinct()
+    # One task sorts the sample.
+    ordered = sample.coalesce(1).sortWithinPartitions("v")
+    marks = sorted({r["m"] for r in ordered.mapInArrow(_shortest_distinguishing, "m string").collect()}, key=str.encode)
+    while len(marks) > 32 and sum(len(m.encode()) for m in marks) > _MARK_BYTES:
+        marks = marks[1::2]
+    return tuple(marks)
 
 
 def marks_passed(value: Column, marks: Sequence[str]) -> Column:
@@ -87,9 +114,9 @@ class Order:
     def keys(self) -> list[Column]:
         return [col(c).desc() if c in self.descending else col(c).asc() for c in self.columns]
 
-    def marks(self, df: DataFrame) -> tuple[tuple[str, ...], ...]:
+    def marks(self, df: DataFrame, keys: int) -> tuple[tuple[str, ...], ...]:
         """For the keys that divide the table, the marks of those that are texts."""
-        return tuple(text_marks(df, self, c) if isinstance(dtype(df, c), T.StringType) else () for c in self.columns[:2])
+        return tuple(text_marks(df, self, c, keys) if isinstance(dtype(df, c), T.StringType) else () for c in self.columns[:2])
 
     def numbers(self, df: DataFrame, marks: Sequence[Sequence[str]]) -> list[Column]:
         found = [order_number(df, c, m) for c, m in zip(self.columns, marks)]
@@ -119,6 +146,10 @@ class Cuts:
 # Size of the quantile sketches: a rank error well below a thousandth.
 _SKETCH = 4000
 _RANK_MARGIN = 0.003
+# Points of a sketch among which a bracket's new ends are chosen.
+_NARROW_STEPS = 512
+# Rounds in which brackets are narrowed, each to about a hundredth.
+_NARROW_TURNS = 12
 
 
 def _sketch(number: Column) -> Column:
@@ -132,12 +163,21 @@ def _sketch_points(name: str, ranks: Sequence[float]) -> Column:
     return F.when(F.kll_sketch_get_n_double(name) > 0, F.kll_sketch_get_quantile_double(name, wanted))
 
 
-def find_cuts(df: DataFrame, order: Order, by: Sequence[str] = (), ranges: int | None = None) -> Cuts:
-    """One aggregate job; the driver receives a bounded list of numbers."""
+def find_cuts(df: DataFrame, order: Order, by: Sequence[str] = (), ranges: int | None = None, for_large: bool = False) -> Cuts:
+    """One aggregate job; the driver receives a bounded list of numbers.
+
+    ``for_large``: no cut points are needed if the table turns out small.
+    """
     ranges = ranges or range_count(df)
-    marks = order.marks(df)
-    numbers = order.numbers(df, marks)
     keys = F.approx_count_distinct(F.xxhash64(*map(quoted, [*by, *order.columns])))
+    marks: tuple[tuple[str, ...], ...] = ((),) * len(order.columns[:2])
+    if any(isinstance(dtype(df, c), T.StringType) for c in order.columns[:2]):
+        rows = df.agg(keys).first()[0]
+        # Sampling texts is worth it for a large table only.
+        if for_large and rows <= BROADCAST_ROWS:
+            return Cuts((), rows)
+        marks = order.marks(df, rows)
+    numbers = order.numbers(df, marks)
     sketches = df.agg(keys.alias("rows"), *[_sketch(n).alias(f"s{i}") for i, n in enumerate(numbers)])
     steps = [i / ranges for i in range(1, ranges)]
     row = sketches.select("rows", *[_sketch_points(f"s{i}", steps) for i in range(len(numbers))]).first()
@@ -193,7 +233,7 @@ def running_sums(
     must not be null. A table that is found to be small is summed by one window.
     """
     totals = dict(totals or {})
-    cuts = find_cuts(df if source is None else source, order, by)
+    cuts = find_cuts(df if source is None else source, order, by, for_large=True)
     group = Window.partitionBy(*map(quoted, by))
     if cuts.small:
         so_far = group.orderBy(*order.keys()).rowsBetween(Window.unboundedPreceding, 0)
@@ -393,16 +433,14 @@ def _narrow(values: DataFrame, brackets: Mapping) -> dict:
 def _pick(values: DataFrame, brackets: Mapping) -> dict:
     """The values at the wanted ranks: the brackets' rows are counted, ranked and matched."""
     keys, items = list(brackets), list(brackets.values())
-    # One row per value first: a computed column is then evaluated once, not once
-    # per bracket.
-    columns = sorted({b.column for b in items})
-    melted = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in columns])))
-    hits = [(F.col("i") == b.column) & b.holds(F.col("x")) for b in items]
+    # Each value meets the brackets of its own column only, and most rows lie in none.
+    hits = [b.holds(F.col(f"x{b.column}")) for b in items]
     touched = F.lit(False)
     for hit in hits:
-        touched |= hit
-    owners = F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in enumerate(hits)]))
-    rows = melted.where(touched).select(F.explode(owners).alias("k"), "x")
+        touched |= F.coalesce(hit, F.lit(False))
+    owners = F.array_compact(F.array(*[
+        F.when(hit, F.struct(F.lit(k).alias("k"), F.col(f"x{b.column}").alias("x"))) for k, (hit, b) in enumerate(zip(hits, items))]))
+    rows = values.where(touched).select(F.inline(owners))
     counted = rows.groupBy("k", "x").agg(F.count(F.lit(1)).alias("times"))
     upto = F.sum("times").over(Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
 
@@ -424,16 +462,12 @@ def quantiles(
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    ranges: int = 128,
     exact: bool = True,
 ) -> DataFrame:
     """Linearly interpolated quantiles per ``by`` group and column, in long form.
 
     Output: ``by`` keys, ``column``, ``n`` (non-null values) and one column per
-    probability. With groups, the values are counted per range, the few ranges
-    holding the wanted ranks are found, and only the rows in them are shuffled;
-    equal values are counted together, so a hot value stays one row.
-    Group keys must not be null.
+    probability. Group keys must not be null.
     """
     names = list(names or [f"q{i}" for i in range(len(probabilities))])
     if exact and not by:
@@ -444,81 +478,146 @@ def quantiles(
             + [T.StructField(name, T.DoubleType()) for name in names]
         )
         return df.sparkSession.createDataFrame(rows, schema)
-    values = df.select(*map(quoted, by), *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(columns)])
-    inputs = [f"__x{i}" for i in range(len(columns))]
+    long = melted(df, columns, by)
     keys = [*by, "column"]
-
     if not exact:
-        long = _melt(values, by, columns, [[x] for x in inputs], ["x"])
         return long.groupBy(*map(quoted, keys)).agg(
             F.count("x").alias("n"),
             *[F.percentile_approx("x", p, 10000).alias(n) for p, n in zip(probabilities, names)],
         )
+    return group_quantiles(long, keys, probabilities, names)
 
-    sketches = values.agg(
-        *[_sketch(F.col(x)).alias(x) for x in inputs],
-        F.approx_count_distinct(F.xxhash64(*map(quoted, by))).alias("groups"),
-    )
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = sketches.select(*[_sketch_points(x, steps).alias(x) for x in inputs], "groups").first()
-    splits = [[float("-inf"), *sorted(set(cuts[x] or [0.0])), float("inf")] for x in inputs]
-    outputs = [f"__b{i}" for i in range(len(columns))]
-    cutter = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs, handleInvalid="keep")
-    cut = cutter.transform(values).withColumns({b: F.col(b).cast("int") for b in outputs})
-    long = _melt(cut, by, columns, [[x, b] for x, b in zip(inputs, outputs)], ["x", BUCKET])
-
-    group = Window.partitionBy(*map(quoted, keys))
-    counts = (
-        long.groupBy(*map(quoted, [*keys, BUCKET]))
-        .agg(F.count("x").alias("__size"))
-        .withColumns(
-            {
-                "__before": F.coalesce(
-                    F.sum("__size").over(group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)),
-                    F.lit(0),
-                ),
-                "n": F.sum("__size").over(group),
-            }
-        )
-    )
 
-    def ranks(p: float) -> tuple[Column, Column]:
-        place = F.lit(float(p)) * (F.col("n") - 1)
+def melted(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(by…, column, x)`` of the columns' values as doubles, without missing ones."""
+    values = df.select(*map(quoted, by), *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(columns)])
+    return _melt(values, by, columns, [[f"__x{i}"] for i in range(len(columns))], ["x"])
+
+
+# A table of at most this many bytes may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def table_bytes(df: DataFrame) -> int:
+    """About the size of the rows: texts by their bytes, other values as eight each."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for c in df.columns:
+        if isinstance(dtype(df, c), T.StringType):
+            size = size + F.coalesce(F.octet_length(col(c)), F.lit(0))
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def group_quantiles(
+    long: DataFrame,
+    keys: Sequence[str],
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    extra: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Exact quantiles of ``x`` per group of ``(keys…, x)`` rows, with ``n`` and further aggregates ``extra``.
+
+    Every group has a mergeable sketch of its own, whose points bracket each
+    wanted rank. A counting pass proves the brackets: a rank outside its bracket
+    opens it, and a bracket that still holds many rows is narrowed by a sketch of
+    its own values, as long as that more than halves it (else its rows are few
+    values). Only the values inside the brackets, under a hundredth of a group,
+    are then counted and ranked, so no task meets a share of a group that grows
+    with it, whatever the number of groups. ``x`` and the keys must not be null.
+    """
+    group, extra = list(map(quoted, keys)), dict(extra or {})
+    number = range(len(probabilities))
+    ranks = [min(max(p + side * _RANK_MARGIN, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
+    infinite = float("inf")
+
+    def rank(i: int) -> tuple[Column, Column]:
+        place = F.lit(float(probabilities[i])) * (F.col("n") - 1)
         return F.floor(place), F.ceil(place)
 
-    wanted = F.lit(False)
-    for p in probabilities:
-        for rank in ranks(p):
-            wanted |= (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__size"))
-    held = counts.where(wanted).drop("__size")
-    # At most two ranges per group, column and probability.
-    if 2 * cuts["groups"] * len(columns) * len(probabilities) <= BROADCAST_ROWS:
-        held = F.broadcast(held)
-
-    running = (
-        Window.partitionBy(*map(quoted, [*keys, BUCKET]))
-        .orderBy("x")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    spans = (
-        long.join(held, [*keys, BUCKET])
-        .groupBy(*map(quoted, [*keys, BUCKET]), "__before", "n", "x")
-        .agg(F.count(F.lit(1)).alias("__times"))
-        .withColumn("__upto", F.col("__before") + F.sum("__times").over(running))
-        .withColumn("__from", F.col("__upto") - F.col("__times"))
-    )
-    picks = []
-    for i, p in enumerate(probabilities):
-        for side, rank in zip("lh", ranks(p)):
-            inside = (F.col("__from") <= rank) & (rank < F.col("__upto"))
-            picks.append(F.max(F.when(inside, F.col("x"))).alias(f"__{side}{i}"))
-    found = spans.groupBy(*map(quoted, keys)).agg(F.max("n").alias("n"), *picks)
+    sketched = long.groupBy(*group).agg(
+        F.count("x").alias("n"), _sketch(F.col("x")).alias("__s"), *[c.alias(k) for k, c in extra.items()])
+    pointed = sketched.withColumn("__p", _sketch_points("__s", ranks)).drop("__s")
+    # The margin means less than two rows in a small group: take them all. So does a group without finite values.
+    few = (F.col("n") * _RANK_MARGIN < 2) | F.col("__p").isNull()
+    state = settle(pointed.select(
+        *group, "n", *extra,
+        *[F.when(few, -infinite).otherwise(F.get("__p", F.lit(2 * i))).alias(f"low{i}") for i in number],
+        *[F.when(few, infinite).otherwise(F.get("__p", F.lit(2 * i + 1))).alias(f"high{i}") for i in number],
+        *[F.lit(None).cast("long").alias(f"was{i}") for i in number],
+    ))
+    small = table_bytes(state) <= BROADCAST_BYTES
+
+    def with_state(columns: Sequence[str]) -> DataFrame:
+        side = state.select(*group, *columns)
+        return long.join(F.broadcast(side) if small else side, list(keys))
+
+    def holds(i: int) -> Column:
+        return (F.col("x") >= F.col(f"low{i}")) & (F.col("x") <= F.col(f"high{i}"))
+
+    bounds = [f"{side}{i}" for i in number for side in ("low", "high")]
+    for turn in itertools.count():
+        counted = with_state(bounds).groupBy(*group).agg(
+            *[F.count_if(F.col("x") < F.col(f"low{i}")).alias(f"before{i}") for i in number],
+            *[F.count_if(holds(i)).alias(f"inside{i}") for i in number])
+        state = settle(state.drop(*[f"{c}{i}" for c in ("before", "inside") for i in number]).join(counted, list(keys)))
+        below = [rank(i)[0] < F.col(f"before{i}") for i in number]
+        above = [rank(i)[1] >= F.col(f"before{i}") + F.col(f"inside{i}") for i in number]
+        shrinks = [F.col(f"was{i}").isNull() | (2 * F.col(f"inside{i}") < F.col(f"was{i}")) for i in number]
+        # Sketches that fail again and again are not asked further: brackets are then ranked as they are.
+        wide = [F.lit(turn < _NARROW_TURNS) & ~below[i] & ~above[i] & (F.col(f"inside{i}") > BRACKET_VALUES) & (F.col(f"low{i}") < F.col(f"high{i}")) & shrinks[i]
+                for i in number]
+        missed, large = state.agg(
+            F.count_if(F.array_max(F.array(*[b | a for b, a in zip(below, above)]))),
+            F.count_if(F.array_max(F.array(*wide)))).first()
+        if not missed and not large:
+            break
+        narrowed = state
+        if large:
+            marked = state.select(*group, "n", *bounds, *[f"{c}{i}" for i in number for c in ("before", "inside")],
+                                  *[w.alias(f"wide{i}") for i, w in enumerate(wide)])
+            inside = long.join(F.broadcast(marked) if small else marked, list(keys)).groupBy(*group).agg(
+                *[_sketch(F.when(F.col(f"wide{i}") & holds(i), F.col("x"))).alias(f"s{i}") for i in number])
+            grid = [k / _NARROW_STEPS for k in range(_NARROW_STEPS + 1)]
+            inside = inside.select(*group, *[_sketch_points(f"s{i}", grid).alias(f"s{i}") for i in number])
+            narrowed = state.join(inside, list(keys), "left")
+        columns = {}
+        for i in number:
+            low, high, size = F.col(f"low{i}"), F.col(f"high{i}"), F.col(f"inside{i}")
+            new_low = F.when(below[i], -infinite).otherwise(low)
+            new_high = F.when(above[i], infinite).otherwise(high)
+            if large:
+                margin = F.greatest(F.lit(_RANK_MARGIN), 2.0 / size)
+                share = lambda place: F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0))
+                first = share((rank(i)[0] - F.col(f"before{i}")) / size - margin)
+                last = share((rank(i)[1] - F.col(f"before{i}") + 1) / size + margin)
+                has = wide[i] & F.col(f"s{i}").isNotNull()
+                # The grid's points around both ends.
+                new_low = F.when(has, F.get(f"s{i}", F.floor(first * _NARROW_STEPS).cast("int"))).otherwise(new_low)
+                new_high = F.when(has, F.get(f"s{i}", F.ceil(last * _NARROW_STEPS).cast("int"))).otherwise(new_high)
+            columns |= {f"low{i}": new_low, f"high{i}": new_high, f"was{i}": F.when(wide[i], size)}
+        state = settle(narrowed.select(*group, "n", *extra, *[c.alias(k) for k, c in columns.items()]))
+
+    owners = F.array_compact(F.array(*[
+        F.when(holds(i), F.struct(F.lit(i).alias("i"), F.col(f"before{i}").alias("before"))) for i in number]))
+    owned = F.lit(False)
+    for i in number:
+        owned |= holds(i)
+    rows = with_state(["n", *bounds, *[f"before{i}" for i in number]]).where(owned)
+    counts = rows.select(*group, "n", "x", F.inline(owners)).groupBy(*group, "n", "i", "before", "x").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy(*group, "i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    spans = counts.withColumn("upto", F.col("before") + F.sum("times").over(order)).withColumn("from", F.col("upto") - F.col("times"))
+
+    def at(i: int, place: Column) -> Column:
+        return F.max(F.when((F.col("i") == i) & (F.col("from") <= place) & (place < F.col("upto")), F.col("x")))
+
+    found = spans.groupBy(*group, "n").agg(*[at(i, rank(i)[side]).alias(f"{'lh'[side]}{i}") for i in number for side in (0, 1)])
     interpolated = []
-    for i, (p, name) in enumerate(zip(probabilities, names)):
-        place = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = F.col(f"__l{i}"), F.col(f"__h{i}")
-        interpolated.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return found.select(*map(quoted, keys), "n", *interpolated)
+    for i, name in enumerate(names):
+        place = F.lit(float(probabilities[i])) * (F.col("n") - 1)
+        low, high = F.col(f"l{i}"), F.col(f"h{i}")
+        # Equal neighbours first: infinite ones have no difference.
+        interpolated.append(F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place))).alias(name))
+    found = found.select(*group, "n", *interpolated)
+    return found.join(state.select(*group, *extra), list(keys)) if extra else found
 
 
 def _melt(
@@ -558,7 +657,10 @@ def look_up(df: DataFrame, table: DataFrame, key: str, count: str, distinct: int
     meets in one task.
     """
     payload = [c for c in table.columns if c not in (key, count)]
-    if distinct <= BROADCAST_ROWS:
+    small = distinct <= BROADCAST_ROWS
+    if small and any(isinstance(dtype(table, c), T.StringType) for c in table.columns):
+        small = table_bytes(table) <= BROADCAST_BYTES
+    if small:
         renamed = table.select(col(key).alias("__key"), *map(quoted, payload))
         return df.join(F.broadcast(renamed), col(key) == F.col("__key"), "left").drop("__key")
     rows = df.agg(F.count(F.lit(1))).first()[0]

@@ -21,7 +21,8 @@ from ..schema import (
     require_columns,
     string_columns,
 )
-from .ordering import Order, quantiles, row_positions
+from ..session import settle
+from .ordering import BROADCAST_BYTES, Order, group_quantiles, melted, row_positions, table_bytes
 from .stats import correlation_pairs
 
 HIGH_CORRELATION = 0.7
@@ -74,21 +75,19 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     columns = list(columns) if columns is not None else numeric_columns(df)
     if not columns:
         raise ValueError("No numeric columns found.")
-    x = {c: as_double(df, c) for c in columns}
-    moments = _stacked_row(
-        df,
-        columns,
-        {
-            "count": [F.count(x[c]) for c in columns],
-            "mean": [F.avg(x[c]) for c in columns],
-            "std": [F.stddev_samp(x[c]) for c in columns],
-            "min": [F.min(x[c]) for c in columns],
-            "max": [F.max(x[c]) for c in columns],
-        },
-    )
-    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], exact=exact)
-    return moments.join(quartiles.drop("n"), "column", "left").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    names, wanted = ["p25", "p50", "p75"], [0.25, 0.5, 0.75]
+    long, x = melted(df, columns), F.col("x")
+    moments = {"mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+    if exact:
+        found = group_quantiles(long, ["column"], wanted, names, moments)
+    else:
+        found = long.groupBy("column").agg(
+            F.count(x).alias("n"), *[c.alias(k) for k, c in moments.items()],
+            *[F.percentile_approx(x, p, 10000).alias(n) for p, n in zip(wanted, names)])
+    # A row for every column, also for one without values.
+    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return F.broadcast(listed).join(found, "column", "left").select(
+        "column", F.coalesce("n", F.lit(0).cast("long")).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 
@@ -97,18 +96,30 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     columns = list(columns) if columns is not None else string_columns(df)
     if not columns:
         raise ValueError("No text columns found.")
-    entries = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("v")) for c in columns]
-    counts = df.select(F.inline(F.array(*entries))).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("minus"), F.col("v").alias("v"))))
-    found = counts.groupBy("column").agg(F.count("v").alias("unique_count"), best.alias("__best"))
+    # Only digests are counted and shuffled; short texts stand for themselves.
+    texts = {c: col(c).cast("string") for c in columns}
+    key = {c: F.when(F.octet_length(v) <= _DIGEST_ABOVE, v).otherwise(F.concat(F.lit("#"), F.sha2(v, 256))) for c, v in texts.items()}
+    entries = [F.struct(F.lit(c).alias("column"), k.alias("k")) for c, k in key.items()]
+    counts = settle(df.select(F.inline(F.array(*entries))).where("k is not null").groupBy("column", "k").agg(F.count(F.lit(1)).alias("n")))
+    most = counts.groupBy("column").agg(F.count(F.lit(1)).alias("levels"), F.max("n").alias("n"))
+    found = {r["column"]: (r["levels"], r["n"]) for r in most.collect()}
+    # Of equally frequent texts the smallest counts. Where all texts differ, that is the smallest of all; elsewhere the
+    # texts of the most frequent digests are fetched.
+    best: dict[str, str] = {}
+    alone = [c for c, (_, n) in found.items() if n == 1]
+    if alone:
+        best |= zip(alone, df.agg(*[F.min(texts[c]).alias(c) for c in alone]).first())
+    common = [c for c in found if c not in alone]
+    if common:
+        of = F.coalesce(*[F.when(F.col("column") == c, F.lit(found[c][1])) for c in common])
+        top = settle(counts.where(F.col("n") == of).select("column", "k"))
+        pairs = [F.struct(F.lit(c).alias("column"), key[c].alias("k"), texts[c].alias("v")) for c in common]
+        rows = df.select(F.inline(F.array(*pairs))).join(
+            F.broadcast(top) if table_bytes(top) <= BROADCAST_BYTES else top, ["column", "k"], "left_semi")
+        best |= {r["column"]: r["v"] for r in rows.groupBy("column").agg(F.min("v").alias("v")).collect()}
     # A row for every column, also when the table is empty.
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(found, "column", "left").select(
-        "column",
-        F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
-        F.col("__best.v").alias("most_frequent"),
-        F.coalesce(-F.col("__best.minus"), F.lit(0)).alias("frequency"),
-    )
+    rows = [(c, found[c][0] if c in found else 0, best.get(c), found[c][1] if c in found else 0) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "column string, unique_count long, most_frequent string, frequency long")
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
@@ -162,31 +173,76 @@ def column_roles(df: DataFrame, exact: bool = True) -> DataFrame:
     categorical, high_cardinality). Date-likeness is judged on all rows.
     """
     columns = df.columns
-    texts = [c for c in columns if is_string(dtype(df, c))]
-    base = [F.count(F.lit(1)).alias("n")]
-    base += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]
+    counted = _level_counts(df) if exact else _estimated_levels(df)
+    entries = []
     for i, c in enumerate(columns):
-        if c in texts:
-            base.append(F.count_if(looks_like_date(col(c))).alias(f"shaped{i}"))
-            base.append(F.count(parse_time(col(c))).alias(f"parsed{i}"))
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    countable = [i for i, c in enumerate(columns) if not _is_nested(dtype(df, c))]
-    levels = df.agg(*[distinct(compact(df, columns[i])).alias(f"u{i}") for i in countable])
-    row = df.agg(*base).crossJoin(F.broadcast(levels))
+        role = _role(df, c, F.col("n"), F.col("levels"), F.col("present"), "shaped", "parsed")
+        entries.append(F.when(F.col("i") == i, F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), role.alias("role"))))
+    share = F.coalesce(F.round(F.try_divide((F.col("n") - F.col("present")) * 100.0, F.col("n")), 2), F.lit(0.0))
+    # A row for every column, also when the table is empty.
+    listed = F.broadcast(df.sparkSession.createDataFrame([(i,) for i in range(len(columns))], "i int"))
+    zero = ["n", "present", "levels", "shaped", "parsed"]
+    return listed.join(counted, "i", "left").na.fill(0, zero).select(
+        F.coalesce(*entries).alias("r"), F.col("levels").alias("nunique"), share.alias("missing_pct")
+    ).select("r.*", "nunique", "missing_pct")
 
+
+def _level_counts(df: DataFrame) -> DataFrame:
+    """Per column ``i``: rows, present values, exact distinct values, and how many are shaped like and parse as dates.
+
+    One pass turns the table into rows (column, value) and counts each value;
+    dates are tried on the distinct values of text columns only. Numbers and
+    times are compared as integers where they are, long texts by digest.
+    """
     entries = []
-    for i, c in enumerate(columns):
-        n, missing = F.col("n"), F.col(f"m{i}")
-        unique = F.col(f"u{i}") if i in countable else n - missing
-        role = _role(df, c, n, unique, n - missing, f"shaped{i}", f"parsed{i}")
-        share = F.coalesce(F.round(F.try_divide(missing * 100.0, n), 2), F.lit(0.0))
-        entries.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(c).alias("column"), role.alias("role"),
-                unique.alias("nunique"), share.alias("missing_pct"),
-            )
-        )
-    return row.select(F.inline(F.array(*entries)))
+    for i, c in enumerate(df.columns):
+        number, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+        kind, present = dtype(df, c), ~is_missing(df, c)
+        if _is_nested(kind):
+            text = F.lit("")
+        elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+            number = col(c).cast("long")
+        elif isinstance(kind, T.TimestampType):
+            number = F.unix_micros(col(c))
+        elif isinstance(kind, T.TimestampNTZType):
+            number = F.unix_micros(col(c).cast("timestamp"))
+        elif isinstance(kind, T.DateType):
+            number = F.unix_date(col(c)).cast("long")
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            text = (col(c) + F.lit(0.0)).cast("string")
+        else:
+            text = compact(df, c).cast("string")
+        entries.append(F.struct(F.lit(i).alias("i"), F.when(present, number).alias("number"), F.when(present, text).alias("text")))
+    values = df.select(F.inline(F.array(*entries))).groupBy("i", "number", "text").agg(F.count(F.lit(1)).alias("times"))
+    present = F.col("number").isNotNull() | F.col("text").isNotNull()
+    texts = [i for i, c in enumerate(df.columns) if is_string(dtype(df, c))]
+    # Only texts that look like dates are parsed.
+    shaped = F.when(F.col("i").isin(texts) & looks_like_date(F.col("text")), F.col("text")) if texts else F.lit(None).cast("string")
+    values = values.withColumn("shaped", shaped)
+    nested = [i for i, c in enumerate(df.columns) if _is_nested(dtype(df, c))]
+    times = F.col("times")
+    counted = values.groupBy("i").agg(
+        F.sum(times).alias("n"), F.coalesce(F.sum(F.when(present, times)), F.lit(0)).alias("present"), F.count_if(present).alias("levels"),
+        F.coalesce(F.sum(F.when(F.col("shaped").isNotNull(), times)), F.lit(0)).alias("shaped"),
+        F.coalesce(F.sum(F.when(parse_time(F.col("shaped")).isNotNull(), times)), F.lit(0)).alias("parsed"))
+    # Nested values are not compared: each counts as a level of its own.
+    return counted.withColumn("levels", F.when(F.col("i").isin(nested), F.col("present")).otherwise(F.col("levels"))) if nested else counted
+
+
+def _estimated_levels(df: DataFrame) -> DataFrame:
+    """The same with sketched distinct counts."""
+    columns = df.columns
+    text = [c for c in columns if is_string(dtype(df, c))]
+    fields = {
+        "n": [F.count(F.lit(1)) for _ in columns],
+        "present": [F.count_if(~is_missing(df, c)) for c in columns],
+        "levels": [F.count_if(~is_missing(df, c)) if _is_nested(dtype(df, c)) else F.approx_count_distinct(compact(df, c)) for c in columns],
+        "shaped": [F.count_if(looks_like_date(col(c))) if c in text else F.lit(0).cast("long") for c in columns],
+        "parsed": [F.count(parse_time(col(c))) if c in text else F.lit(0).cast("long") for c in columns],
+    }
+    # Columns by number, as names may repeat those of the fields.
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column")) - 1
+    return _stacked_row(df, columns, fields).select(place.cast("int").alias("i"), *fields)
 
 
 def _is_nested(kind: T.DataType) -> bool:

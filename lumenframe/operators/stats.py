@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
@@ -33,12 +32,10 @@ def _numbers(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return chosen
 
 
-def _pair_rows(df: DataFrame, columns: Sequence[str], values: Sequence[Column],
-               pairs: Sequence[tuple[int, int]] | None = None) -> tuple[DataFrame, Column]:
+def _pair_rows(df: DataFrame, columns: Sequence[str], values: Sequence[Column]) -> tuple[DataFrame, Column]:
     """Rows ``(i, j, u, v)`` per column pair where neither side is missing, and the name array."""
     packed = df.select(F.array(*values).alias("__v"))
-    wanted = pairs if pairs is not None else combinations(range(len(columns)), 2)
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in wanted])
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(len(columns)), 2)])
     names = F.array(*map(F.lit, columns))
     rows = packed.select("__v", F.inline(listed)).select(
         "i", "j", F.get("__v", F.col("i")).alias("u"), F.get("__v", F.col("j")).alias("v")
@@ -61,56 +58,57 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
     return _pearson(df, columns, [as_double(df, c) for c in columns])
 
 
-# Up to this many columns without gaps, all cross products fit one generated aggregate.
-_PRODUCT_COLUMNS = 24
-
-
 def _pearson(df: DataFrame, columns: Sequence[str], values: Sequence[Column]) -> DataFrame:
-    """Columns without gaps share one pass over centred products; a pair with a
-    gap drops its own rows and is summed row by row."""
+    """All pairs by one aggregate of masked products, whatever the gaps and the number of columns."""
     table = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)])
-    seen = table.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[f(c).alias(f"{name}_{c}") for c in table.columns
-          for name, f in (("count", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))],
-    ).first()
-    n = seen["n"]
-    whole = [i for i in range(len(columns)) if n and seen[f"count_c{i}"] == n]
-    varied = [i for i in whole if seen[f"min_c{i}"] < seen[f"max_c{i}"]]
-    r = _centred_products(table, varied, [seen[f"mean_c{i}"] for i in varied])
-    rows = [(columns[i], columns[j], r.get((i, j)), n) for i, j in combinations(whole, 2)]
-    done = df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long")
-    gappy = [(i, j) for i, j in combinations(range(len(columns)), 2) if not (i in whole and j in whole)]
-    if not gappy:
-        return done
-    pairs, names = _pair_rows(df, columns, values, gappy)
-    summed = pairs.groupBy("i", "j").agg(_product_moment("u", "v").alias("r"), F.count(F.lit(1)).alias("n"))
-    named = summed.select(F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), "r", "n")
-    return done.unionByName(named) if rows else named
+    means = table.agg(*[F.avg(c) for c in table.columns]).first()
+    r, n = _masked_products(table, [m if m is not None else 0.0 for m in means])
+    rows = [(columns[i], columns[j], r.get((i, j)), n[i, j]) for i, j in combinations(range(len(columns)), 2) if n.get((i, j))]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long")
 
 
-def _centred_products(table: DataFrame, columns: Sequence[int], means: Sequence[float]) -> dict:
-    """Pearson's r per pair of gap-free columns; the driver receives one matrix of sums."""
-    if len(columns) < 2:
-        return {}
-    if len(columns) > _PRODUCT_COLUMNS:
-        inputs = [f"c{i}" for i in columns]
-        vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(table).select("features")
-        matrix = Correlation.corr(vectors, "features").first()[0].toArray()
-        pairs = {(i, j): float(matrix[a, b]) for (a, i), (b, j) in combinations(enumerate(columns), 2)}
-        return {k: r for k, r in pairs.items() if r == r}
-    centred = table.select(*[(F.col(f"c{i}") - F.lit(m)).alias(f"c{i}") for i, m in zip(columns, means)])
-    keys = [*combinations(columns, 2), *((i, i) for i in columns)]
-    sums = dict(zip(keys, centred.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in keys]).first()))
-    return {
-        (i, j): sums[i, j] / (sums[i, i] ** 0.5 * sums[j, j] ** 0.5)
-        for i, j in combinations(columns, 2) if sums[i, i] and sums[j, j]
-    }
-
-
-def _product_moment(u: str, v: str) -> Column:
-    """Pearson's r; null for a constant side."""
-    return F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))
+def _masked_products(table: DataFrame, means: Sequence[float]) -> tuple[dict, dict]:
+    """Pearson's r and the number of complete rows per pair (i < j) of columns; null for a constant side.
+
+    Each task adds up, over its rows, the products of the columns' values (less
+    ``means``, which only keeps the sums small), of their squares and of the
+    masks of present values: four matrices of columns by columns, which are all
+    that is shuffled. A pair's sums so hold just the rows where both are present.
+    """
+    k = len(means)
+    centre = np.array([m if np.isfinite(m) else 0.0 for m in means])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, squares, products = np.zeros((4, k, k))
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]
+            x = np.stack([np.asarray(c, dtype=np.float64) for c in columns], axis=1)
+            there = ~np.isnan(x)
+            x = np.where(there, x - centre, 0.0)
+            mask = there.astype(np.float64)
+            n += mask.T @ mask
+            sums += x.T @ mask
+            squares += (x * x).T @ mask
+            products += x.T @ x
+        at_i, at_j = np.triu_indices(k, 1)
+        found = [n[at_i, at_j], sums[at_i, at_j], sums[at_j, at_i], squares[at_i, at_j], squares[at_j, at_i], products[at_i, at_j]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at_i.astype(np.int32)), pa.array(at_j.astype(np.int32)), *map(pa.array, found)], names=["i", "j", "n", "u", "v", "uu", "vv", "uv"])
+
+    sums = ["n", "u", "v", "uu", "vv", "uv"]
+    parts = table.mapInArrow(add_up, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    r, n = {}, {}
+    # One row a pair of columns.
+    for row in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums]).collect():
+        pair = row["i"], row["j"]
+        n[pair] = int(row["n"])
+        if n[pair]:
+            uu, vv = row["uu"] - row["u"] ** 2 / row["n"], row["vv"] - row["v"] ** 2 / row["n"]
+            uv = row["uv"] - row["u"] * row["v"] / row["n"]
+            # What rounding leaves of a constant side.
+            if uu > 1e-13 * row["uu"] and vv > 1e-13 * row["vv"]:
+                r[pair] = uv / (uu**0.5 * vv**0.5)
+    return r, n
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -135,43 +133,38 @@ def average_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFra
 
 def _spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson on average ranks. Ranks are taken per column where no value is
-    missing, and per pair of columns otherwise, since a pair drops its own rows."""
+    missing, and per pair of columns otherwise, since a pair drops its own rows.
+
+    A column to rank is a number in one long table of counted values, and one
+    keyed prefix sum ranks them all.
+    """
     values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     seen = values.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.bool_or(F.col(c).isNull()).alias(f"gap_{c}") for c in values.columns],
         *[F.approx_count_distinct(c).alias(f"distinct_{c}") for c in values.columns],
     ).first()
-    distinct = [seen[f"distinct_c{i}"] for i in range(len(columns))]
-    whole = [i for i in range(len(columns)) if not seen[f"gap_c{i}"]]
-    parts = []
-    if len(whole) > 1:
-        ranked = values.select(*[f"c{i}" for i in whole])
-        for i in whole:
-            table = average_ranks(values, f"c{i}").withColumnRenamed("rank", f"r{i}")
-            ranked = look_up(ranked, table, f"c{i}", "__times", distinct[i])
-        n = seen["n"]
-        table = ranked.select(*[F.col(f"r{i}").alias(f"c{i}") for i in whole])
-        r = _centred_products(table, whole, [(n + 1) / 2] * len(whole))
-        rows = [(columns[i], columns[j], r.get((i, j)), n) for i, j in combinations(whole, 2)]
-        parts.append(df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long"))
+    whole = [i for i in range(len(columns)) if not seen[f"gap_c{i}"]] if seen["n"] else []
+    gappy = [(i, j) for i, j in combinations(range(len(columns)), 2) if not (i in whole and j in whole)]
+    # (column whose value counts, column that must be present too): one series each.
+    series = ([(i, i) for i in whole] if len(whole) > 1 else []) + [s for i, j in gappy for s in ((i, j), (j, i))]
+    value = lambda s: F.when(F.col(f"c{s[1]}").isNotNull(), F.col(f"c{s[0]}"))
+    long = values.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), value(s).alias("x")) for k, s in enumerate(series)])))
+    ranks = settle(average_ranks(long.where("x is not null"), "x", ["k"]))
+    ranked = values.select(*[value(s).alias(f"v{k}") for k, s in enumerate(series)])
+    for k, (i, _) in enumerate(series):
+        table = ranks.where(F.col("k") == k).select(F.col("x").alias(f"v{k}"), F.col("rank").alias(f"r{k}"), "__times")
+        ranked = look_up(ranked, table, f"v{k}", "__times", seen[f"distinct_c{i}"])
+    means = ranks.groupBy("k").agg((F.sum(F.col("rank") * F.col("__times")) / F.sum("__times")).alias("m")).collect()
+    mean_of = {row["k"]: row["m"] for row in means}
+    r, n = _masked_products(ranked.select(*[F.col(f"r{k}") for k in range(len(series))]), [mean_of.get(k, 0.0) for k in range(len(series))])
+    place = {s: k for k, s in enumerate(series)}
+    rows = []
     for i, j in combinations(range(len(columns)), 2):
-        if i in whole and j in whole:
-            continue
-        pair = values.select(F.col(f"c{i}").alias("u"), F.col(f"c{j}").alias("v")).na.drop()
-        values_of = {side: average_ranks(pair.select(side), side) for side in ("u", "v")}
-        for side, k in (("u", i), ("v", j)):
-            table = values_of[side].withColumnRenamed("rank", f"r{side}")
-            pair = look_up(pair, table, side, "__times", distinct[k])
-        parts.append(
-            pair.agg(_product_moment("ru", "rv").alias("r"), F.count(F.lit(1)).alias("n")).select(
-                F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), "r", "n"
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        pair = (place[i, j], place[j, i]) if (i, j) in gappy else (place[i, i], place[j, j])
+        if n.get(pair):
+            rows.append((columns[i], columns[j], r.get(pair), n[pair]))
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long")
 
 
 # Kendall: points per numpy call, and blocks per side of one grid.
@@ -258,18 +251,11 @@ def _surplus(points: DataFrame, by: list[str], levels: int) -> DataFrame:
 
 
 def _grid_surplus(cells: DataFrame, by: list[str], bu: str, bv: str) -> DataFrame:
-    """Signed weight between cells that differ in both block numbers."""
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(2 * GRID - 1)))
-    grid = cells.select(*by).distinct().withColumn(bu, numbers).select("*", numbers.alias(bv))
-    full = grid.join(cells, [*by, bu, bv], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
-    lower = Window.partitionBy(*by, bv).orderBy(bu).rowsBetween(Window.unboundedPreceding, -1)
-    left = full.withColumn("__left", F.coalesce(F.sum("n").over(lower), F.lit(0.0)))
-    row = Window.partitionBy(*by, bu)
-    below = row.orderBy(bv).rowsBetween(Window.unboundedPreceding, -1)
-    above = row.orderBy(bv).rowsBetween(1, Window.unboundedFollowing)
-    net = F.coalesce(F.sum("__left").over(below), F.lit(0.0)) - F.coalesce(F.sum("__left").over(above), F.lit(0.0))
-    signed = left.withColumn("__net", F.col("n") * net)
-    return signed.groupBy("pair").agg(F.sum("__net").alias("s")).select("pair", "s")
+    """Signed weight between cells that differ in both block numbers: observed cells are points of the block numbers.
+
+    A grid has at most (2 * GRID) ** 2 of them, and never more than it has points.
+    """
+    return _surplus(cells.select(*by, F.col(bu).alias("u"), F.col(bv).alias("v"), F.col("n").alias("w")), by, 0)
 
 
 def block_surplus(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -383,7 +369,8 @@ def shapiro(df: DataFrame, column: str) -> DataFrame:
         n <= 11, (-F.ln(gamma - distance) - polynomial(size, _SMALL_MEAN)) / F.exp(polynomial(size, _SMALL_SPREAD))
     ).otherwise((distance - polynomial(log_n, _LARGE_MEAN)) / F.exp(polynomial(log_n, _LARGE_SPREAD)))
     three = F.greatest(F.lit(6.0 / np.pi) * (F.asin(F.sqrt("w")) - F.asin(F.lit(0.75**0.5))), F.lit(0.0))
-    p = F.when(n == 3, three).otherwise(special.on_statistics(special.normal_sf, z))
+    statistic = special.with_tail(statistic.select("*", z.alias("z"), three.alias("three")), "tail", special.normal_sf, F.col("z"))
+    p = F.when(n == 3, F.col("three")).otherwise(F.col("tail"))
     p = F.when(F.col("v") > 0, p).otherwise(1.0)
     return statistic.select(
         F.lit(column).alias("column"),
@@ -436,8 +423,8 @@ def t_test(df: DataFrame, column: str, group: str, row_id: str | None = None) ->
     dof = F.col("n1") + F.col("n2") - 2
     pooled = ((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2")) / dof
     t = F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2"))))
-    p = special.on_statistics(special.student_two_sided, F.col("t"), F.col("dof"))
-    return row.withColumns({"t": t, "dof": dof}).withColumn("p", p).select(
+    row = row.withColumn("dof", dof).withColumn("t", t)
+    return special.with_tail(row, "p", special.student_two_sided, F.col("t"), F.col("dof")).select(
         F.col("group1"), F.col("group2"), F.round("t", 4).alias("statistic"), F.col("dof").cast("long").alias("dof"),
         F.round("p", 4).alias("p_value"), (F.col("p") < ALPHA).alias("is_significant"),
     )
@@ -459,11 +446,9 @@ def anova(df: DataFrame, column: str, group: str) -> DataFrame:
         raise ValueError("Need at least 2 groups for ANOVA.")
     row = df.sparkSession.createDataFrame([sums], row.schema)
     f = F.try_divide(F.col("between") / F.col("dof1"), F.try_divide(F.col("within"), F.col("dof2")))
-    p = special.on_statistics(special.fisher_sf, F.col("f"), F.col("dof1"), F.col("dof2"))
+    row = row.withColumns({"dof1": F.col("k") - 1, "dof2": F.col("n") - F.col("k")}).withColumn("f", f)
     return (
-        row.withColumns({"dof1": F.col("k") - 1, "dof2": F.col("n") - F.col("k")})
-        .withColumn("f", f)
-        .withColumn("p", p)
+        special.with_tail(row, "p", special.fisher_sf, F.col("f"), F.col("dof1"), F.col("dof2"))
         .select(
             F.col("k").alias("num_groups"), F.round("f", 4).alias("statistic"), F.round("p", 4).alias("p_value"),
             (F.col("p") < ALPHA).alias("is_significant"),
@@ -500,8 +485,7 @@ def chi_square(df: DataFrame, first: str, second: str) -> DataFrame:
     corrected = F.greatest(F.col("gap") - 0.5, F.lit(0.0))
     yates = corrected * corrected * F.col("n") * F.col("inverse_a") * F.col("inverse_b")
     x2 = F.when(F.col("dof") == 1, yates).when(F.col("dof") == 0, 0.0).otherwise(F.col("seen") + unseen)
-    p = special.on_statistics(special.chi_square_sf, F.col("x2"), F.col("dof"))
-    return row.withColumn("x2", x2).withColumn("p", p).select(
+    return special.with_tail(row.withColumn("x2", x2), "p", special.chi_square_sf, F.col("x2"), F.col("dof")).select(
         F.round("x2", 4).alias("statistic"), F.col("dof").cast("long").alias("dof"),
         F.round("p", 4).alias("p_value"), (F.col("p") > ALPHA).alias("is_independent"),
     )

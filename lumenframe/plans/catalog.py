@@ -256,6 +256,13 @@ def _(t: Tables) -> DataFrame:
     return cleaning.one_hot(t.gappy_events.select("event_id", "event_type"), ["event_type"])
 
 
+@query("C10_one_hot_sparse")
+def _(t: Tables) -> DataFrame:
+    coded, levels = cleaning.one_hot_sparse(t.gappy_events.select("event_id", "event_type"), ["event_type"])
+    named = coded.select("event_id", F.explode_outer("positions").alias("position")).join(F.broadcast(levels), "position", "left")
+    return named.select("event_id", "position", "level")
+
+
 for _method in ("standard", "minmax"):
 
     @query(f"{'C11' if _method == 'standard' else 'C12'}_scale_{_method}")

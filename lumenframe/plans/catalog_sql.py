@@ -195,6 +195,9 @@ _EVENT_LEVELS = ["click", "error", "purchase", "signup", "view"]
 SQL["C10_one_hot"] = f"WITH {GAPPY}\nSELECT event_id, " + ", ".join(
     f"COALESCE(event_type = '{v}', FALSE) AS event_type_{v}" for v in _EVENT_LEVELS
 ) + " FROM ev"
+SQL["C10_one_hot_sparse"] = f"""WITH {GAPPY},
+levels AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS position FROM ev WHERE event_type IS NOT NULL GROUP BY event_type)
+SELECT event_id, position, levels.event_type AS level FROM ev LEFT JOIN levels ON ev.event_type = levels.event_type"""
 for _id, _method, _centre, _width in (
     ("C11", "standard", "AVG", "STDDEV_POP({0})"), ("C12", "minmax", "MIN", "MAX({0}) - MIN({0})"),
 ):
