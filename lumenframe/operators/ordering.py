@@ -507,6 +507,19 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 
+# Up to this many groups, their brackets are a table in the plan.
+_LISTED_GROUPS = 4096
+
+
+def _brackets_kept(state: DataFrame, few: bool) -> tuple[DataFrame, bool]:
+    """The table of groups, computed now, and whether it has at most _LISTED_GROUPS rows of bounded size."""
+    if few:
+        rows = state.limit(_LISTED_GROUPS + 1).collect()
+        if len(rows) <= _LISTED_GROUPS:
+            return state.sparkSession.createDataFrame(rows, state.schema), True
+    return settle(state), False
+
+
 def group_quantiles(
     long: DataFrame,
     keys: Sequence[str],
@@ -538,12 +551,12 @@ def group_quantiles(
     pointed = sketched.withColumn("__p", _sketch_points("__s", ranks)).drop("__s")
     # The margin means less than two rows in a small group: take them all. So does a group without finite values.
     few = (F.col("n") * _RANK_MARGIN < 2) | F.col("__p").isNull()
-    state = settle(pointed.select(
+    state, listed = _brackets_kept(pointed.select(
         *group, "n", *extra,
         *[F.when(few, -infinite).otherwise(F.get("__p", F.lit(2 * i))).alias(f"low{i}") for i in number],
         *[F.when(few, infinite).otherwise(F.get("__p", F.lit(2 * i + 1))).alias(f"high{i}") for i in number],
         *[F.lit(None).cast("long").alias(f"was{i}") for i in number],
-    ))
+    ), few=True)
     small = table_bytes(state) <= BROADCAST_BYTES
 
     def with_state(columns: Sequence[str]) -> DataFrame:
@@ -558,7 +571,8 @@ def group_quantiles(
         counted = with_state(bounds).groupBy(*group).agg(
             *[F.count_if(F.col("x") < F.col(f"low{i}")).alias(f"before{i}") for i in number],
             *[F.count_if(holds(i)).alias(f"inside{i}") for i in number])
-        state = settle(state.drop(*[f"{c}{i}" for c in ("before", "inside") for i in number]).join(counted, list(keys)))
+        bare = state.drop(*[f"{c}{i}" for c in ("before", "inside") for i in number])
+        state, listed = _brackets_kept(F.broadcast(bare).join(counted, list(keys)) if listed else bare.join(counted, list(keys)), listed)
         below = [rank(i)[0] < F.col(f"before{i}") for i in number]
         above = [rank(i)[1] >= F.col(f"before{i}") + F.col(f"inside{i}") for i in number]
         shrinks = [F.col(f"was{i}").isNull() | (2 * F.col(f"inside{i}") < F.col(f"was{i}")) for i in number]
@@ -594,7 +608,7 @@ def group_quantiles(
                 new_low = F.when(has, F.get(f"s{i}", F.floor(first * _NARROW_STEPS).cast("int"))).otherwise(new_low)
                 new_high = F.when(has, F.get(f"s{i}", F.ceil(last * _NARROW_STEPS).cast("int"))).otherwise(new_high)
             columns |= {f"low{i}": new_low, f"high{i}": new_high, f"was{i}": F.when(wide[i], size)}
-        state = settle(narrowed.select(*group, "n", *extra, *[c.alias(k) for k, c in columns.items()]))
+        state, listed = _brackets_kept(narrowed.select(*group, "n", *extra, *[c.alias(k) for k, c in columns.items()]), listed)
 
     owners = F.array_compact(F.array(*[
         F.when(holds(i), F.struct(F.lit(i).alias("i"), F.col(f"before{i}").alias("before"))) for i in number]))

@@ -22,7 +22,7 @@ from ..schema import (
     string_columns,
 )
 from ..session import settle
-from .ordering import BROADCAST_BYTES, Order, group_quantiles, melted, row_positions, table_bytes
+from .ordering import BROADCAST_BYTES, Order, quantiles, row_positions, table_bytes
 from .stats import correlation_pairs
 
 HIGH_CORRELATION = 0.7
@@ -75,19 +75,21 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     columns = list(columns) if columns is not None else numeric_columns(df)
     if not columns:
         raise ValueError("No numeric columns found.")
-    names, wanted = ["p25", "p50", "p75"], [0.25, 0.5, 0.75]
-    long, x = melted(df, columns), F.col("x")
-    moments = {"mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
-    if exact:
-        found = group_quantiles(long, ["column"], wanted, names, moments)
-    else:
-        found = long.groupBy("column").agg(
-            F.count(x).alias("n"), *[c.alias(k) for k, c in moments.items()],
-            *[F.percentile_approx(x, p, 10000).alias(n) for p, n in zip(wanted, names)])
-    # A row for every column, also for one without values.
-    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return F.broadcast(listed).join(found, "column", "left").select(
-        "column", F.coalesce("n", F.lit(0).cast("long")).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"
+    x = {c: as_double(df, c) for c in columns}
+    moments = _stacked_row(
+        df,
+        columns,
+        {
+            "count": [F.count(x[c]) for c in columns],
+            "mean": [F.avg(x[c]) for c in columns],
+            "std": [F.stddev_samp(x[c]) for c in columns],
+            "min": [F.min(x[c]) for c in columns],
+            "max": [F.max(x[c]) for c in columns],
+        },
+    )
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], exact=exact)
+    return moments.join(F.broadcast(quartiles.drop("n")), "column", "left").select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 
