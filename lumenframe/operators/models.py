@@ -164,10 +164,12 @@ _FOLDED_PARTITION_ROWS = 50_000
 
 
 def folded(train: DataFrame, classified: bool) -> DataFrame:
-    """Rows of equal features as one row with a ``weight``, which boosting can't tell apart from the rows themselves.
+    """Rows of equal features as one row with a ``weight``: a tree can't part them anyway.
 
     Squared errors of rows that share a prediction are least where that of
     their mean label is, so regression keeps the mean; classes stay apart.
+    Boosting is the same on either. A regression forest draws its bootstrap
+    samples from the distinct feature rows, each with all its weight.
     """
     keys = ["features", "label"] if classified else ["features"]
     sums = [F.count(F.lit(1)).cast("double").alias("weight")] + ([] if classified else [F.avg("label").alias("label")])
@@ -175,14 +177,15 @@ def folded(train: DataFrame, classified: bool) -> DataFrame:
 
 
 def _train(estimator: Estimator, train: DataFrame, classified: bool):
-    """Fit; the rows of a boosted model are folded first, and dealt to as few tasks as they fill."""
-    boosted = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-    if not isinstance(boosted, (GBTClassifier, GBTRegressor)):
+    """Fit; the rows of boosted models and regression forests are folded first, for boosting into as few tasks as they fill."""
+    inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    if not isinstance(inner, (GBTClassifier, GBTRegressor, RandomForestRegressor)):
         return estimator.fit(train)
     rows = folded(train, classified)
-    tasks = math.ceil(rows.count() / _FOLDED_PARTITION_ROWS)
-    # A hundred rounds read the rows several times each.
-    held = rows.coalesce(max(1, tasks)).persist(StorageLevel.MEMORY_AND_DISK)
+    if not isinstance(inner, RandomForestRegressor):
+        # A hundred rounds read the rows several times each.
+        rows = rows.coalesce(max(1, math.ceil(rows.count() / _FOLDED_PARTITION_ROWS)))
+    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.copy({estimator.weightCol: "weight"}).fit(held)
     finally:
