@@ -26,6 +26,10 @@ def two_groups(n=6000, seed=4):
 def test_group_quantiles_are_exact(spark, monkeypatch, limit):
     """With brackets as the sketches draw them, and narrowed until they hold a few rows or one value."""
     monkeypatch.setattr(ordering, "BRACKET_VALUES", limit)
+    if limit < 1000:
+        # And with the groups as a stored, joined table.
+        monkeypatch.setattr(ordering, "_LISTED_GROUPS", 1)
+        monkeypatch.setattr(ordering, "BROADCAST_BYTES", 0)
     pdf, wanted = two_groups(), [0.0, 0.3, 0.5, 0.99]
     out = ordering.quantiles(spark.createDataFrame(pdf).repartition(5), ["x", "flat", "sparse"], wanted, by=["g"]).toPandas()
     for _, row in out.iterrows():
