@@ -197,7 +197,7 @@ def build(algorithm: str, prepared: Prepared, rows: int, size: TreeSize = FULL)
     classified = prepared.is_classification
     if algorithm not in ALGORITHMS[classified]:
         task = "classification" if classified else "regression"
-        raise ValueError(f"Algorithm '{algorithm}' not supported for {task}.")
+        raise ValueError(f"There is no {task} model named '{algorithm}'.")
     if algorithm == "RandomForest":
         forest = RandomForestClassifier if classified else RandomForestRegressor
         return forest(numTrees=100, maxDepth=size.forest_depth, featureSubsetStrategy="sqrt" if classified else "all", **_FOREST)
@@ -482,7 +482,7 @@ def _tuned(model_type: str, classes: int | None, rows: int, params: Mapping) ->
             raise ValueError("SVM regression has no distributed counterpart.")
         machine = LinearSVC(maxIter=100, regParam=penalty)
         return machine if classes == 2 else OneVsRest(classifier=machine)
-    raise ValueError(f"Unsupported model type: {model_type}")
+    raise ValueError(f"'{model_type}' is not a known model type.")
 
 
 _REGRESSION_SCORES = {
@@ -520,7 +520,7 @@ def tune(df: DataFrame, target: str, model_type: str = "RandomForest", grid: Map
     evaluator, sign = _evaluator(scoring)
     chosen = dict(grid or GRIDS.get(model_type) or {})
     if not chosen:
-        raise ValueError(f"No parameter grid available for model type: {model_type}")
+        raise ValueError(f"No search grid is known for '{model_type}'; give one.")
     combinations = [dict(zip(chosen, values)) for values in product(*chosen.values())]
     method = "grid"
     if len(combinations) > GRID_LIMIT:
@@ -530,10 +530,10 @@ def tune(df: DataFrame, target: str, model_type: str = "RandomForest", grid: Map
     inputs = [c for c in wide.columns if c != target]
     gaps = columns_with_gaps(wide, wide.columns)
     if gaps:
-        raise ValueError(f"Hyperparameter tuning failed: missing values in {gaps}.")
+        raise ValueError(f"The search takes no missing values; there are some in {gaps}.")
     classes = column_levels(wide, target) if classified else None
     if classes is not None and len(classes) < 2:
-        raise ValueError(f"Hyperparameter tuning failed: '{target}' has one class.")
+        raise ValueError(f"The search needs two classes; '{target}' has one.")
     label = as_double(wide, target)
     if classified:
         wide, label = with_class_codes(wide, target, classes), col(_CODE)

@@ -407,7 +407,7 @@ def t_test(df: DataFrame, column: str, group: str, row_id: str | None = None) ->
     rows = found.collect()
     if len(rows) != 2:
         raise ValueError(
-            f"Group column must have exactly 2 unique values. Found: {'more than 2' if len(rows) > 2 else len(rows)}"
+            f"A t test compares two groups; the column holds {'more than 2' if len(rows) > 2 else len(rows)}"
         )
     if min(r["n"] for r in rows) == 0 or sum(r["n"] for r in rows) < 3:
         raise ValueError(f"'{column}' needs values in both groups, three at least, for a t test.")
@@ -443,7 +443,7 @@ def anova(df: DataFrame, column: str, group: str) -> DataFrame:
     )
     sums = row.first()
     if sums["k"] < 2:
-        raise ValueError("Need at least 2 groups for ANOVA.")
+        raise ValueError("An analysis of variance compares two groups or more.")
     row = df.sparkSession.createDataFrame([sums], row.schema)
     f = F.try_divide(F.col("between") / F.col("dof1"), F.try_divide(F.col("within"), F.col("dof2")))
     row = row.withColumns({"dof1": F.col("k") - 1, "dof2": F.col("n") - F.col("k")}).withColumn("f", f)
@@ -498,7 +498,7 @@ def mean_interval(df: DataFrame, column: str, confidence: float = 0.95) -> DataF
     row = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
     sums = row.first()
     if sums["n"] < 2:
-        raise ValueError("Need at least 2 samples for confidence interval.")
+        raise ValueError("An interval for the mean takes two values or more.")
     row = df.sparkSession.createDataFrame([sums], row.schema)
     reach = F.lit(special.student_quantile(0.5 + confidence / 2, sums["n"] - 1)) * F.col("s") / F.sqrt("n")
     return row.select(
