@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import col
+from .csv_records import needs_records, records
 
 # Texts that a CSV reader of data frames takes for a missing value.
 NULL_TOKENS = (
@@ -58,17 +59,25 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True,
     Dates stay text, as a data frame's reader leaves them. Rows with more or
     fewer fields than the header raise ``ValueError``.
 
-    With ``multi_line`` quoted fields may hold line breaks, and each file is one
-    task; without it large files are split, and a quoted line break is an error.
+    With ``multi_line`` quoted fields may hold line breaks; without it a quoted
+    line break is an error. Large files are split either way. Only files in which
+    a line holds a carriage return before its end are one task each.
     """
-    options = dict(header=True, sep=sep, inferSchema=False, multiLine=multi_line, escape='"')
-    raw = _load(spark.read.options(**options), path, "csv")
+    options = dict(sep=sep, inferSchema=False, multiLine=multi_line, escape='"')
+    raw = _load(spark.read.options(header=True, **options), path, "csv")
     if not raw.columns:
         raise ValueError(f"Error loading csv: no columns in {path}")
     names = _plain_names(raw.columns)
     places = [f"c{i}" for i in range(len(names))]
     fields = ", ".join(f"{c} string" for c in [*places, _MALFORMED])
-    lines = _load(spark.read.options(columnNameOfCorruptRecord=_MALFORMED, **options).schema(fields), path, "csv")
+    options["columnNameOfCorruptRecord"] = _MALFORMED
+    kind, outcomes = needs_records(spark, path, sep) if multi_line else ("lines", None)
+    if kind == "records":
+        parsed = F.from_csv("record", fields, {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
+        lines = records(spark, path, sep, outcomes).select(parsed.alias("fields")).select("fields.*")
+    else:
+        options["multiLine"] = kind == "whole"
+        lines = _load(spark.read.options(header=True, **options).schema(fields), path, "csv")
     texts = lines.select(
         *[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in places], _MALFORMED
     )
