@@ -124,13 +124,12 @@ def _requests(ranges: int):
                     distinct, place = np.unique(keys, return_inverse=True)
                     counts = np.bincount(place[learned], minlength=len(distinct)).astype(np.uint32)
                     at = ((distinct >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                    cuts = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
-                    for r in range(ranges):
-                        a, b = cuts[r], cuts[r + 1]
-                        if a < b:
-                            deltas = np.diff(distinct[a:b], prepend=np.uint64(0))
-                            out.append({"kind": kind, "range": r, "block": row["block"], "deleted": row["deleted"],
-                                        "keys": _zip_numbers(deltas), "counts": _zip_numbers(counts[a:b])})
+                    # Only ranges that hold a key of the block: never more than its keys, however many ranges there are.
+                    asked, cuts = np.unique(at, return_index=True)
+                    for r, a, b in zip(asked.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+                        deltas = np.diff(distinct[a:b], prepend=np.uint64(0))
+                        out.append({"kind": kind, "range": r, "block": row["block"], "deleted": row["deleted"],
+                                    "keys": _zip_numbers(deltas), "counts": _zip_numbers(counts[a:b])})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
