@@ -26,7 +26,6 @@ BASE = {
 PRESENT = {"assign": BASE["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
 WINDOW = 24
-CANDIDATE = r"[A-Za-z0-9+/_-]{24,}={0,2}"
 #: Least length of a candidate; those below ``WINDOW`` are judged whole.
 SHORTEST = 16
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
@@ -182,39 +181,65 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("secrets")).alias("spans"))
 
 
-def _kind_sql(name: str, rank: int, pattern: str, group: int, least: int) -> str:
+def _kind_sql(name: str, rank: int, pattern: str, group: int, least: int, source: str = "t") -> str:
     pattern = pattern.replace("'", "''")
     return f"""
   SELECT id, {rank} AS rank, '{name}' AS kind, gap_sum + whole_sum - length(whole) AS start, gap_sum + whole_sum AS stop, whole, value
   FROM (SELECT id, whole, value, sum(length(gap)) OVER w AS gap_sum, sum(length(whole)) OVER w AS whole_sum
         FROM (SELECT id, unnest(string_split_regex(t, '{pattern}')) AS gap, unnest(regexp_extract_all(t, '{pattern}')) AS whole,
-                     unnest(regexp_extract_all(t, '{pattern}', {group})) AS value, unnest(range(length(t) + 2)) AS k FROM t)
+                     unnest(regexp_extract_all(t, '{pattern}', {group})) AS value, unnest(range(length(t) + 2)) AS k FROM {source})
         WINDOW w AS (PARTITION BY id ORDER BY k))
   WHERE whole IS NOT NULL AND length(value) >= {least}"""
 
 
 def _sql() -> str:
     kinds = " UNION ALL ".join(_kind_sql(kind, ORDER.index(kind), p, g, n) for kind, (p, g, n) in BASE.items())
-    allowed = " OR ".join(f"regexp_matches(whole, '{p}')" for p in ALLOWED)
+    never = lambda value, patterns: " OR ".join(f"regexp_matches({value}, '{p}')" for p in patterns)
+    names = ALLOWED[-1].replace("[_-]?", "")
     weight = f"list_extract([{', '.join(map(str, WEIGHTS))}], (n + 1)::INTEGER)"
+    limit = lambda kind: f"list_extract([{', '.join(str(most_of(CLASSES[kind][1], w)) for w in range(SHORTEST, WINDOW + 1))}], w - {SHORTEST - 1})"
     hex_rank, other_rank = ORDER.index("entropy_hex"), ORDER.index("entropy_base64")
     return rf"""
 WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
 base AS ({kinds}),
+run AS (SELECT id, start, stop, whole FROM ({_kind_sql("run", 0, RUN, 0, 0)}) r),
+edge AS (
+  SELECT r.id, r.start AS run_start, r.whole, b.start AS cut, b.stop AS resume
+  FROM run r JOIN base b ON b.id = r.id AND b.start < r.stop AND b.stop > r.start
+  UNION ALL SELECT id, start, whole, stop, stop FROM run),
+open AS (
+  SELECT id, run_start, whole, cut, greatest(run_start, coalesce(max(resume) OVER (
+           PARTITION BY id, run_start ORDER BY cut, resume ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), run_start)) AS start
+  FROM edge),
+piece AS (
+  SELECT id, start::BIGINT AS start, s FROM (
+    SELECT id, start, substring(whole, (start - run_start + 1)::BIGINT, (cut - start)::BIGINT) AS s FROM open WHERE cut - start >= {SHORTEST}) p
+  WHERE NOT ({never("s", ALLOWED[:-1])})),
+stand AS (SELECT {{'id': id, 'start': start}} AS id, s AS t FROM piece WHERE regexp_matches(s, '{ALLOWED[-1]}')),
+segment AS (
+  SELECT id, start, stop, named, sum(named::INTEGER) OVER (PARTITION BY id ORDER BY start) AS part
+  FROM (SELECT id, start, stop, regexp_matches(whole, '{names}') AS named FROM ({_kind_sql("s", 0, "[A-Za-z0-9]+", 0, 0, "stand")}) g) m),
+joined AS (
+  SELECT g.id, g.a, substring(t, g.a + 1, g.b - g.a) || regexp_extract(substring(t, g.b + 1), '^=*') AS s
+  FROM (SELECT id, min(start)::BIGINT AS a, max(stop)::BIGINT AS b FROM segment WHERE NOT named GROUP BY id, part) g JOIN stand ON stand.id = g.id),
+short AS (SELECT id, a, s, regexp_extract(s, '[A-Za-z0-9]{{{SHORTEST},}}') AS own FROM joined WHERE length(s) < {WINDOW}),
+judged AS (
+  SELECT id, start, s FROM piece WHERE NOT regexp_matches(s, '{ALLOWED[-1]}')
+  UNION ALL SELECT id.id, id.start + a, s FROM joined WHERE length(s) >= {WINDOW}
+  UNION ALL SELECT id.id, id.start + a + strpos(s, own) - 1, own FROM short WHERE own <> ''),
 candidate AS (
-  SELECT id, start, stop, CASE WHEN regexp_matches(whole, '{HEX_ONLY}') THEN lower(whole) ELSE whole END AS s,
-         regexp_matches(whole, '{HEX_ONLY}') AS is_hex
-  FROM ({_kind_sql("c", 0, CANDIDATE, 0, 0)}) c
-  WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.id = c.id AND b.start < c.stop AND b.stop > c.start)),
-win AS (SELECT id, start, stop, is_hex, o, substring(s, o + p, 1) AS ch
-        FROM (SELECT *, unnest(range(0, length(s) - {WINDOW} + 1)) AS o FROM candidate), range(1, {WINDOW} + 1) r(p)),
-cnt AS (SELECT id, start, stop, is_hex, o, ch, count(*) AS n FROM win GROUP BY ALL),
-ent AS (SELECT id, start, stop, is_hex, o, sum({weight}) AS total FROM cnt GROUP BY ALL),
+  SELECT id, start, start + length(s) AS stop, least({WINDOW}, length(s)) AS w, regexp_matches(s, '{HEX_ONLY}') AS is_hex,
+         CASE WHEN regexp_matches(s, '{HEX_ONLY}') THEN lower(s) ELSE s END AS s
+  FROM judged WHERE length(s) >= {SHORTEST} AND NOT ({never("s", ALLOWED)})),
+win AS (SELECT id, start, stop, w, is_hex, o, substring(s, o + p, 1) AS ch
+        FROM (SELECT *, unnest(range(0, length(s) - w + 1)) AS o FROM candidate), range(1, {WINDOW} + 1) r(p) WHERE p <= w),
+cnt AS (SELECT id, start, stop, w, is_hex, o, ch, count(*) AS n FROM win GROUP BY ALL),
+ent AS (SELECT id, start, stop, w, is_hex, o, sum({weight}) AS total FROM cnt GROUP BY ALL),
 extra AS (
   SELECT id, CASE WHEN is_hex THEN {hex_rank} ELSE {other_rank} END AS rank,
          CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind, start, stop
-  FROM ent GROUP BY id, start, stop, is_hex
-  HAVING min(total) <= CASE WHEN is_hex THEN {most_of(CLASSES["entropy_hex"][1])} ELSE {most_of(CLASSES["entropy_base64"][1])} END),
+  FROM ent GROUP BY id, start, stop, w, is_hex
+  HAVING min(total) <= CASE WHEN is_hex THEN {limit("entropy_hex")} ELSE {limit("entropy_base64")} END),
 every AS (SELECT id, rank, kind, start::BIGINT AS start, stop::BIGINT AS stop FROM base UNION ALL SELECT id, rank, kind, start, stop FROM extra),
 line AS (SELECT id, rank, start, kind || ':' || start || ':' || stop AS s, kind FROM every),
 agg AS (

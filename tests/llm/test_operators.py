@@ -293,6 +293,13 @@ def test_secret_spans_of_random_texts(spark):
         assert got == brute_spans(texts[r.doc_id]), texts[r.doc_id]
         kinds.update(s[2] for s in got)
     assert all(kinds[k] > 20 for k in secrets.ORDER)
+    import duckdb
+    import pandas as pd
+
+    database = duckdb.connect()
+    database.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    for row in database.execute(secrets.SQL).df().itertuples():
+        assert row.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_spans(texts[row.doc_id])), texts[row.doc_id]
 
 
 def test_secret_spans(spark, awkward, empty):
