@@ -10,7 +10,7 @@ from ..schema import as_double, col, quoted, require_columns, require_numeric
 from .grouped import fold_rare
 from .ordering import Order, row_positions, scatter, spread_range
 
-ROLLING = ("mean", "sum", "min", "max", "std", "var", "count", "median", "skew", "kurt")
+ROLLING = ("mean", "sum", "min", "max", "std", "var", "count", "median", "skew", "kurt", "sem")
 _CHUNK = 65536
 
 
@@ -122,6 +122,9 @@ def _rolled(agg: str, frame) -> Column:
         low = F.get(ordered, F.floor((F.size(ordered) - 1) / F.lit(2)).cast("int"))
         high = F.get(ordered, F.floor(F.size(ordered) / F.lit(2)).cast("int"))
         return (low + high) / 2
+    if agg == "sem":
+        # As a data frame's rolling window has it: divided by the root of n - 1.
+        return F.try_divide(F.stddev_samp(y).over(frame), F.sqrt(n - F.lit(1)))
     if agg in ("skew", "kurt"):
         count = n.cast("double")
         flat = F.var_pop(y).over(frame) == 0

@@ -177,7 +177,7 @@ def test_area_shares(daily):
     assert np.allclose(out.groupby("date")["value"].sum(), 100)
 
 
-@pytest.mark.parametrize("agg", ["mean", "median", "std", "skew", "kurt", "sum", "count"])
+@pytest.mark.parametrize("agg", ["mean", "median", "std", "skew", "kurt", "sum", "count", "sem"])
 def test_rolling_matches_pandas(spark, ranged, monkeypatch, agg):
     monkeypatch.setattr(timeseries, "_CHUNK", 25)
     rng = np.random.default_rng(1)
