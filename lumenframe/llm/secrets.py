@@ -12,6 +12,7 @@ is judged by itself; a run that holds a stand-in's word loses the segments (betw
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -51,23 +52,48 @@ ORDER = [*BASE, *CLASSES]
 WEIGHTS = [0] + [round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 1)]
 
 
+SPAN = "struct<start:int,end:int,value:string>"
+#: Entries of an array that are folded at a time.
+SLICE = 128
+
+
+def _gathered(entries: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str = SPAN) -> Column:
+    """What ``step`` puts out over the entries, in order: a fold in slices.
+
+    ``step`` takes the state, as in ``first``, and an entry, and gives the next state and an array of what it puts out. An array
+    that grows by one entry a step is copied at every step; by slices, copies stay short however many entries there are.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def within(s: Column, x: Column) -> Column:
+        state, out = step(s["state"], x)
+        return F.struct(state.alias("state"), F.concat(s["out"], out.cast(f"array<{kind}>")).alias("out"))
+
+    def over(s: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(s["state"].alias("state"), empty.alias("out")), within, lambda t: F.struct(
+            t["state"].alias("state"), F.concat(s["out"], F.array(t["out"])).alias("out")))
+
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(entries) - 1) / SLICE).cast("int")),
+                         lambda k: F.slice(entries, k * SLICE + 1, F.lit(SLICE)))
+    start = F.struct(first.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(entries) > 0, F.aggregate(slices, start, over, lambda s: F.flatten(s["out"]))).otherwise(empty)
+
+
 def _found(text: Column, pattern: str, group: int, present: str) -> Column:
     """Matches in order: array<struct<start, end, value>>, in code points; the value is the group's text."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["whole"])
         own = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.when(x["whole"].isNull(), state).otherwise(
-            F.struct(end.alias("at"), F.concat(state["out"], own).alias("out")))
+        return F.coalesce(end, at), F.when(x["whole"].isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(own)
 
-    kind = "array<struct<start:int,end:int,value:string>>"
-    empty = F.array().cast(kind)
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(present), found).otherwise(empty)
+    # The entries are a variable of the fold: as an expression they would be computed anew for every slice.
+    found = F.flatten(F.transform(F.array(both), lambda entries: _gathered(entries, F.lit(0), step)))
+    return F.when(text.rlike(present), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _least_sum(value: Column, alphabet: str) -> Column:
@@ -113,18 +139,29 @@ def _parts(x: Column, pattern: str) -> Column:
         (x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["value"].alias("value")))
 
 
-def _remains(x: Column, base: Column) -> Column:
-    """What base spans, sorted by start, leave of a run."""
-    kind = "array<struct<start:int,end:int,value:string>>"
+def _remains(runs: Column, base: Column) -> Column:
+    """What the spans of ``base`` leave of the runs, which do not overlap: both lists are merged by start and folded once.
 
-    def step(state: Column, b: Column) -> Column:
-        cut = F.when(b["start"] > state["at"], F.concat(state["out"], F.array(_within(x, state["at"], b["start"])))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], b["end"]).cast("int").alias("at"), cut.cast(kind).alias("out"))
-
-    first = F.struct(x["start"].cast("int").alias("at"), F.array().cast(kind).alias("out"))
-    over = F.filter(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    return F.aggregate(over, first, step, lambda s: F.when(
-        s["at"] < x["end"], F.concat(s["out"], F.array(_within(x, s["at"], x["end"])))).otherwise(s["out"]))
+    The state is the present run and the place from which it is open; ``end`` is the end of all base spans so far.
+    """
+    none = F.lit(None).cast(SPAN)
+    events = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].cast("int").alias("start"), F.lit(0).alias("run"), b["end"].cast("int").alias("end"), none["value"].alias("value"))),
+        F.transform(runs, lambda x: F.struct(x["start"].cast("int").alias("start"), F.lit(1).alias("run"), x["end"].cast("int").alias("end"), x["value"].alias("value"))),
+        # A last event closes the last run.
+        F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(1).alias("run"), F.lit(2**31 - 1).alias("end"), F.lit("").alias("value")))))
+
+    def step(s: Column, e: Column) -> tuple[Column, Column]:
+        run, to = s["run"], F.least(e["start"], s["run"]["end"])
+        piece = F.when(run.isNotNull() & (to > s["at"]), F.array(_within(run, s["at"], to))).otherwise(F.array().cast(f"array<{SPAN}>"))
+        opens = e["run"] == 1
+        end = F.when(opens, s["end"]).otherwise(F.greatest(s["end"], e["end"]))
+        own = F.struct(e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value"))
+        return F.struct(F.when(opens, own).otherwise(run).alias("run"),
+                        F.when(opens, F.greatest(e["start"], end)).otherwise(F.greatest(s["at"], e["end"])).alias("at"), end.alias("end")), piece
+
+    first = F.struct(none.alias("run"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    return F.flatten(F.transform(F.array(events), lambda entries: _gathered(entries, first, step)))
 
 
 def _judged(x: Column) -> Column:
@@ -157,7 +194,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         id_col, F.concat(*base).alias("base"), _found(F.col("t"), "(?<![A-Za-z0-9+/_-])" + RUN, 0, RUN).alias("candidates"))
     strange = lambda x: (F.length(x["value"]) >= SHORTEST) & ~_allowed(x["value"], ALLOWED)
     named = lambda x: (F.length(x["value"]) >= SHORTEST) & ~_allowed(x["value"], ALLOWED[:-1])
-    rows = rows.withColumn("candidates", F.flatten(F.transform("candidates", lambda x: _remains(x, F.array_sort("base")))))
+    rows = rows.withColumn("candidates", _remains(F.col("candidates"), F.col("base")))
     rows = rows.withColumn("candidates", F.flatten(F.transform(F.filter("candidates", named), _judged)))
     rows = rows.withColumn("candidates", F.filter("candidates", strange))
     found = []

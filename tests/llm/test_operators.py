@@ -364,6 +364,36 @@ def test_lines_shared_with_the_nearest_page_go(spark):
 def test_shared_lines_are_a_longest_common_subsequence():
     assert html_text.shared_lines([1, 2, 3, 4, 5, 6, 7, 8], [1, 9, 3, 5, 10, 11, 12, 8]) == [0, 2, 4, 7]
     assert html_text.shared_lines([1, 2, 3], [1, 2, 3]) == [] and html_text.shared_lines([], [1]) == []
+    dealt = random.Random(5)
+    for size in (5, 9, 30, 60):
+        for _ in range(40):
+            a, b = ([dealt.randrange(size // 3 + 1) for _ in range(dealt.randrange(1, size))] for _ in range(2))
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+            places = html_text.shared_lines(a + [-1] * size, b + [-2] * size)
+            left = iter(b)
+            assert places == sorted(set(places)) and all(a[k] in left for k in places)
+            assert len(places) == table[-1][-1]
+
+
+def test_long_pages_are_aligned_in_linear_memory():
+    import tracemalloc
+
+    a, b = [k % 4_000 * 3 for k in range(6_000)], [k % 3_000 * 2 for k in range(6_000)]
+    tracemalloc.start()
+    places = html_text.shared_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert places and peak < 4_000_000
+
+
+def test_secrets_of_a_text_with_many_matches(spark):
+    """Time and memory of a scan go with the matches of a text, not with their square."""
+    keys = ["".join("0123456789abcdef"[(k * 7 + j * j + k * j) % 16] for j in range(40)) for k in range(6_000)]
+    text = " ".join(f"token={k}" if n % 3 else f"{k}/Zx8Qw3Er7Ty1Ui5Op9As2Df4" for n, k in enumerate(keys))
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.rank, s.kind, s.end) for s in row.secrets] == brute_spans(text)
 
 
 def auc(pairs):
