@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lumenframe.llm.common import shared, stored, structs, texts_of
+from lumenframe.llm.common import release, shared, stored, structs, texts_of
 from lumenframe.llm.shingles import Powers, joined, shingle_sets, word_hashes
+from lumenframe.schema import quoted
 
 WORDS = 5
 MIN_CONTAINMENT_PERCENT = 80
@@ -52,8 +53,8 @@ class ItemIndex:
                 order = np.argsort(h, kind="stable")
                 h, o = h[order], o[order]
                 distinct, first = np.unique(h, return_index=True)
-                bits = np.zeros(1 << 22, dtype=bool)
-                bits[distinct & np.uint64((1 << 22) - 1)] = True
+                bits = np.zeros(1 << max(12, (4 * len(distinct)).bit_length()), dtype=bool)
+                bits[distinct & np.uint64(len(bits) - 1)] = True
                 self.by_width[width] = (distinct, np.append(first, len(h)), o, bits)
 
     @staticmethod
@@ -90,7 +91,8 @@ class ItemIndex:
         return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[str], ItemIndex]]:
+def _item_sets(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The items that hold words: id, shingle width and hashes, and the number of their block."""
     @arrow_udf("struct<width:int,hashes:array<long>>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         powers = Powers()
@@ -100,18 +102,22 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list
             hashes = [s.view(np.int64) for s in shingle_sets(texts, WORDS, powers)]
             yield structs(width=pa.array(widths, pa.int32()), hashes=pa.array(hashes, pa.list_(pa.int64())))
 
-    table = stored(items.select(F.col(id_col).cast("string").alias("id"), sets(F.col(text_col)).alias("s"))
-                   .select("id", "s.width", "s.hashes").where("width > 0"), "items")
+    return stored(items.select(F.col(id_col).cast("string").alias("id"), sets(F.col(text_col)).alias("s"))
+                  .select("id", "s.width", "s.hashes").where("width > 0"), "items")
+
+
+def _blocks(table: DataFrame) -> list[Column]:
+    """A condition for each block of items; a block holds about ``BLOCK_SHINGLES``."""
     total = table.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
-    for b in range(blocks if total else 0):
-        rows = table.where(F.pmod(F.xxhash64("id", "hashes"), F.lit(blocks)) == b).collect()
-        sets_ = [np.sort(np.array(r.hashes, dtype=np.int64).view(np.uint64)) for r in rows]
-        yield [r.id for r in rows], ItemIndex(sets_, [r.width for r in rows])
+    blocks = -(-total // BLOCK_SHINGLES)
+    return [F.pmod(F.xxhash64("id", "hashes"), F.lit(blocks)) == b for b in range(blocks)]
 
 
-def _finder(spark: SparkSession, ids: list[str], index: ItemIndex):
-    given = shared(spark, (ids, index))
+def _finder(table: DataFrame, block: Column):
+    """A function of a text that finds the items of the block, which are sent to the executors now."""
+    rows = table.where(block).collect()
+    sets = [np.sort(np.array(r.hashes, dtype=np.int64).view(np.uint64)) for r in rows]
+    given = shared(table.sparkSession, ([r.id for r in rows], ItemIndex(sets, [r.width for r in rows])))
 
     @arrow_udf("array<struct<item:string,n_item:int,n_common:int>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -138,24 +144,41 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     nothing; a null id stays null; repeated rows give repeated pairs; an empty table on either side gives none.
     Only the named columns are read. Items are broadcast in blocks of bounded size, documents are never shuffled.
     """
+    spark = docs.sparkSession
     kind = items.schema[item_col].dataType
-    out = docs.sparkSession.createDataFrame(
-        [], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {kind.simpleString()}, "
+    out = spark.createDataFrame(
+        [], f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, {quoted(item_col)} {kind.simpleString()}, "
             "n_item int, n_common int, containment double")
-    for ids, index in _blocks(items, item_col, item_text):
-        found = _finder(docs.sparkSession, ids, index)
+    table = _item_sets(items, item_col, item_text)
+    for block in _blocks(table):
+        found = _finder(table, block)
         pairs = docs.select(F.col(id_col).alias("id"), F.explode(found(F.col(text_col))).alias("hit")).select(
             F.col("id").alias(id_col), F.col("hit.item").cast(kind).alias(item_col), "hit.n_item", "hit.n_common",
             (F.col("hit.n_common") / F.col("hit.n_item")).alias("containment"))
-        out = out.unionByName(pairs)
+        out = out.unionByName(stored(pairs, "contained"))
+        # The block's broadcast goes before the next one is made.
+        del found, pairs
+        release(spark)
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
                   item_text: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    for ids, index in _blocks(items, item_col, item_text):
-        docs = docs.where(F.size(_finder(docs.sparkSession, ids, index)(F.col(text_col))) == 0)
+    """The documents that hold no item, with all their columns.
+
+    Rows are judged by their own text alone: null ids, repeated rows and further columns pass as they are, null and
+    empty texts hold nothing and stay, and an empty table on either side leaves the documents as they were. Between two
+    blocks of items the documents that are left are written, so that one block is held at a time.
+    """
+    table = _item_sets(items, item_col, item_text)
+    blocks = _blocks(table)
+    for k, block in enumerate(blocks):
+        found = _finder(table, block)
+        docs = docs.where(F.size(found(F.col(text_col))) == 0)
+        if k < len(blocks) - 1:
+            docs = stored(docs, "clean")
+            del found
+            release(docs.sparkSession)
     return docs
 
 

@@ -161,6 +161,47 @@ def test_contained_items(spark, awkward, empty):
     hit = {k[0] for k in want}
     assert clean.columns == awkward.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in TEXTS if i not in hit}
 
+def brute_contained(doc, item):
+    """(shingles of the item, shingles in common)."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", item)
+    width = min(5, len(words))
+    own = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+    held = re.findall(r"[^\x20\x09-\x0D]+", doc)
+    return len(own), len(own & {tuple(held[k : k + width]) for k in range(len(held) - width + 1)})
+
+
+def test_long_items_and_blocks(spark, monkeypatch):
+    """Items of 20 to 2,000 shingles, held in part, in one block of items and in many: all of brute force, once each."""
+    dealt = random.Random(11)
+    word = lambda: f"w{dealt.randrange(5_000)}"
+    items = [" ".join(word() for _ in range(n)) for n in (24, 90, 129, 133, 200, 261, 400, 700, 1_300, 2_004) for _ in range(4)]
+    texts = []
+    for k, item in enumerate(items):
+        for share in (0.70, 0.78, 0.81, 0.9, 1.0):
+            words = item.split()
+            held = words[: max(5, round(len(words) * share))]
+            at = dealt.randrange(400)
+            filler = [word() for _ in range(400)]
+            texts.append(" ".join(filler[:at] + held + filler[at:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    expected = {}
+    for d, text in enumerate(texts):
+        own, common = brute_contained(text, items[d // 5])
+        if 100 * common >= 80 * own:
+            expected[d, d // 5] = (own, common)
+    read = lambda: sorted((r.doc_id, r.item_id, r.n_item, r.n_common) for r in decontaminate.contained_items(docs, table).collect())
+    whole = read()
+    assert whole == sorted((*pair, *found) for pair, found in expected.items()) and len(whole) > 110
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 6_000)
+    assert len(decontaminate._blocks(decontaminate._item_sets(table, "item_id", "text"))) > 3
+    assert read() == whole
+    dirty = {d for d, _ in expected}
+    clean = decontaminate.decontaminate(docs, table)
+    assert sorted(r.doc_id for r in clean.collect()) == [d for d in range(len(texts)) if d not in dirty]
+    # Blocks worked off earlier are no longer part of the plan.
+    assert clean._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
 
 def test_bpe_equals_the_library_and_round_trips(awkward, empty, monkeypatch):
     tiktoken = pytest.importorskip("tiktoken")
