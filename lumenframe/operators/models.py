@@ -381,7 +381,7 @@ def residuals(df: DataFrame, target: str, features: Sequence[str] | None = None,
 
 def learning_curve(df: DataFrame, target: str, features: Sequence[str] | None = None,
                    algorithm: str = "RandomForest", cv: int = 5, steps: int = 6,
-                   row_id: str | None = None, size: TreeSize = FULL) -> DataFrame:
+                   row_id: str | None = None, size: TreeSize = FULL, parallelism: int = 4) -> DataFrame:
     """Train and validation score at growing training sizes, over ``cv`` folds.
 
     Folds and nested training parts come from row hashes, so each larger part
@@ -389,22 +389,27 @@ def learning_curve(df: DataFrame, target: str, features: Sequence[str] | None =
     """
     shares = [0.1 + 0.9 * i / (steps - 1) for i in range(steps)]
     resolution = 1_000_000
-    results = []
     with kept(prepare(df, target, features, row_id)) as prepared:
         fold = prepared.share("fold", cv)
         measure = classification_metrics if prepared.is_classification else regression_metrics
         metric = "accuracy" if prepared.is_classification else "r2_score"
-        for share in shares:
-            for k in range(cv):
-                inside = prepared.share("part", resolution) < int(share * resolution)
-                train = prepared.frame.where((fold != k) & inside)
-                rows = train.count()
-                if rows == 0:
-                    continue
-                model = _train(build(algorithm, prepared, rows, size), train, prepared.is_classification)
-                scores = [measure(model.transform(part)).first()[metric]
-                          for part in (train, prepared.frame.where(fold == k))]
-                results.append((share, k, rows, *scores))
+
+        def fitted(point: tuple[float, int]) -> tuple | None:
+            share, k = point
+            inside = prepared.share("part", resolution) < int(share * resolution)
+            train = prepared.frame.where((fold != k) & inside)
+            rows = train.count()
+            if rows == 0:
+                return None
+            model = _train(build(algorithm, prepared, rows, size), train, prepared.is_classification)
+            scores = [measure(model.transform(part)).first()[metric]
+                      for part in (train, prepared.frame.where(fold == k))]
+            return share, k, rows, *scores
+
+        # The points don't depend on each other; a few at a time keep the executors busy between a fit's short jobs.
+        with ThreadPool(parallelism) as pool:
+            run = inheritable_thread_target(df.sparkSession)(fitted)
+            results = [r for r in pool.map(run, product(shares, range(cv)), chunksize=1) if r is not None]
     table = df.sparkSession.createDataFrame(
         results, "share double, fold int, rows long, train double, validation double"
     )
