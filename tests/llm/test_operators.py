@@ -402,6 +402,28 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert html_text.main_text(table.limit(0)).count() == 0
 
 
+def test_every_page_is_differenced(spark):
+    def page(k, article, *rest):
+        menu = "<nav><p>Home</p><p>News</p></nav><div>Site of all</div>"
+        return f"{menu}<article>{article}</article>{''.join(f'<div>{x}</div>' for x in rest)}<footer>Imprint</footer>"
+
+    quoted = "<p>a passage that both articles quote at some length</p>"
+    rows = [(1, "https://m.example/a/1", page(1, quoted + "<p>one</p>")), (2, "https://m.example/a/2", page(2, quoted + "<p>two</p>")),
+            (3, "https://t.example/a/1", page(3, "<p>teaser</p>", "own text of the third", "and more")),
+            (4, "https://t.example/a/2", page(4, "<p>note</p>", "fourth text of its own", "and so on")),
+            (5, "https://l.example/a", page(5, "<p>lone</p>", "who knows what this is"))]
+    # The nearest page of 6 and 7 is the same page again; the other neighbour tells menus from text.
+    story = lambda k: f"<p>Top menu</p><p>tale {k}</p><p>rest {k}</p><p>Legal</p>"
+    rows += [(6, "https://c.example/a/b/1", story(6)), (7, "https://c.example/a/b/1", story(6) + " "), (8, "https://c.example/z", story(8))]
+    got = {r.page_id: (r.text, r.n_shared) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    passage = "a passage that both articles quote at some length"
+    assert got[1] == (f"{passage}\none", 4) and got[2] == (f"{passage}\ntwo", 4)
+    assert got[3] == ("teaser\nown text of the third\nand more", 4) and got[4] == ("note\nfourth text of its own\nand so on", 4)
+    assert got[5] == ("lone", 0) and got[8] == ("tale 8\nrest 8", 2)
+    # One of the copies stands between the other copy and the unlike page.
+    assert sorted(got[k] for k in (6, 7)) == sorted([("Top menu\ntale 6\nrest 6\nLegal", 0), ("tale 6\nrest 6", 2)])
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     assert html_text.shared_lines([1, 2, 3, 4, 5, 6, 7, 8], [1, 9, 3, 5, 10, 11, 12, 8]) == [0, 2, 4, 7]
     assert html_text.shared_lines([1, 2, 3], [1, 2, 3]) == [] and html_text.shared_lines([], [1]) == []
