@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup
-from lumenframe.llm.common import stored
+from lumenframe.llm.common import bounded_batches, stored
 
 
 def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; those rejected (no letters, or no language likelier than not) go."""
+    bounded_batches(spark)
     return language_id.recognised(docs, language_id.train(docs))
 
 
@@ -25,11 +26,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five words, similarity 0.8), the one with the smallest id."""
+    bounded_batches(spark)
     return near_dedup.near_dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    bounded_batches(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -37,6 +40,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with n_tokens, ids_sha256 and decoded_sha256."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return byte_bpe.round_trip(docs, byte_bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 

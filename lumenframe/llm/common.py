@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenframe.session import shared_dir
 
+#: Bytes of an Arrow batch between Spark and Python in the corpus pipeline.
+BATCH_BYTES = 1 << 21
+
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write the table to the shared folder and go on from the files.
@@ -42,6 +45,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Rows travel to and from Python in batches of ``limit`` bytes at most, or of one row; a smaller limit that is set stays.
+
+    Spark counts 10,000 rows a batch, which is tens of MB of documents outside the heap, and as much again in the Python
+    worker, for every task. The setting stays, as a returned table is computed later.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    if held is None or not held.isdigit() or not 0 < int(held) <= limit:
+        spark.conf.set(name, limit)
+
+
 @contextmanager
 def short_plans(spark: SparkSession, characters: int = 1 << 14) -> Iterator[None]:
     """Descriptions of plans are cut while plans with large literals run: the driver keeps one for every step of a query."""

@@ -10,6 +10,7 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -601,6 +602,35 @@ def test_learned_weights_are_those_of_a_plain_search():
     assert loss(w) <= best[0] + 0.05
 
 
+@given
+def test_pipeline_batches_are_bounded_in_bytes(spark):
+    import corpus_pipeline
+    from pyspark.sql.functions import arrow_udf
+
+    from lumenframe.llm.common import BATCH_BYTES, bounded_batches
+
+    @arrow_udf("long")
+    def size(text: pa.Array) -> pa.Array:
+        return pa.array([text.nbytes] * len(text), pa.int64())
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    few = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    long_texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    try:
+        for step, stage in corpus_pipeline.STAGES:
+            if step == "exact_dedup":  # no Python
+                continue
+            spark.conf.set(name, 1 << 30)
+            out = stage(spark, few, SMALL)
+            assert out.count() > 0 and long_texts.select(F.max(size("text"))).first()[0] < 1.1 * BATCH_BYTES, step
+        spark.conf.set(name, 1000)
+        bounded_batches(spark)
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @given
 def test_pipeline_on_planted_documents(spark, tmp_path):
     import corpus_pipeline
