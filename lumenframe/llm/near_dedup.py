@@ -45,6 +45,8 @@ BUCKET_ROWS = 2048
 CLUSTER_ROWS = 512
 #: Random dealings of a large bucket in the first pass.
 DEALINGS = 2
+#: Ids that a broadcast holds to pick texts by; with more, the join is left to Spark, which may shuffle the texts.
+BROADCAST_IDS = 1 << 20
 
 _SET = "struct<n:int,digest:binary,signature:binary,bands:array<long>>"
 
@@ -239,6 +241,14 @@ def _counted(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(counts, key)
 
 
+def _beside_texts(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be sent to the texts if its size allows it, so that the texts stay where they are.
+
+    Spark's own limit is on bytes, and a step above it costs a shuffle of all texts.
+    """
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: the id, n_shingles, component_id and kept.
 
@@ -283,10 +293,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = tried.select(F.col("a").alias("rep")).unionByName(tried.select(F.col("b").alias("rep"))).unionByName(
         large.select("rep")).distinct()
     chosen = reps.join(nodes, "rep", "left_semi").select("rep", "digest", "n")
-    # A table of ids alone: where it is small, the texts are not shuffled. Empty sets go after the sets are written, since a
+    # A table of ids alone, so that the texts are not shuffled. Empty sets go after the sets are written, since a
     # filter on them would be moved before the join and hash every text.
     named = stored(chosen.select(F.col("rep").alias("id")).distinct(), "chosen")
-    full = base.join(named, "id", "left_semi").select(F.col("id").alias("rep"), _full_sets_udf(words)("text").alias("shingles"))
+    full = base.join(_beside_texts(named), "id", "left_semi").select(F.col("id").alias("rep"), _full_sets_udf(words)("text").alias("shingles"))
     full = stored(full, "full").where(F.size("shingles") > 0)
     if not sets.groupBy("id").count().where("count > 1").isEmpty():
         full = stored(full.dropDuplicates(["rep", "shingles"]), "full")
@@ -331,8 +341,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own_id, digest, of_id, of_digest = own("__id"), own("__digest"), own("__of_id"), own("__of_digest")
     ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).count()
     if ids.where("count > 1").isEmpty():
-        kept = stored(near_groups(docs, id_col, text_col, words).where("kept").select(F.col(id_col).alias(of_id)).distinct(), "kept")
-        return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(of_id)), "left_semi")
+        # Those that go are far fewer than those that stay; a null id equals none of them.
+        going = stored(near_groups(docs, id_col, text_col, words).where("not kept").select(F.col(id_col).alias(of_id)), "going")
+        return docs.join(_beside_texts(going), F.col(id_col).cast("long") == F.col(of_id), "left_anti")
     lone = docs.where(F.col(id_col).isNull())
     rows = docs.where(F.col(id_col).isNotNull()).withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     texts = rows.select(F.col(id_col).cast("long").alias(own_id), digest, F.col(text_col).alias("text"))

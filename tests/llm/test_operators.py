@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import (byte_bpe, decontaminate, exact_dedup, html_text, language_id, language_model, near_dedup, secrets,
                             token_counts, toxicity)
-from lumenframe.llm.common import components, fold_of
+from lumenframe.llm.common import components, fold_of, stored
 from lumenframe.llm.queries import QUERIES, SQL
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -119,6 +119,34 @@ def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
         assert sorted(map(tuple, got), key=str) == sorted([(1, one), (1, two), (4, "short"), (None, one), (5, None)], key=str)
 
 
+@pytest.mark.parametrize("limit", [near_dedup.BROADCAST_IDS, 0])
+def test_near_dedup_leaves_the_texts_where_they_are(spark, monkeypatch, limit):
+    """Only ids move, also where Spark itself would not broadcast them; with more ids than the limit the rows are the same."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", limit)
+    texts = [(k, " ".join(f"w{k // 3}n{j}" for j in range(60)) + " end" * (k % 3)) for k in range(30)]
+    want = brute_components(texts, near_dedup.WORDS)
+    assert len(set(want.values())) == 10
+    texts += [(None, texts[0][1]), (None, texts[0][1]), (None, None), (50, None)]
+    plans = {}
+
+    def noted(df, name="table"):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(near_dedup, "stored", noted)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_dedup.near_dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+        plans["out"] = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sorted(map(tuple, got), key=str) == sorted([t for t in texts if t[0] is None or want.get(t[0], t[0]) == t[0]], key=str)
+    for name in ("full", "out"):
+        assert ("hashpartitioning" in plans[name]) == (limit == 0)
+
+
 def test_near_groups_in_hot_buckets(spark, monkeypatch):
     """Many near copies of one text, many texts with a common passage, through the blocks meant for large buckets."""
     monkeypatch.setattr(near_dedup, "BUCKET_ROWS", 8)
